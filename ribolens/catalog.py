@@ -1,0 +1,7 @@
+"""All registered queries of the motif engine, with their SQL."""
+
+from __future__ import annotations
+
+FLAGSHIP = "alignment_summary"
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
