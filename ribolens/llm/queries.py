@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from ribolens.llm.packing import op10_best_fit_packing
 from ribolens.llm.sharding import op7_sharding
+from ribolens.llm.token_counts import op6_token_counts
+from ribolens.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
+    "op8_warc": op8_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": OP8_SQL,
+}
