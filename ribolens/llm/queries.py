@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from ribolens.llm.decontamination import OP1_SQL, op1_decontamination
+from ribolens.llm.line_dedup import OP2_SQL, op2_line_dedup
 from ribolens.llm.packing import op10_best_fit_packing
 from ribolens.llm.sharding import op7_sharding
 from ribolens.llm.token_counts import op6_token_counts
 from ribolens.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
@@ -15,5 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
     "op8_warc": OP8_SQL,
 }
