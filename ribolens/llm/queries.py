@@ -5,6 +5,7 @@ from __future__ import annotations
 from ribolens.llm.decontamination import OP1_SQL, op1_decontamination
 from ribolens.llm.line_dedup import OP2_SQL, op2_line_dedup
 from ribolens.llm.packing import op10_best_fit_packing
+from ribolens.llm.quality import op3_quality
 from ribolens.llm.sharding import op7_sharding
 from ribolens.llm.token_counts import op6_token_counts
 from ribolens.llm.warc import OP8_SQL, op8_warc
@@ -12,6 +13,7 @@ from ribolens.llm.warc import OP8_SQL, op8_warc
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality": op3_quality,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
