@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ribolens.llm.decontamination import OP1_SQL, op1_decontamination
 from ribolens.llm.line_dedup import OP2_SQL, op2_line_dedup
+from ribolens.llm.near_dedup import op9_near_dedup
 from ribolens.llm.packing import op10_best_fit_packing
 from ribolens.llm.quality import op3_quality
 from ribolens.llm.sharding import op7_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
+    "op9_near_dedup": op9_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
