@@ -5,6 +5,7 @@ from __future__ import annotations
 from ribolens.llm.decontamination import OP1_SQL, op1_decontamination
 from ribolens.llm.line_dedup import OP2_SQL, op2_line_dedup
 from ribolens.llm.near_dedup import op9_near_dedup
+from ribolens.llm.neighbours import OP5_SQL, op5_neighbours
 from ribolens.llm.packing import op10_best_fit_packing
 from ribolens.llm.quality import op3_quality
 from ribolens.llm.sharding import op7_sharding
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
+    "op5_neighbours": op5_neighbours,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
+    "op5_neighbours": OP5_SQL,
     "op8_warc": OP8_SQL,
 }
