@@ -57,13 +57,13 @@ def recurring(rows: DataFrame) -> DataFrame:
     return spread.select("form", "root").join(templates, "root").select("form", "first")
 
 
-def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lead: int = LEAD) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lead: int = LEAD, total: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
     """docs without the lines whose template an earlier line has in another document, and n_lines, n_dropped of each.
 
     Lines are parts between "\\n"; blank ones stay. The first line of a template, by (key, text digest, line number),
     stays, also if its own document repeats it; further lines of a recurring template go wherever they are. Templates
     that occur in one document alone are kept. Null texts stay null and empty ones empty, with 0 dropped lines. Equal rows
-    act as one document. Null keys come first. The columns n_lines and n_dropped are replaced if docs has them.
+    act as one document. Null keys come first. The two new columns replace columns of docs of the same names.
     """
     rows = written(line_rows(docs, key, text, lead), "lines")
     again = rows.join(recurring(rows), "form")
@@ -74,8 +74,8 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     split = F.split(docs[text], "\n")
     none = F.array().cast("array<int>")
     held = F.array_join(F.filter(split, lambda x, n: ~F.array_contains(F.coalesce(F.col(lines), none), n)), "\n")
-    new = met.withColumns({text: F.when(F.col(lines).isNull(), docs[text]).otherwise(held), "n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.size(lines), F.lit(0))})
-    new = new.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
+    counts = {total: F.greatest(F.coalesce(F.size(split), F.lit(0)), F.lit(0)), dropped: F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0))}
+    new = met.withColumns({text: F.when(F.col(lines).isNull(), docs[text]).otherwise(held), **counts})
     return new.drop(doc, version, lines)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ribolens.llm.context_tree import op4_context_tree
 from ribolens.llm.decontamination import OP1_SQL, op1_decontamination
 from ribolens.llm.line_dedup import OP2_SQL, op2_line_dedup
 from ribolens.llm.near_dedup import op9_near_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
+    "op4_context_tree": op4_context_tree,
     "op5_neighbours": op5_neighbours,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
