@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ribolens.llm.components import components
 from ribolens.llm.shared import unused, written
+from ribolens.operators.clustering import components
 
 LEAD = 3
 WILD = "<*>"

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribolens.llm.bytetext import WORD, chunks, mix, spans, spans_hash
-from ribolens.llm.components import components
 from ribolens.llm.shared import sized, small_batches, unused, written
+from ribolens.operators.clustering import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** 6) ** 42 < 3e-6.

@@ -1,32 +1,16 @@
-"""What several operators need: the cluster's shared folder, written intermediate tables, column checks."""
+"""What several operators need: written intermediate tables, sized joins, column checks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 1024
-
+from ribolens.session import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests), a local one is chosen and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="ribolens-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+__all__ = ["key_and_text", "shared_dir", "sized", "small_batches", "unused", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage ends, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch: bounds a Python worker's memory when texts are long.
+BATCH_ROWS = 1024
 
 
 def unused(df: DataFrame, name: str) -> str:
