@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ribolens.catalog import alignments, intervals, motifs, sequences
+from ribolens.catalog import alignments, intervals, kernels, motifs, sequences
 
 FLAGSHIP = "alignment_summary"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (sequences, alignments, intervals, motifs):
+for _module in (sequences, alignments, intervals, motifs, kernels):
     for _name, (_run, _sql) in _module.ENTRIES.items():
         QUERIES[_name] = _run
         if _sql:

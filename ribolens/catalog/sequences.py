@@ -13,8 +13,9 @@ S, D = f"WITH {v.SEQUENCES} ", f"WITH {v.DEGENERATE} "
 _CODONS = ", ".join(f"'{c}': '{aa}'" for aa, codons in fs.GENETIC_CODE.items() for c in codons.split())
 
 
-def on(view, *columns):
-    return lambda spark, sf_dir: view(spark, sf_dir).select(*columns)
+def on(view, columns):
+    """A projection of a view; columns are made when it runs, since they need a session."""
+    return lambda spark, sf_dir: view(spark, sf_dir).select(*columns())
 
 
 def _composition(spark, sf_dir):
@@ -55,10 +56,9 @@ def _species(spark, sf_dir):
     return v.sequences(spark, sf_dir).select("lang", fs.species_id(name).alias("species")).groupBy("lang").agg(F.countDistinct("species").alias("species"))
 
 
-seq = F.col("seq")
 ENTRIES = {
-    "F1_ungapped": (on(v.alignment_rows, "msa_id", "seq_id", fs.ungapped(F.col("aseq")).alias("seq")), f"WITH {v.ROWS} SELECT msa_id, seq_id, replace(aseq, '-', '') AS seq FROM aln"),
-    "F3_residues": (on(v.sequences, "seq_id", "seq"), S + "SELECT seq_id, seq FROM sequences"),
+    "F1_ungapped": (on(v.alignment_rows, lambda: ["msa_id", "seq_id", fs.ungapped(F.col("aseq")).alias("seq")]), f"WITH {v.ROWS} SELECT msa_id, seq_id, replace(aseq, '-', '') AS seq FROM aln"),
+    "F3_residues": (on(v.sequences, lambda: ["seq_id", "seq"]), S + "SELECT seq_id, seq FROM sequences"),
     "F4_base_codes": (
         lambda spark, sf_dir: v.alignment_cells(spark, sf_dir).groupBy("msa_id", fs.base_code(F.col("sym")).alias("code")).agg(F.count(F.lit(1)).alias("n")),
         f"WITH {v.CELLS} SELECT msa_id, CASE sym WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 3 WHEN 'U' THEN 4 ELSE 0 END AS code, count(*) AS n FROM cells GROUP BY ALL",
@@ -67,7 +67,7 @@ ENTRIES = {
         _hit_ids,
         f"WITH {v.HITS} SELECT hit_id, 'S' || seq_id AS seq, CAST(start AS VARCHAR) AS first, CAST(stop AS VARCHAR) AS last, 1 AS strand FROM hits",
     ),
-    "F16_reverse_complement": (on(v.sequences, "seq_id", fs.reverse_complement(seq).alias("rc")), S + "SELECT seq_id, reverse(translate(seq, 'ACGU', 'UGCA')) AS rc FROM sequences"),
+    "F16_reverse_complement": (on(v.sequences, lambda: ["seq_id", fs.reverse_complement(F.col("seq")).alias("rc")]), S + "SELECT seq_id, reverse(translate(seq, 'ACGU', 'UGCA')) AS rc FROM sequences"),
     "F17_six_frames": (
         _frames,
         S
@@ -75,19 +75,19 @@ ENTRIES = {
 SELECT seq_id, strand, CAST(f AS INTEGER) AS frame, array_to_string(list_transform(range(0, (length(seq) - f) // 3), lambda n: coalesce(MAP {{{_CODONS}}}[substr(seq, CAST(n * 3 + f + 1 AS BIGINT), 3)], 'X')), '') AS protein
 FROM both_strands, range(0, 3) t(f)""",
     ),
-    "F19_subsequence": (on(v.sequences, "seq_id", F.substring(seq, 11, 30).alias("part")), S + "SELECT seq_id, substr(seq, 11, 30) AS part FROM sequences"),
+    "F19_subsequence": (on(v.sequences, lambda: ["seq_id", F.substring(F.col("seq"), 11, 30).alias("part")]), S + "SELECT seq_id, substr(seq, 11, 30) AS part FROM sequences"),
     "F21_species": (_species, "SELECT lang, count(DISTINCT substr(upper(lang) || upper(lang) || substr(source, 4, 1), 1, 4)) AS species FROM documents GROUP BY lang"),
     "F27_degenerate_counts": (
-        on(v.degenerate, "seq_id", fs.count_of(F.substring(seq, 1, 120), "RYMKSWHBVDN").alias("n_degenerate")),
+        on(v.degenerate, lambda: ["seq_id", fs.count_of(F.substring(F.col("seq"), 1, 120), "RYMKSWHBVDN").alias("n_degenerate")]),
         D + "SELECT seq_id, CAST(length(substr(seq, 1, 120)) - length(translate(substr(seq, 1, 120), 'RYMKSWHBVDN', '')) AS INTEGER) AS n_degenerate FROM degenerate",
     ),
     "F28_trimmed": (
-        on(v.degenerate, "seq_id", fs.trimmed(seq).alias("seq"), (F.length(seq) - F.length(F.regexp_replace(seq, "^[^ACGU]+", ""))).alias("shift")),
+        on(v.degenerate, lambda: ["seq_id", fs.trimmed(F.col("seq")).alias("seq"), (F.length(F.col("seq")) - F.length(F.regexp_replace(F.col("seq"), "^[^ACGU]+", ""))).alias("shift")]),
         D + "SELECT seq_id, regexp_replace(regexp_replace(seq, '^[^ACGU]+', ''), '[^ACGU]+$', '') AS seq, CAST(length(seq) - length(regexp_replace(seq, '^[^ACGU]+', '')) AS INTEGER) AS shift FROM degenerate",
     ),
-    "F33_unknown_to_n": (on(v.degenerate, "seq_id", F.translate(seq, "RYMKSWHBVD", "NNNNNNNNNN").alias("seq")), D + "SELECT seq_id, translate(seq, 'RYMKSWHBVD', 'NNNNNNNNNN') AS seq FROM degenerate"),
+    "F33_unknown_to_n": (on(v.degenerate, lambda: ["seq_id", F.translate(F.col("seq"), "RYMKSWHBVD", "NNNNNNNNNN").alias("seq")]), D + "SELECT seq_id, translate(seq, 'RYMKSWHBVD', 'NNNNNNNNNN') AS seq FROM degenerate"),
     "F37_masked": (
-        lambda spark, sf_dir: v.sequences(spark, sf_dir).where(F.length("seq") >= 20).select("seq_id", fs.masked(seq, F.lit(6), F.lit(15)).alias("seq")),
+        lambda spark, sf_dir: v.sequences(spark, sf_dir).where(F.length("seq") >= 20).select("seq_id", fs.masked(F.col("seq"), F.lit(6), F.lit(15)).alias("seq")),
         S + "SELECT seq_id, substr(seq, 1, 5) || 'NNNNNNNNNN' || substr(seq, 16) AS seq FROM sequences WHERE length(seq) >= 20",
     ),
     "SC9_context_windows": (
