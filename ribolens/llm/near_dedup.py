@@ -18,6 +18,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 42, 6
 #: Rounds in which each bucket is compared with one of its documents, before the rest is compared pair by pair.
 PIVOT_ROUNDS = 4
+#: Pairs that a Python worker gets at a time.
+PAIR_ROWS = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SIGNED = "doc_id long, version long, node binary, size long, bands array<long>"
@@ -189,7 +191,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "do
         pairs = pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if turn:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
+        small_batches(spark, PAIR_ROWS)  # each row holds two texts' shingles
         new = written(_verified(pairs, sets, similarity), "pairs")
+        small_batches(spark)
         if new.limit(1).count():
             done = done.unionByName(new)
             roots = written(components(done.where("similar").select("a", "b")), "roots")

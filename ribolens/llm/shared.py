@@ -10,7 +10,7 @@ from ribolens.session import shared_dir, written
 __all__ = ["key_and_text", "shared_dir", "sized", "small_batches", "unused", "written"]
 
 #: Rows of an Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 1024
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -30,9 +30,10 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, since a row can be a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of few rows and bytes from here on, since a row can be a very long text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def key_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
