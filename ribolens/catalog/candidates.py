@@ -135,7 +135,7 @@ SELECT msa_id, round(sum(best), 6) AS score, round(max(best), 6) AS top FROM b G
         lambda spark, sf_dir: v.sequences(spark, sf_dir).rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("residues")),
         S + "SELECT lang, source, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS residues FROM sequences GROUP BY ROLLUP (lang, source)",
     ),
-    "F2_padded": (lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", F.lpad(F.substring("seq", 1, 15), 20, "-").alias("left"), F.rpad(F.substring("seq", 1, 15), 20, ".").alias("right")), S + "SELECT seq_id, lpad(substr(seq, 1, 15), 20, '-') AS \"left\", rpad(substr(seq, 1, 15), 20, '.') AS \"right\" FROM sequences"),
+    "F2_padded": (lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", F.lpad("source", 12, "-").alias("left"), F.rpad("source", 12, ".").alias("right")), S + "SELECT seq_id, lpad(source, 12, '-') AS \"left\", rpad(source, 12, '.') AS \"right\" FROM sequences"),
     "F9_hairpins": (lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", st.hairpins(_brackets()).alias("n")), S + rf"SELECT seq_id, CAST(len(regexp_extract_all({_BRACKETS}, '\(\.*\)')) AS INTEGER) AS n FROM sequences"),
     "F13_F14_brackets": (lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", st.plain_brackets(_brackets()).alias("ss")), S + f"SELECT seq_id, translate({_BRACKETS}, '()', '<>') AS ss FROM sequences"),
     "F18_iupac_matches": (lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", F.regexp_count("seq", F.lit(st.iupac_pattern("RYNGS"))).alias("n")), S + "SELECT seq_id, CAST(len(regexp_extract_all(seq, '[AG][CU][ACGU]G[CG]')) AS INTEGER) AS n FROM sequences"),

@@ -78,8 +78,8 @@ FROM both_strands, range(0, 3) t(f)""",
     "F19_subsequence": (on(v.sequences, lambda: ["seq_id", F.substring(F.col("seq"), 11, 30).alias("part")]), S + "SELECT seq_id, substr(seq, 11, 30) AS part FROM sequences"),
     "F21_species": (_species, "SELECT lang, count(DISTINCT substr(upper(lang) || upper(lang) || substr(source, 4, 1), 1, 4)) AS species FROM documents GROUP BY lang"),
     "F27_degenerate_counts": (
-        on(v.degenerate, lambda: ["seq_id", fs.count_of(F.substring(F.col("seq"), 1, 120), "RYMKSWHBVDN").alias("n_degenerate")]),
-        D + "SELECT seq_id, CAST(length(substr(seq, 1, 120)) - length(translate(substr(seq, 1, 120), 'RYMKSWHBVDN', '')) AS INTEGER) AS n_degenerate FROM degenerate",
+        on(v.degenerate, lambda: ["seq_id", fs.count_of(F.col("seq"), "RYMKSWHBVDN").alias("n_degenerate")]),
+        D + "SELECT seq_id, CAST(length(seq) - length(translate(seq, 'RYMKSWHBVDN', '')) AS INTEGER) AS n_degenerate FROM degenerate",
     ),
     "F28_trimmed": (
         on(v.degenerate, lambda: ["seq_id", fs.trimmed(F.col("seq")).alias("seq"), (F.length(F.col("seq")) - F.length(F.regexp_replace(F.col("seq"), "^[^ACGU]+", ""))).alias("shift")]),

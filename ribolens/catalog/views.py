@@ -26,10 +26,14 @@ def degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, cut into blocks of WIDTH characters: the blocks with one number of all texts of a language and source
+    are an alignment. Characters other than nucleotides are gaps, and fill up last blocks."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    rows = docs.where(F.length("text") >= WIDTH).join(labels, "doc_id", "left")
+    number = F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / WIDTH).cast("int") - 1)).alias("block")
+    rows = docs.where(F.length("text") > 0).join(labels, "doc_id", "left").select("doc_id", "lang", "source", "text", "quality", number)
+    part = aligned(F.substr("text", F.col("block") * WIDTH + 1, F.lit(WIDTH)), WIDTH)
     return rows.select(
-        F.concat_ws(":", "lang", "source").alias("msa_id"), F.col("doc_id").alias("seq_id"), aligned(F.col("text"), WIDTH).alias("aseq"), (0.5 + 0.5 * F.coalesce("quality", F.lit(0))).alias("weight")
+        F.concat_ws(":", "lang", "source", "block").alias("msa_id"), F.col("doc_id").alias("seq_id"), F.rpad(part, WIDTH, "-").alias("aseq"), (0.5 + 0.5 * F.coalesce("quality", F.lit(0))).alias("weight")
     )
 
 
@@ -55,9 +59,9 @@ def annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEQUENCES = "sequences AS (SELECT doc_id AS seq_id, lang, source, translate(upper(regexp_replace(text, '[^ACGTUacgtu]', '', 'g')), 'T', 'U') AS seq FROM documents)"
 DEGENERATE = "degenerate AS (SELECT doc_id AS seq_id, translate(upper(regexp_replace(text, '[^ACGTURYMKSWHBVDNacgturymkswhbvdn]', '', 'g')), 'T', 'U') AS seq FROM documents)"
-ROWS = f"""aln AS (SELECT concat_ws(':', lang, source) AS msa_id, doc_id AS seq_id,
-  translate(upper(regexp_replace(substr(text, 1, {WIDTH}), '[^ACGTUacgtu]', '-', 'g')), 'T', 'U') AS aseq, 0.5::DOUBLE + 0.5::DOUBLE * coalesce(quality, 0) AS weight
-  FROM documents LEFT JOIN labels USING (doc_id) WHERE length(text) >= {WIDTH})"""
+ROWS = f"""aln AS (SELECT concat_ws(':', lang, source, block) AS msa_id, doc_id AS seq_id,
+  rpad(translate(upper(regexp_replace(substr(text, CAST(block * {WIDTH} + 1 AS BIGINT), {WIDTH}), '[^ACGTUacgtu]', '-', 'g')), 'T', 'U'), {WIDTH}, '-') AS aseq, 0.5::DOUBLE + 0.5::DOUBLE * coalesce(quality, 0) AS weight
+  FROM (SELECT *, unnest(range(0, (length(text) + {WIDTH - 1}) // {WIDTH})) AS block FROM documents) LEFT JOIN labels USING (doc_id))"""
 CELLS = f"{ROWS}, cells AS (SELECT msa_id, seq_id, CAST(col AS INTEGER) AS col, substr(aseq, CAST(col AS INTEGER), 1) AS sym, weight, substr(aseq, CAST(col AS INTEGER), 1) IN ('A','C','G','U') AS res FROM aln, range(1, {WIDTH + 1}) t(col))"
 PAIRS = f"""{CELLS}, paired AS (SELECT l.msa_id, l.seq_id, l.col AS i, r.col AS j, l.sym AS "left", r.sym AS "right", l.weight, l.res AS lr, r.res AS rr,
   l.sym || r.sym IN ('AU','UA','CG','GC','GU','UG') AS canon

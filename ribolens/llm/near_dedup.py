@@ -16,8 +16,9 @@ from ribolens.operators.clustering import components
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** 6) ** 42 < 3e-6.
 BANDS, ROWS = 42, 6
-#: Rounds in which each bucket is compared with one of its documents, before the rest is compared pair by pair.
-PIVOT_ROUNDS = 4
+#: Each bucket is compared with one of its documents in turn, until its documents in different classes have this many
+#: pairs for each of them at most, on the mean, or for so many rounds; then those pairs are all compared.
+PAIRS_FOR_EACH, PIVOT_ROUNDS = 8, 12
 #: Pairs that a Python worker gets at a time.
 PAIR_ROWS = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +162,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "do
 
     Equal multisets are one node from the start. Nodes that share a band are a bucket. In each round a bucket's nodes
     are compared with one pivot, unless a class already holds both; so a bucket of near copies takes one comparison for
-    each. Pairs of one bucket in different classes that are left after the rounds are all compared.
+    each. The pairs of a bucket in different classes that are left then are all compared.
     """
     spark = docs.sparkSession
     rows = written(signed(docs, key, text), "signed")
@@ -169,34 +170,42 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "do
     nodes = written(nodes, "nodes")
     banded = nodes.select("node", "size", F.explode("bands").alias("band"))
     several = banded.groupBy("band").agg(F.min("node").alias("l"), F.max("node").alias("h")).where("l <> h").select("band")
-    buckets = written(banded.join(several, "band"), "buckets")
+    buckets = written(banded.join(several, "band").withColumn("root", F.col("node")), "buckets")
     chosen = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("least.*", "node")
     sets = written(_sets(docs, written(chosen, "chosen"), key, text), "sets")
-    done = spark.createDataFrame([], "a binary, b binary, similar boolean")
-    roots = spark.createDataFrame([], "node binary, root binary")
+    links = done = roots = None
     fits = F.least("size", "other_size") >= F.greatest("size", "other_size") * F.lit(similarity) - 1e-6  # else no link is possible
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    turn, last = 0, False
+    while not last:
         if turn:
-            live = placed.groupBy("band").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h").select("band")
-            placed = written(placed.join(live, "band"), "buckets")
-            buckets = placed.select("band", "node", "size")
-        if turn < PIVOT_ROUNDS:
-            pivot = placed.groupBy("band").agg(F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.lit(turn))).alias("p"))
-            other = pivot.select("band", F.col("p.node").alias("other"), F.col("p.root").alias("other_root"), F.col("p.size").alias("other_size"))
-            pairs = placed.join(other, "band").where("root <> other_root")
+            live = buckets.groupBy("band").agg(F.min("root").alias("l"), F.max("root").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h")
+            left = live.agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
+            if not left["rows"]:
+                break
+            last = left["pairs"] <= PAIRS_FOR_EACH * left["rows"] or turn == PIVOT_ROUNDS
+            buckets = buckets.join(live.select("band"), "band")
+        if last:
+            other = buckets.select("band", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"))
+            pairs = buckets.join(other, (buckets["band"] == other["band"]) & (F.col("root") < F.col("other_root")) & fits)
         else:
-            other = placed.select("band", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"))
-            pairs = placed.join(other, (placed["band"] == other["band"]) & (F.col("root") < F.col("other_root")) & fits)
-        pairs = pairs.where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if turn:
+            pivot = buckets.groupBy("band").agg(F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.lit(turn))).alias("p"))
+            other = pivot.select("band", F.col("p.node").alias("other"), F.col("p.root").alias("other_root"), F.col("p.size").alias("other_size"))
+            pairs = buckets.join(other, "band").where("root <> other_root").where(fits)
+        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         small_batches(spark, PAIR_ROWS)  # each row holds two texts' shingles
         new = written(_verified(pairs, sets, similarity), "pairs")
         small_batches(spark)
-        if new.limit(1).count():
-            done = done.unionByName(new)
-            roots = written(components(done.where("similar").select("a", "b")), "roots")
+        links = new.where("similar") if links is None else links.unionByName(new.where("similar"))
+        done = new.select("a", "b") if done is None else done.unionByName(new.select("a", "b"))
+        if new.where("similar").limit(1).count():
+            roots = written(components(links.select("a", "b")), "roots")
+            if not last:
+                buckets = written(buckets.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "buckets")
+        turn += 1
+    if roots is None:
+        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     classes = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min("least").alias("name"))
     names = classes.join(named, "root").select("node", F.col("name.doc_id").alias("class_id"), F.col("name.version").alias("class_version"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ribolens.session import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(rows: DataFrame) -> bool:
+    """Whether no upper end of rows(u, v) is a lower end too, and each lower end has one upper end."""
+    several = rows.groupBy("u").agg(F.min("v").alias("l"), F.max("v").alias("h")).where("l <> h").select("u")
+    chained = rows.select(F.col("v").alias("u")).distinct().join(rows.select("u").distinct(), "u", "left_semi")
+    return not several.unionAll(chained).limit(1).count()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,10 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars need about log2(n) rounds whatever the components' shape, with as many rows as
     there are edges; a node with very many neighbours is only grouped by partial aggregates and joined.
     """
-    rows = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    rows = written(rows, "edges")
-    before = _state(rows)
-    while before[0]:
+    rows = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _stars(rows):
         both = rows.select("u", "v").unionAll(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -29,10 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         rows = written(down.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = _state(rows)
-        if after == before:
-            break
-        before = after
     nodes = rows.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionAll(rows.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -24,30 +24,32 @@ def folded(sequences: DataFrame) -> DataFrame:
 
 
 def paired_places(structures: DataFrame) -> DataFrame:
-    """(id, i, j) of structures(id, structure): pairs of places from 1; unbalanced structures give none."""
+    """(msa_id, id, i, j) of structures(msa_id, id, structure): pairs of places from 1; unbalanced structures give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch["id"], batch["structure"], strict=True):
+            for msa, key, text in zip(batch["msa_id"], batch["id"], batch["structure"], strict=True):
                 try:
-                    rows += [(key, i + 1, j + 1) for i, j in enumerate(pair_table(text)) if j > i]
+                    rows += [(msa, key, i + 1, j + 1) for i, j in enumerate(pair_table(text)) if j > i]
                 except ValueError:
                     continue
-            yield pd.DataFrame(rows, columns=["id", "i", "j"])
+            yield pd.DataFrame(rows, columns=["msa_id", "id", "i", "j"])
 
-    return structures.select("id", "structure").mapInPandas(run, "id long, i int, j int")
+    return structures.select("msa_id", "id", "structure").mapInPandas(run, "msa_id string, id long, i int, j int")
 
 
 def locally_aligned(pairs: DataFrame) -> DataFrame:
-    """pairs(id, a, b) with the best local alignment's score and ranges."""
+    """pairs(msa_id, s1, s2, a, b) with the best local alignment's score and ranges. Each two different sequences are aligned
+    once, whatever number of pairs they stand for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = [local_alignment(a, b) for a, b in zip(batch["a"], batch["b"], strict=True)]
-            yield pd.DataFrame([(i, *g) for i, g in zip(batch["id"], got, strict=True)], columns=["id", "score", "a_start", "a_stop", "b_start", "b_stop"])
+            yield pd.DataFrame([(a, b, *g) for a, b, g in zip(batch["a"], batch["b"], got, strict=True)], columns=["a", "b", "score", "a_start", "a_stop", "b_start", "b_stop"])
 
-    return pairs.select("id", "a", "b").mapInPandas(run, "id long, score double, a_start int, a_stop int, b_start int, b_stop int")
+    found = pairs.select("a", "b").distinct().mapInPandas(run, "a string, b string, score double, a_start int, a_stop int, b_start int, b_stop int")
+    return pairs.join(found, ["a", "b"]).drop("a", "b")
 
 
 def tree_weights(identities: DataFrame, rows: DataFrame) -> DataFrame:
@@ -61,8 +63,9 @@ def tree_weights(identities: DataFrame, rows: DataFrame) -> DataFrame:
         distance[a, b] = distance[b, a] = 1 - pairs["identity"]
         return pd.DataFrame({"msa_id": members["msa_id"].iloc[:1].repeat(len(ids)).to_numpy() if len(ids) else [], "seq_id": ids, "gsc_weight": gsc_weights(distance)})
 
-    grouped = rows.select("msa_id", "seq_id").groupBy("msa_id").cogroup(identities.select("msa_id", "s1", "s2", "identity").groupBy("msa_id"))
-    return grouped.applyInPandas(run, "msa_id string, seq_id long, gsc_weight double")
+    members = rows.select(F.col("msa_id").alias("msa"), "seq_id").withColumnRenamed("msa", "msa_id").groupBy("msa_id")
+    pairs = identities.select(F.col("msa_id").alias("of_msa"), "s1", "s2", "identity").groupBy("of_msa")
+    return members.cogroup(pairs).applyInPandas(run, "msa_id string, seq_id long, gsc_weight double")
 
 
 def greedy_hits(hits: DataFrame) -> DataFrame:
