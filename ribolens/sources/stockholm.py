@@ -74,6 +74,8 @@ def stockholm_text(rows: DataFrame, columns: DataFrame, width: int = 80) -> Data
             out += ["", *(f"{n:<{wide}} {a[low : low + width]}" for n, a in named)]
         return pd.DataFrame({"msa_id": [group["msa_id"].iloc[0]], "value": ["\n".join([*out, "//"])]})
 
+    # new column identities, since both may come from the same lines
+    rows, columns = (t.select([F.col(c).alias(c) for c in t.columns]) for t in (rows, columns))
     return rows.groupBy("msa_id").cogroup(columns.groupBy("msa_id")).applyInPandas(form, "msa_id string, value string")
 
 
