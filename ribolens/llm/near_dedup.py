@@ -16,9 +16,9 @@ from ribolens.operators.clustering import components
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** 6) ** 42 < 3e-6.
 BANDS, ROWS = 42, 6
-#: Each bucket is compared with one of its documents in turn, until its documents in different classes have this many
-#: pairs for each of them at most, on the mean, or for so many rounds; then those pairs are all compared.
-PAIRS_FOR_EACH, PIVOT_ROUNDS = 8, 12
+#: In round t each bucket is compared with PIVOTS[t] of its nodes; then, or once that is no more than PAIRS_FOR_EACH pairs for
+#: each node on the mean, all its pairs of different classes are compared. The number of rounds doesn't grow with the data.
+PIVOTS, PAIRS_FOR_EACH = (1, 4, 4), 2
 #: Pairs that a Python worker gets at a time.
 PAIR_ROWS = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +137,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs(a, b) with column similar: whether the weighted Jaccard similarity of the two is ``similarity`` or more."""
+    """The links of pairs(a, b, root_a, root_b): those with a weighted Jaccard similarity of ``similarity`` or more."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +148,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 similar.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.bool_())], ["a", "b", "similar"])
 
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets.join(sized(needed), "node", "left_semi")
     one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a binary, b binary, similar boolean")
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
+    return joined.mapInArrow(compare, "a binary, b binary, similar boolean").where("similar").select("a", "b")
+
+
+def _left(buckets: DataFrame) -> tuple[DataFrame, int, int]:
+    """The bands with nodes of several classes, their nodes, and their pairs of nodes of different classes."""
+    by_root = buckets.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    live = by_root.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    live = written(live, "live")
+    total = live.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
+    return live.select("band"), total["rows"] or 0, total["pairs"] or 0
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,52 +172,59 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "do
     a hash of the text. Texts under five words are one shingle; texts without words are classes of equal texts. Null
     texts are empty. Rows with a null key are told apart by version.
 
-    Equal multisets are one node from the start. Nodes that share a band are a bucket. In each round a bucket's nodes
-    are compared with one pivot, unless a class already holds both; so a bucket of near copies takes one comparison for
-    each. The pairs of a bucket in different classes that are left then are all compared.
+    Equal multisets are one node from the start. Nodes that share a band are a bucket; of buckets with the same nodes one is
+    enough. In each round a bucket's nodes are compared with a few pivots, unless a class already holds both; so a bucket
+    of near copies takes about one comparison for each. The pairs of a bucket in different classes that are left after
+    the rounds are all compared.
     """
     spark = docs.sparkSession
     rows = written(signed(docs, key, text), "signed")
     nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = written(nodes, "nodes")
     banded = nodes.select("node", "size", F.explode("bands").alias("band"))
-    several = banded.groupBy("band").agg(F.min("node").alias("l"), F.max("node").alias("h")).where("l <> h").select("band")
-    buckets = written(banded.join(several, "band").withColumn("root", F.col("node")), "buckets")
+    digests = [F.bit_xor(F.xxhash64("node", F.lit(n))).alias(f"x{n}") for n in range(2)]
+    several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *digests).where("n > 1").groupBy("n", "x0", "x1").agg(F.min("band").alias("band"))
+    buckets = written(banded.join(several.select("band"), "band").withColumn("root", F.col("node")), "buckets")
     chosen = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("least.*", "node")
     sets = written(_sets(docs, written(chosen, "chosen"), key, text), "sets")
-    links = done = roots = None
+    links = done = None
     fits = F.least("size", "other_size") >= F.greatest("size", "other_size") * F.lit(similarity) - 1e-6  # else no link is possible
-    turn, last = 0, False
-    while not last:
-        if turn:
-            live = buckets.groupBy("band").agg(F.min("root").alias("l"), F.max("root").alias("h"), F.count(F.lit(1)).alias("n")).where("l <> h")
-            left = live.agg(F.sum("n").alias("rows"), F.sum(F.expr("n * (n - 1) / 2")).alias("pairs")).first()
-            if not left["rows"]:
-                break
-            last = left["pairs"] <= PAIRS_FOR_EACH * left["rows"] or turn == PIVOT_ROUNDS
-            buckets = buckets.join(live.select("band"), "band")
+    for turn in range(len(PIVOTS) + 1):
+        live, n_rows, n_pairs = _left(buckets)
+        if not n_rows:
+            break
+        last = turn == len(PIVOTS) or n_pairs <= PAIRS_FOR_EACH * n_rows
+        buckets = buckets.join(live, "band")
         if last:
             other = buckets.select("band", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"))
             pairs = buckets.join(other, (buckets["band"] == other["band"]) & (F.col("root") < F.col("other_root")) & fits)
         else:
-            pivot = buckets.groupBy("band").agg(F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.lit(turn))).alias("p"))
+            buckets = written(buckets, "buckets") if turn else buckets
+            drawn = [F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.lit(turn), F.lit(j))) for j in range(PIVOTS[turn])]
+            pivot = buckets.groupBy("band").agg(F.array(*drawn).alias("p")).select("band", F.explode(F.array_distinct("p")).alias("p"))
             other = pivot.select("band", F.col("p.node").alias("other"), F.col("p.root").alias("other_root"), F.col("p.size").alias("other_size"))
             pairs = buckets.join(other, "band").where("root <> other_root").where(fits)
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        first = F.col("node") < F.col("other")
+        sides = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("node", "other", "a"), ("other", "node", "b"), ("root", "other_root", "root_a"), ("other_root", "root", "root_b"))]
+        pairs = pairs.select(*sides).distinct()
+        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         small_batches(spark, PAIR_ROWS)  # each row holds two texts' shingles
-        new = written(_verified(pairs, sets, similarity), "pairs")
+        new = written(_verified(pairs, sets, similarity), "links")
         small_batches(spark)
-        links = new.where("similar") if links is None else links.unionByName(new.where("similar"))
-        done = new.select("a", "b") if done is None else done.unionByName(new.select("a", "b"))
-        if new.where("similar").limit(1).count():
-            roots = written(components(links.select("a", "b")), "roots")
-            if not last:
-                buckets = written(buckets.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "buckets")
-        turn += 1
-    if roots is None:
+        links = new if links is None else links.unionByName(new)
+        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+        if last:
+            break
+        if new.limit(1).count():
+            met = pairs.join(sized(new), ["a", "b"], "left_semi")
+            moved = components(met.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+            moved = moved.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("to"))
+            buckets = buckets.join(sized(moved), "root", "left").select("band", "node", "size", F.coalesce("to", "root").alias("root"))
+            buckets = written(buckets, "buckets")
+    if links is None:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
+    else:
+        roots = written(components(links), "roots")
     classes = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min("least").alias("name"))
     names = classes.join(named, "root").select("node", F.col("name.doc_id").alias("class_id"), F.col("name.version").alias("class_version"))
