@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash over item-sized windows: DataFrame functions only.
 
-A window of a document is as long, in words, as a benchmark item. Only windows that share a shingle with an item of that
+A window of a document is as long, in words, as a benchmark item; a shorter document is one window. Only windows that share a shingle with an item of that
 length and lie as the item would lie around it are made, since others have no similarity to it. Windows and items get
 64-bit SimHash fingerprints; four blocks of 16 bits, each probed within 4 bits, give all pairs of equal length within
 19 bits. The exact weighted Jaccard similarity of the shingle multisets decides.
@@ -77,7 +77,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     docs has doc_id and text, benchmark item_id and text; other columns are left out. Null and empty texts match nothing.
     Items of under k words are compared as one shingle of all their words. Documents of fewer words than an item are
-    one window of their own length and don't match that item unless they fill its length. Rows with a null doc_id
+    one window of their own length, in shingles as long as the item's. Rows with a null doc_id
     are one document for each different text. Repeated rows count once. Items without an item_id are left out; of
     items with one item_id any one is taken.
     """
@@ -94,7 +94,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         places = filed.select("shingle", "n", F.col("pos").alias("item_pos")).distinct()
         found = _shingles(hashed.withColumn("have", F.size("h")), "h", size, ["doc_id", "version", "have"]).join(sized(places), "shingle")
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("have") - F.col("n")))
-        found = found.where("have >= n").select("doc_id", "version", "n", start.alias("start")).distinct()
+        # a shorter document's one window shares its own shingles at most
+        reach = F.col("have") - size + 1 >= (F.col("n") - size + 1) * similarity - 1e-6
+        found = found.where((F.col("have") >= F.col("n")) | reach).select("doc_id", "version", "n", start.alias("start")).distinct()
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
@@ -121,8 +123,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     shared = F.sum(F.least("times", "item_times"))
     judged = pairs.groupBy(*window, "item_id", "total", "item_total").agg(shared.alias("shared"))
     judged = judged.withColumn("similarity", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    best = F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"))).alias("best")
-    return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.n").alias("n_words"), F.col("best.similarity").alias("similarity"))
+    judged = judged.withColumn("n_words", (F.col("total") + F.least("n", F.lit(k)) - 1).cast("int"))
+    best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"))).alias("best")
+    return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

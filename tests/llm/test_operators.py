@@ -141,6 +141,18 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated(empty, bench).count() == 0 == decontamination.contaminated(docs, bench.limit(0)).count()
 
 
+def test_documents_shorter_than_the_item(spark):
+    """A document that is an item less some words is one window of its own length."""
+    rng = random.Random(21)
+    item = sentence(rng, 59).split()
+    texts = [item[:57], item[3:], item[:49], item[:48], item[:30], item[:4]]
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[:6]))], "item_id long, text string")
+    got = {r.doc_id: (r.start, r.n_words, r.similarity) for r in decontamination.contaminated(docs, bench).where("item_id = 7").collect()}
+    expected = {n: (0, len(t), x) for n, t in enumerate(texts) if (x := jaccard(grams(t), grams(item))) >= 0.8}
+    assert {n: (*v[:2], pytest.approx(v[2])) for n, v in expected.items()} == got and set(got) == {0, 1, 2, 3}
+
+
 def test_near_prints_finds_all(spark):
     rng = random.Random(6)
     items = [rng.getrandbits(64) for _ in range(8)]
