@@ -39,10 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a window like a benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    gone = written(found.withColumnRenamed("doc_id", "__gone"), "contaminated")
-    return docs.join(sized(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents without a window like a benchmark item. Of rows with one doc_id, or none, only those whose own text
+    has such a window are gone."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True).select("doc_id", "version").distinct()
+    gone = written(found.withColumnsRenamed({"doc_id": "__gone", "version": "__version"}), "contaminated")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
+    return docs.join(sized(gone), same, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

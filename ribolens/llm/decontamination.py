@@ -71,14 +71,15 @@ def near_prints(windows: DataFrame, items: DataFrame) -> DataFrame:
     return met.drop("b", "v").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = WORDS, by_text: bool = False) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): for each document and item the window most similar to the item,
     where that is ``similarity`` or more; ties go to the first window.
 
     docs has doc_id and text, benchmark item_id and text; other columns are left out. Null and empty texts match nothing.
     Items of under k words are compared as one shingle of all their words. Documents of fewer words than an item are
     one window of their own length, in shingles as long as the item's. Rows with a null doc_id
-    are one document for each different text. Repeated rows count once. Items without an item_id are left out; of
+    are one document for each different text, and so are rows of one doc_id; ``by_text`` gives a row for each of them, with
+    version (xxhash64 of the text) after doc_id, else the best of all is given. Repeated rows count once. Items without an item_id are left out; of
     items with one item_id any one is taken.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _hashed(F.col("text").cast("string")).alias("h"))
@@ -99,7 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         found = found.where((F.col("have") >= F.col("n")) | reach).select("doc_id", "version", "n", start.alias("start")).distinct()
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, n_words int, similarity double")
+        return docs.sparkSession.createDataFrame([], f"doc_id long, {'version long, ' if by_text else ''}item_id long, start int, n_words int, similarity double")
     item_rows = written(item_rows, "item-shingles")
     hits = written(hits, "windows")
     keyed = hits.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "n")).alias("places"))
@@ -125,7 +126,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     judged = judged.withColumn("similarity", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))).where(F.col("similarity") >= similarity)
     judged = judged.withColumn("n_words", (F.col("total") + F.least("n", F.lit(k)) - 1).cast("int"))
     best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"))).alias("best")
-    return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.start").alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.similarity").alias("similarity"))
+    keys = ["doc_id", "version", "item_id"] if by_text else ["doc_id", "item_id"]
+    return judged.groupBy(*keys).agg(best).select(*keys, F.col("best.start").alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -153,6 +153,17 @@ def test_documents_shorter_than_the_item(spark):
     assert {n: (*v[:2], pytest.approx(v[2])) for n, v in expected.items()} == got and set(got) == {0, 1, 2, 3}
 
 
+def test_decontamination_stage_keeps_clean_texts_of_a_key(spark, tmp_path):
+    """Rows with one doc_id, or none, are judged by their own text."""
+    rng = random.Random(22)
+    passage, clean, other = sentence(rng, 30), sentence(rng, 40), sentence(rng, 40)
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, passage), (None, clean), (None, None), (5, f"{other} {passage}"), (5, other), (6, clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(rows_of(corpus_pipeline.decontamination(spark, docs, str(tmp_path))))
+    assert got == Counter([(None, clean), (None, None), (5, other), (6, clean)])
+
+
 def test_near_prints_finds_all(spark):
     rng = random.Random(6)
     items = [rng.getrandbits(64) for _ in range(8)]
