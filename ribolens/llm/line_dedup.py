@@ -22,10 +22,11 @@ VARIABLE_FROM = LEAD + 6
 
 
 def tokens(line: Column) -> Column:
-    """Tokens between white space; those with a digit are wildcards."""
+    """Tokens between white space; those with a digit are wildcards, but not where no token would be left: such lines
+    (numbers, links, rows of figures) are alike only if they are equal."""
     plain = F.array_remove(F.split(line, r"\s+"), "")
     masked = F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(plain)
+    return F.when(line.rlike("[0-9]") & F.exists(masked, lambda t: t != WILD), masked).otherwise(plain)
 
 
 def line_rows(docs: DataFrame, key: str, text: str, lead: int) -> DataFrame:

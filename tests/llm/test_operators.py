@@ -220,6 +220,14 @@ def test_line_dedup(spark, empty):
     assert line_dedup.drop_recurring_lines(empty.select("doc_id", "text")).count() == 0
 
 
+def test_lines_of_wildcards_alone(spark):
+    """Lines whose tokens all hold a digit recur only if they are equal."""
+    rows = [(1, "17\n1 2 3\nhttp://a/1\nOrder 5"), (2, "18\n4 5 6\nhttp://b/2\nOrder 6"), (3, "17\nown")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(frame).collect()}
+    assert got == {1: rows[0][1], 2: "18\n4 5 6\nhttp://b/2", 3: "own"}
+
+
 def test_quality(spark, empty):
     rng = random.Random(3)
     good = [(n, sentence(rng, rng.randint(3, 120))) for n in range(300)]
