@@ -64,8 +64,10 @@ class Model:
 
 
 def labelled_sample(labels: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, quality) of ``limit`` labelled documents at most. A document with several labels takes the lowest."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
+    """(doc_id, quality) of ``limit`` labelled documents at most; a toxic one has quality 0. A document with several labels
+    takes the lowest."""
+    toxic = F.coalesce(F.col("toxic").cast("int"), F.lit(0)) == 1
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(toxic, 0).otherwise(F.col("quality").cast("int")).alias("quality")).dropna()
     one = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
@@ -119,7 +121,7 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, seed: int = SEED, key: str = "doc_id", text: str = "text") -> Model:
-    """Fits the raw model on all documents, the target model on half of the labelled ones of quality 1.
+    """Fits the raw model on all documents, the target model on half of the labelled ones of quality 1 that aren't toxic.
 
     A document's log weight is the mean log ratio of its features times SPREAD: the ratio of the models' likelihoods,
     tempered to one length, since else a long text's sampling error outweighs a short text's junk. The cut is fitted on

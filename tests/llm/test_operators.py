@@ -228,6 +228,19 @@ def test_lines_of_wildcards_alone(spark):
     assert got == {1: rows[0][1], 2: "18\n4 5 6\nhttp://b/2", 3: "own"}
 
 
+def test_quality_rejects_toxic(spark):
+    """Toxic labelled documents are learnt as what to reject, whatever their quality."""
+    rng = random.Random(23)
+    good = [(n, sentence(rng, rng.randint(20, 80))) for n in range(300)]
+    toxic = [(1000 + n, " ".join(w + rng.choice(("", "zzq")) for w in sentence(rng, 50).split())) for n in range(100)]
+    frame = spark.createDataFrame(good + toxic, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k, _ in good[::2]] + [(k, 1, 1) for k, _ in toxic[::2]], "doc_id long, quality int, toxic int")
+    rejected = labels.selectExpr("doc_id", "IF(toxic = 1, 0, quality) AS quality", "0 AS toxic")
+    kept, expected = ({r.doc_id for r in quality.resample(frame, quality.fit(frame, x)).where("selected").collect()} for x in (labels, rejected))
+    assert kept == expected
+    assert sum(k in kept for k, _ in good) / len(good) > 3 * sum(k in kept for k, _ in toxic) / len(toxic)
+
+
 def test_quality(spark, empty):
     rng = random.Random(3)
     good = [(n, sentence(rng, rng.randint(3, 120))) for n in range(300)]
