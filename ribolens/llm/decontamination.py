@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows: DataFrame functions only.
 
-A window of a document is as long, in words, as a benchmark item; a shorter document is one window. Only windows that share a shingle with an item of that
-length and lie as the item would lie around it are made, since others have no similarity to it. Windows and items get
-64-bit SimHash fingerprints; four blocks of 16 bits, each probed within 4 bits, give all pairs of equal length within
-19 bits. The exact weighted Jaccard similarity of the shingle multisets decides.
+A window of a document is as long, in words, as a benchmark item; a shorter document is one window. Every window in which
+enough shingles occur in items of that length is made: all others fall short of the similarity, whatever the item.
+Windows and items get 64-bit SimHash fingerprints. Eight blocks of 8 bits, each probed within 2 bits, give all pairs of
+windows and items of equal length within 23 bits; the exact weighted Jaccard similarity of the shingle multisets decides.
+Windows of equal words, from however many documents, are fingerprinted, looked up and compared once.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from pyspark.sql import functions as F
 from ribolens.llm.shared import sized, written
 
 WORDS, SIMILARITY = 5, 0.8
-BLOCKS, BLOCK_BITS, PROBE_BITS = 4, 16, 4
+BLOCKS, BLOCK_BITS, PROBE_BITS = 8, 8, 2
 #: Pairs of fingerprints that differ in so many bits at most are all found.
 RADIUS = BLOCKS * (PROBE_BITS + 1) - 1
+#: A block is probed under every value that differs by one of these masks.
+MASKS = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= PROBE_BITS]
+#: Different shingles of the benchmark, two short numbers a row, that are broadcast at most; more are shuffled.
+SHINGLE_ROWS = 2_000_000
 _HALVES = 0x0000000100000001
 
 
@@ -60,15 +65,55 @@ def _blocks(prints: DataFrame) -> DataFrame:
 
 
 def near_prints(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """All pairs of windows and items with equal n whose fingerprints differ in RADIUS bits at most.
+    """All pairs (n, print, item_print) of fingerprints of windows and items, of equal n, that differ in RADIUS bits at most.
 
-    If they do, some block differs in PROBE_BITS bits at most; items are filed under every such value of each block.
+    If they do, some block differs in PROBE_BITS bits at most; items are filed under every such value of each block. Equal
+    fingerprints are looked up once. The join is a shuffled one: Spark's size estimate doesn't see the probes.
     """
-    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda m: F.bit_count(m) <= PROBE_BITS)
-    probes = _blocks(items).withColumn("v", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("v")))))
-    probes = probes.select("n", "b", "v", "item_id", F.col("print").alias("item_print"), F.col("total").alias("item_total"))
-    met = _blocks(windows).join(probes, ["n", "b", "v"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    return met.drop("b", "v").distinct()
+    spread = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = items.select("n", "print").distinct().repartition(spread, "n", "print")
+    probes = _blocks(filed).select("n", "b", F.col("print").alias("item_print"), F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(m)) for m in MASKS])).alias("v"))
+    met = _blocks(windows.select("n", "print").distinct()).join(probes.hint("merge"), ["n", "b", "v"])
+    return met.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("n", "print", "item_print").distinct()
+
+
+def _starts(similarity: float) -> Column:
+    """Where windows of n words begin that hold ``need`` of the sorted places ``found`` at least, each start once: by the
+    first place that a window holds."""
+    width = F.col("n") - F.col("k") + 1  # shingles of a window
+
+    def at(i: Column) -> Column:
+        first, last = F.get("found", i), F.get("found", i + F.col("need") - 1)
+        low = F.greatest(F.lit(0), F.coalesce(F.get("found", i - 1) + 1, F.lit(0)), last - width + 1)
+        high = F.least(first, F.col("have") - F.col("n"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.col("have") < F.col("n"), F.array(F.lit(0))).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("found") - F.col("need")), at)))
+
+
+def item_windows(hashed: DataFrame, filed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(doc_id, version, n, start): the windows of hashed(doc_id, version, h) that can be similar to some item of n words.
+
+    filed has the items' shingles of ``size`` words. Of a window and an item of a and b shingles, similarity s needs
+    s / (1 + s) * (a + b) common ones; so many places of the window have to hold a shingle of items of that length. A
+    document's places are gathered in one row; it is no longer than its text.
+    """
+    places = sized(filed.select("shingle", "n").distinct(), SHINGLE_ROWS)
+    met = _shingles(hashed.withColumn("have", F.size("h")), "h", size, ["doc_id", "version", "have"]).join(places, "shingle")
+    found = met.groupBy("doc_id", "version", "have", "n").agg(F.array_sort(F.collect_set("pos")).alias("found")).withColumn("k", F.lit(size))
+    shingles = F.col("n") + F.least("have", "n") - 2 * (size - 1)
+    need = F.greatest(F.lit(1), F.ceil(shingles * (similarity / (1 + similarity)) - 1e-6)).cast("int")
+    enough = found.withColumn("need", need).where(F.size("found") >= F.col("need"))
+    return enough.select("doc_id", "version", "n", F.explode(_starts(similarity)).alias("start"))
+
+
+def _all_shingles(rows: DataFrame, sizes: list[int], k: int, keep: list[str]) -> DataFrame:
+    """The shingles of rows(n, h): of n words where that is under k, else of k."""
+    out = None
+    for size in sizes:
+        own = _shingles(rows.where(F.least("n", F.lit(k)) == size), "h", size, keep)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, k: int = WORDS, by_text: bool = False) -> DataFrame:
@@ -85,49 +130,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _hashed(F.col("text").cast("string")).alias("h"))
     items = written(items.withColumn("n", F.size("h")).where("n > 0 AND item_id IS NOT NULL").dropDuplicates(["item_id"]), "items")
     sizes = sorted({min(r["n"], k) for r in items.select(F.least("n", F.lit(k)).alias("n")).distinct().collect()})  # k numbers at most
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], f"doc_id long, {'version long, ' if by_text else ''}item_id long, start int, n_words int, similarity double")
+    item_rows = written(_all_shingles(items, sizes, k, ["item_id", "n"]), "item-shingles")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     hashed = source.select("doc_id", F.xxhash64("text").alias("version"), _hashed(F.col("text")).alias("h"))
-    item_rows, hits = None, None
+    windows = None
     for size in sizes:
-        own = items.where(F.least("n", F.lit(k)) == size)
-        filed = _shingles(own, "h", size, ["item_id", "n"])
-        item_rows = filed if item_rows is None else item_rows.unionByName(filed)
-        places = filed.select("shingle", "n", F.col("pos").alias("item_pos")).distinct()
-        found = _shingles(hashed.withColumn("have", F.size("h")), "h", size, ["doc_id", "version", "have"]).join(sized(places), "shingle")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("item_pos"), F.col("have") - F.col("n")))
-        # a shorter document's one window shares its own shingles at most
-        reach = F.col("have") - size + 1 >= (F.col("n") - size + 1) * similarity - 1e-6
-        found = found.where((F.col("have") >= F.col("n")) | reach).select("doc_id", "version", "n", start.alias("start")).distinct()
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id long, {'version long, ' if by_text else ''}item_id long, start int, n_words int, similarity double")
-    item_rows = written(item_rows, "item-shingles")
-    hits = written(hits, "windows")
-    keyed = hits.groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "n")).alias("places"))
+        own = item_windows(hashed, item_rows.where(F.least("n", F.lit(k)) == size), size, similarity)
+        windows = own if windows is None else windows.unionByName(own)
+    windows = written(windows, "windows")
     text = source.select("doc_id", "text", F.xxhash64("text").alias("version")).withColumnsRenamed({"doc_id": "d", "version": "v"})
-    whole = text.join(sized(keyed), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version")))
-    whole = whole.dropDuplicates(["doc_id", "version"]).select("doc_id", "version", _hashed(F.col("text")).alias("all"), "places")
-    cut = whole.select("doc_id", "version", "all", F.inline("places")).select("doc_id", "version", "start", "n", F.slice("all", F.col("start") + 1, F.col("n")).alias("h"))
-    window = ["doc_id", "version", "start", "n"]
-    window_rows = None
-    for size in sizes:
-        own = _shingles(cut.where(F.least("n", F.lit(k)) == size), "h", size, window)
-        window_rows = own if window_rows is None else window_rows.unionByName(own)
-    window_rows = written(window_rows, "window-shingles")
-    near = near_prints(_fingerprint(window_rows, window), _fingerprint(item_rows, ["item_id", "n"]))
-    near = written(near.select(*window, "total", "item_id", "item_total"), "near")
-    counted = window_rows.groupBy(*window, "shingle").agg(F.count(F.lit(1)).alias("times"))
-    item_counts = item_rows.groupBy("item_id", "shingle").agg(F.count(F.lit(1)).alias("item_times")).withColumnRenamed("item_id", "i")
-    same = [F.col(f"w_{c}").eqNullSafe(F.col(c)) for c in window]
-    pairs = near.join(counted.withColumnsRenamed({c: f"w_{c}" for c in window}), same[0] & same[1] & same[2] & same[3])
-    pairs = pairs.join(sized(item_counts), (F.col("i") == F.col("item_id")) & (item_counts["shingle"] == counted["shingle"]))
-    shared = F.sum(F.least("times", "item_times"))
-    judged = pairs.groupBy(*window, "item_id", "total", "item_total").agg(shared.alias("shared"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version"))
+    whole = text.join(sized(windows.select("doc_id", "version").distinct()), same, "left_semi").dropDuplicates(["d", "v"])
+    cut = windows.join(whole.select("d", "v", _hashed(F.col("text")).alias("all")), same)
+    cut = cut.select("doc_id", "version", "n", "start", F.slice("all", F.col("start") + 1, F.col("n")).alias("h"))
+    content = ["n", "u0", "u1"]  # equal words, by 128 bits
+    cut = written(cut.select("*", F.xxhash64("h").alias("u0"), F.xxhash64(F.lit(1), "h").alias("u1")), "cut")
+    window_rows = written(_all_shingles(cut.select(*content, "h").dropDuplicates(content), sizes, k, content), "window-shingles")
+    prints, item_prints = _fingerprint(window_rows, content), _fingerprint(item_rows, ["item_id", "n"]).withColumnRenamed("total", "item_total")
+    pairs = written(near_prints(prints, item_prints), "near")
+    item_prints = item_prints.withColumnsRenamed({"print": "item_print"})
+    near = prints.join(sized(pairs), ["n", "print"]).join(sized(item_prints), ["n", "item_print"]).select(*content, "total", "item_id", "item_total")
+    counted = window_rows.groupBy(*content, "shingle").agg(F.count(F.lit(1)).alias("times"))
+    item_counts = item_rows.groupBy("item_id", "shingle").agg(F.count(F.lit(1)).alias("item_times"))
+    both = near.join(counted, content).join(sized(item_counts), ["item_id", "shingle"])
+    judged = both.groupBy(*content, "item_id", "total", "item_total").agg(F.sum(F.least("times", "item_times")).alias("shared"))
     judged = judged.withColumn("similarity", F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    judged = judged.withColumn("n_words", (F.col("total") + F.least("n", F.lit(k)) - 1).cast("int"))
+    judged = written(judged.select(*content, "item_id", "similarity", (F.col("total") + F.least("n", F.lit(k)) - 1).cast("int").alias("n_words")), "judged")
+    met = cut.select("doc_id", "version", "start", *content).join(sized(judged), content)
     best = F.max_by(F.struct("start", "n_words", "similarity"), F.struct("similarity", -F.col("start"))).alias("best")
     keys = ["doc_id", "version", "item_id"] if by_text else ["doc_id", "item_id"]
-    return judged.groupBy(*keys).agg(best).select(*keys, F.col("best.start").alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.similarity").alias("similarity"))
+    return met.groupBy(*keys).agg(best).select(*keys, F.col("best.start").alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.similarity").alias("similarity"))
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -135,19 +169,21 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: All windows of the item's length, of every document that shares a shingle with an item of that length.
 OP1_SQL = r"""
 WITH iw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-i AS (SELECT item_id, w, CAST(len(w) AS INTEGER) AS n, least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+i AS (SELECT item_id, w, CAST(len(w) AS INTEGER) AS n, CAST(least(len(w), 5) AS INTEGER) AS k FROM iw WHERE len(w) > 0),
 dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-d AS (SELECT doc_id, w, CAST(len(w) AS INTEGER) AS have FROM dw),
-ish AS (SELECT item_id, n, k, CAST(p AS INTEGER) AS pos, array_to_string(w[p + 1 : p + k], ' ') AS s FROM (SELECT *, unnest(range(0, n - k + 1)) AS p FROM i)),
-dsh AS (SELECT doc_id, have, 5 AS k, CAST(p AS INTEGER) AS pos, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM (SELECT *, unnest(range(0, have - 4)) AS p FROM d)),
-hit AS (SELECT DISTINCT doc_id, n, greatest(0, least(dsh.pos - ish.pos, have - n)) AS start FROM dsh JOIN ish USING (k, s) WHERE have >= n),
-win AS (SELECT hit.doc_id, hit.n, hit.start, d.w[hit.start + 1 : hit.start + hit.n] AS w FROM hit JOIN d USING (doc_id)),
-wsh AS (SELECT doc_id, n, start, s, count(*) AS c FROM (SELECT doc_id, n, start, array_to_string(w[p + 1 : p + least(n, 5)], ' ') AS s FROM (SELECT *, unnest(range(0, n - least(n, 5) + 1)) AS p FROM win)) GROUP BY ALL),
-ic AS (SELECT item_id, n, s, count(*) AS c FROM ish GROUP BY ALL),
+d AS (SELECT doc_id, w, CAST(len(w) AS INTEGER) AS have FROM dw WHERE len(w) > 0),
+ish AS (SELECT item_id, n, k, array_to_string(w[p + 1 : p + k], ' ') AS s FROM (SELECT *, unnest(range(0, n - k + 1)) AS p FROM i)),
+dsh AS (SELECT DISTINCT doc_id, k, array_to_string(w[p + 1 : p + k], ' ') AS s FROM (SELECT *, unnest(range(0, have - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM ish))),
+met AS (SELECT DISTINCT doc_id, item_id, n, k FROM dsh JOIN ish USING (k, s)),
+win AS (SELECT doc_id, n, k, w[start + 1 : start + n] AS w, start FROM (SELECT *, CAST(unnest(range(0, greatest(have - n, 0) + 1)) AS INTEGER) AS start FROM (SELECT DISTINCT doc_id, n, k FROM met) JOIN d USING (doc_id))),
+wsh AS (SELECT doc_id, n, start, s, count(*) AS c FROM (SELECT doc_id, n, start, array_to_string(w[p + 1 : p + k], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - k + 1)) AS p FROM win)) GROUP BY ALL),
+tot AS (SELECT doc_id, n, start, k, len(w) - k + 1 AS t, CAST(len(w) AS INTEGER) AS n_words FROM win),
+ic AS (SELECT item_id, n, k, s, count(*) AS c FROM ish GROUP BY ALL),
 shared AS (SELECT doc_id, n, start, item_id, sum(least(wsh.c, ic.c)) AS m FROM wsh JOIN ic USING (n, s) GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, start, n, m / (2.0 * (n - least(n, 5) + 1) - m) AS similarity FROM shared)
-SELECT doc_id, item_id, start, n AS n_words, CAST(similarity AS DOUBLE) AS similarity FROM sim WHERE similarity >= 0.8
+sim AS (SELECT doc_id, item_id, start, n_words, m / (t + n - k + 1.0 - m) AS similarity FROM shared JOIN tot USING (doc_id, n, start))
+SELECT doc_id, item_id, start, n_words, CAST(similarity AS DOUBLE) AS similarity FROM sim WHERE similarity >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """

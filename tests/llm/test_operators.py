@@ -171,7 +171,8 @@ def test_near_prints_finds_all(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     windows = spark.createDataFrame([(n, signed(x), 9, 4) for n, x in enumerate(near)], "w long, print long, n int, total long")
     filed = spark.createDataFrame([(n, signed(x), 9, 4) for n, x in enumerate(items)], "item_id long, print long, n int, total long")
-    got = {(r.w, r.item_id) for r in decontamination.near_prints(windows, filed).collect()}
+    met = decontamination.near_prints(windows, filed).join(windows, ["n", "print"]).join(filed.withColumnRenamed("print", "item_print").drop("total"), ["n", "item_print"])
+    got = {(r.w, r.item_id) for r in met.collect()}
     assert got == {(a, b) for a, x in enumerate(near) for b, y in enumerate(items) if (x ^ y).bit_count() <= decontamination.RADIUS}
 
 
