@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ribolens.llm.bytetext import WORD, chunks, mix, spans, spans_hash
@@ -16,9 +16,12 @@ from ribolens.operators.clustering import components
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** 6) ** 42 < 3e-6.
 BANDS, ROWS = 42, 6
-#: In round t each bucket is compared with PIVOTS[t] of its nodes; then, or once that is no more than PAIRS_FOR_EACH pairs for
-#: each node on the mean, all its pairs of different classes are compared. The number of rounds doesn't grow with the data.
-PIVOTS, PAIRS_FOR_EACH = (1, 4, 4), 2
+#: Buckets of so many nodes at most are compared pair by pair, larger ones in blocks.
+PAIRED = 16
+#: Nodes and shingles of a block, about: blocks are dealt by hash.
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
+#: A shingle that so many pairs of a block share is counted by a matrix product, others pair by pair.
+COMMON_PAIRS = 4096
 #: Pairs that a Python worker gets at a time.
 PAIR_ROWS = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +140,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links of pairs(a, b, root_a, root_b): those with a weighted Jaccard similarity of ``similarity`` or more."""
+    """The links of pairs(a, b): those with a weighted Jaccard similarity of ``similarity`` or more."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,20 +151,109 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 similar.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.bool_())], ["a", "b", "similar"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = sets.join(sized(needed), "node", "left_semi")
     one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
     return joined.mapInArrow(compare, "a binary, b binary, similar boolean").where("similar").select("a", "b")
 
 
-def _left(buckets: DataFrame) -> tuple[DataFrame, int, int]:
-    """The bands with nodes of several classes, their nodes, and their pairs of nodes of different classes."""
-    by_root = buckets.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    live = by_root.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    live = written(live, "live")
-    total = live.agg(F.sum("n").alias("rows"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-    return live.select("band"), total["rows"] or 0, total["pairs"] or 0
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``sets`` shares with each of ``others``: exact counts, [sets, others]."""
+    m, n = len(sets), len(others)
+    one, two = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (sets, others))
+    _, at = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    own, other = at[: len(one)], at[len(one) :]
+    width = int(at.max()) + 1 if len(at) else 0
+    times = np.bincount(own, minlength=width), np.bincount(other, minlength=width)
+    shared = times[0] * times[1]
+    out = np.zeros((m, n), np.float32)
+    common = np.flatnonzero(shared > COMMON_PAIRS)
+    column = np.full(width, -1)
+    column[common] = np.arange(len(common))
+    for low in range(0, len(common), 2048):
+        blocks = []
+        for row, value, rows in ((one, column[own], m), (two, column[other], n)):
+            has = (value >= low) & (value < low + 2048)
+            block = np.zeros((rows, 2048), np.float32)
+            block[row[has], value[has] - low] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    rare = (shared > 0) & (shared <= COMMON_PAIRS)
+    order = np.argsort(other, kind="stable")
+    begin = np.cumsum(times[1]) - times[1]
+    mine = np.flatnonzero(rare[own])
+    reps = times[1][own[mine]]
+    cuts = np.searchsorted(np.cumsum(reps), np.arange(4 << 20, int(reps.sum()) + 1, 4 << 20))
+    for part in np.split(np.arange(len(mine)), cuts):
+        k, e = reps[part], mine[part]
+        if len(k):
+            step = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            met = two[order[np.repeat(begin[own[e]], k) + step]]
+            out += np.bincount(np.repeat(one[e], k) * n + met, minlength=m * n).reshape(m, n).astype(np.float32)
+    return out
+
+
+def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of so few of the True cells of ``links`` that rows and columns stay as connected as by all."""
+    fresh = np.ones(links.shape[1], bool)
+    open_rows = np.ones(links.shape[0], bool)
+    rows, columns = [], []
+    for start in range(links.shape[0]):
+        stack = [start] if open_rows[start] else []
+        open_rows[start] = False
+        while stack:
+            row = stack.pop()
+            new = np.flatnonzero(links[row] & fresh)
+            fresh[new] = False
+            rows.extend([row] * len(new))
+            columns.extend(new.tolist())
+            for c in new.tolist():
+                more = np.flatnonzero(links[:, c] & open_rows)
+                open_rows[more] = False
+                rows.extend(more.tolist())
+                columns.extend([c] * len(more))
+                stack.extend(more.tolist())
+    return np.array(rows, np.int64), np.array(columns, np.int64)
+
+
+def _block_links(rows: DataFrame, keys: list[str], sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among rows(keys..., node, root, own, every) of equal keys, of nodes ``own`` to nodes ``every`` with other
+    roots: as many of them as connect all that links connect."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes = np.array(table.column("node").to_pylist(), object)
+        held = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        one, two = (np.flatnonzero(table.column(c).to_numpy()) for c in ("own", "every"))
+        size = np.array([len(x) for x in held])
+        both = overlaps([held[i] for i in one], [held[i] for i in two]).astype(float)
+        linked = (both >= similarity * (size[one][:, None] + size[two][None, :] - both)) & (root[one][:, None] != root[two][None, :])
+        a, b = forest(linked)
+        a, b = nodes[one[a]], nodes[two[b]]
+        return pa.table({"a": pa.array(list(np.minimum(a, b)), pa.binary()), "b": pa.array(list(np.maximum(a, b)), pa.binary())})
+
+    return rows.join(sets, "node").select(*keys, "node", "root", "own", "every", "shingles").groupBy(*keys).applyInArrow(compare, "a binary, b binary")
+
+
+def _blocks(n: str, shingles: str) -> Column:
+    """How many blocks so many nodes with so many shingles take."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_NODES), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _across(large: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between blocks, in buckets of several blocks: the nodes that aren't in a bucket's most frequent class are
+    compared with all its nodes of other classes, block by block."""
+    rows = large.where("blocks > 1").select("band", "node", "size", "blocks").join(sized(components(links)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = written(rows, "classed")
+    by_root = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    live = by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max(F.struct("n", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    live = live.select("band", "top", (F.col("n") - F.col("most.n")).alias("rest"), (F.col("s") - F.col("most.s")).alias("rest_s")).where("rest > 0")
+    live = written(live.select("band", "top", _blocks("rest", "rest_s").alias("rest_blocks")), "live")
+    rows = rows.join(live, "band")
+    deal = lambda of, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of)).cast("int")
+    columns = ["band", "node", "root"]
+    own = rows.where("root <> top").select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), deal("rest_blocks", 1).alias("j"), F.lit(True).alias("own"), F.lit(False).alias("every"))
+    every = rows.select(*columns, deal("blocks", 0).alias("i"), F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("j"), F.lit(False).alias("own"), F.lit(True).alias("every"))
+    return _block_links(own.unionByName(every), ["band", "i", "j"], sets, similarity)
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,9 +265,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "do
     texts are empty. Rows with a null key are told apart by version.
 
     Equal multisets are one node from the start. Nodes that share a band are a bucket; of buckets with the same nodes one is
-    enough. In each round a bucket's nodes are compared with a few pivots, unless a class already holds both; so a bucket
-    of near copies takes about one comparison for each. The pairs of a bucket in different classes that are left after
-    the rounds are all compared.
+    enough. All pairs of a bucket are compared: in small buckets as rows, each pair once for all buckets; in larger ones
+    inside blocks of nodes, whose task gives only as many links as connect them. Buckets of several blocks then compare
+    what isn't in their most frequent class with the rest, a block with a block.
     """
     spark = docs.sparkSession
     rows = written(signed(docs, key, text), "signed")
@@ -183,48 +275,25 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, key: str = "do
     nodes = written(nodes, "nodes")
     banded = nodes.select("node", "size", F.explode("bands").alias("band"))
     digests = [F.bit_xor(F.xxhash64("node", F.lit(n))).alias(f"x{n}") for n in range(2)]
-    several = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *digests).where("n > 1").groupBy("n", "x0", "x1").agg(F.min("band").alias("band"))
-    buckets = written(banded.join(several.select("band"), "band").withColumn("root", F.col("node")), "buckets")
+    counted = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), *digests).where("n > 1")
+    several = counted.groupBy("n", "x0", "x1").agg(F.min_by(F.struct("band", "shingles"), "band").alias("of"))
+    buckets = written(banded.join(several.select("of.*", "n"), "band"), "buckets")
     chosen = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("least.*", "node")
     sets = written(_sets(docs, written(chosen, "chosen"), key, text), "sets")
-    links = done = None
+    small = buckets.where(F.col("n") <= PAIRED)
+    other = small.select("band", F.col("node").alias("b"), F.col("size").alias("other_size"))
     fits = F.least("size", "other_size") >= F.greatest("size", "other_size") * F.lit(similarity) - 1e-6  # else no link is possible
-    for turn in range(len(PIVOTS) + 1):
-        live, n_rows, n_pairs = _left(buckets)
-        if not n_rows:
-            break
-        last = turn == len(PIVOTS) or n_pairs <= PAIRS_FOR_EACH * n_rows
-        buckets = buckets.join(live, "band")
-        if last:
-            other = buckets.select("band", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"))
-            pairs = buckets.join(other, (buckets["band"] == other["band"]) & (F.col("root") < F.col("other_root")) & fits)
-        else:
-            buckets = written(buckets, "buckets") if turn else buckets
-            drawn = [F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.lit(turn), F.lit(j))) for j in range(PIVOTS[turn])]
-            pivot = buckets.groupBy("band").agg(F.array(*drawn).alias("p")).select("band", F.explode(F.array_distinct("p")).alias("p"))
-            other = pivot.select("band", F.col("p.node").alias("other"), F.col("p.root").alias("other_root"), F.col("p.size").alias("other_size"))
-            pairs = buckets.join(other, "band").where("root <> other_root").where(fits)
-        first = F.col("node") < F.col("other")
-        sides = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("node", "other", "a"), ("other", "node", "b"), ("root", "other_root", "root_a"), ("other_root", "root", "root_b"))]
-        pairs = pairs.select(*sides).distinct()
-        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        small_batches(spark, PAIR_ROWS)  # each row holds two texts' shingles
-        new = written(_verified(pairs, sets, similarity), "links")
-        small_batches(spark)
-        links = new if links is None else links.unionByName(new)
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        if last:
-            break
-        if new.limit(1).count():
-            met = pairs.join(sized(new), ["a", "b"], "left_semi")
-            moved = components(met.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
-            moved = moved.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("to"))
-            buckets = buckets.join(sized(moved), "root", "left").select("band", "node", "size", F.coalesce("to", "root").alias("root"))
-            buckets = written(buckets, "buckets")
-    if links is None:
-        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
-    else:
-        roots = written(components(links), "roots")
+    pairs = small.join(other, "band").where((F.col("node") < F.col("b")) & fits).select(F.col("node").alias("a"), "b").distinct()
+    small_batches(spark, PAIR_ROWS)  # each row holds two texts' shingles
+    links = written(_verified(pairs, sets, similarity), "links")
+    small_batches(spark)
+    large = buckets.where(F.col("n") > PAIRED).withColumn("blocks", _blocks("n", "shingles")).withColumn("root", F.col("node"))
+    block = F.pmod(F.xxhash64("node", F.lit(0)), F.col("blocks")).cast("int")
+    inside = large.select("band", "node", "root", block.alias("i"), F.lit(True).alias("own"), F.lit(True).alias("every"))
+    links = links.unionByName(written(_block_links(inside, ["band", "i"], sets, similarity), "links"))
+    if large.where("blocks > 1").limit(1).count():
+        links = links.unionByName(written(_across(large, links, sets, similarity), "links"))
+    roots = written(components(links), "roots")
     classes = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classes.groupBy("root").agg(F.min("least").alias("name"))
     names = classes.join(named, "root").select("node", F.col("name.doc_id").alias("class_id"), F.col("name.version").alias("class_version"))

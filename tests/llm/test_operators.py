@@ -196,13 +196,52 @@ def test_near_classes(docs, empty):
     assert near_dedup.near_classes(empty).count() == 0 == near_dedup.keep_one(empty).count()
 
 
-def test_bucket_pairs_left_after_the_rounds(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PIVOT_ROUNDS", 1)
+def classes_by_brute_force(texts, similarity=0.8):
+    """The least key of each text's class, by comparing all pairs."""
+    sets, label = {k: grams(words_of(t)) for k, t in texts.items()}, {k: k for k in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and label[a] != label[b] and jaccard(sets[a], sets[b]) >= similarity:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    return label
+
+
+@pytest.mark.parametrize(("nodes", "paired"), [(1024, 16), (40, 4)])
+def test_near_copies_about_the_threshold(spark, monkeypatch, nodes, paired):
+    """300 copies of one text, each with other words changed, so that only some pairs are links; in one block or in several."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
     rng = random.Random(8)
-    base = [rng.choice(WORDS) + str(n) for n in range(300)]
-    copies = [base[:n * 6] + [f"x{n}"] + base[n * 6 + 1 :] for n in range(40)]
-    rows = spark.createDataFrame([(n, " ".join(c)) for n, c in enumerate(copies)] + [(90, " ".join(base[:150]))], "doc_id long, text string")
-    assert {r.class_id for r in near_dedup.near_classes(rows).collect()} == {0, 90}
+    base = [rng.choice(WORDS) + str(n) for n in range(120)]
+    texts = {}
+    for n in range(300):
+        own = list(base)
+        for place in rng.sample(range(120), rng.randint(0, 6)):
+            own[place] = f"x{rng.randint(0, 3)}" if n % 3 else f"y{n}"
+        texts[n] = " ".join(own)
+    texts[900] = " ".join(base[:60])
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(rows).collect()} == classes_by_brute_force(texts)
+
+
+def test_overlaps_and_forest():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1, 1 << 60, 300).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[:60] if n % 2 else pool, rng.integers(0, 50))) for n in range(150)]
+    got = near_dedup.overlaps(sets[:70], sets[50:])
+    assert (got == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[50:]] for x in sets[:70]]).all()
+    links = rng.random((60, 80)) < 0.012
+    rows, columns = near_dedup.forest(links)
+    assert links[rows, columns].all()
+
+    def parts(pairs):
+        label = list(range(140))
+        for r, c in pairs:
+            label = [min(label[r], label[60 + c]) if x in (label[r], label[60 + c]) else x for x in label]
+        return label
+
+    assert parts(zip(rows.tolist(), columns.tolist(), strict=True)) == parts(np.argwhere(links).tolist())
 
 
 def test_line_dedup(spark, empty):
