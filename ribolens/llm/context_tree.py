@@ -1,16 +1,15 @@
 """Language-model scores by context-tree weighting over bytes.
 
 A text is its words (lower case A-Z, parted by white space), each followed by a blank, and one end byte. A byte's context
-is the DEPTH bytes before it in its word, filled up with blanks; bytes are eight binary decisions. At each node (a
-context of 0 to DEPTH bytes and the bits so far) a Krichevsky-Trofimov estimate of the counts is mixed, half and half,
+is the DEPTH bytes before it, across words, with end bytes before the text; bytes are eight binary decisions. At each node
+(a context of 0 to DEPTH bytes and the bits so far) a Krichevsky-Trofimov estimate of the counts is mixed, half and half,
 with the product of the longer contexts' mixtures; learnt from the training texts, that gives each byte a probability.
 
-Training texts may be in classes, such as languages: each class then has a tree of its own beside that of all texts, and a
-text's probability is the mean over the trees, weighted by the classes' shares of the training texts.
-
-Texts are read once, into blocks of word numbers; they don't move. A block deals its different words and contexts, as
-arrays with their counts, over parts by hash; a part adds up the blocks' counts, grows its subtrees, and answers each
-block with counts and code lengths in the order of what it sent. The block then scores its texts.
+Texts are read once, into blocks. A block deals its different words and keys (a context and the byte after it), as arrays
+with their counts, over parts by hash; a part adds up the blocks' counts, grows its subtrees once, and answers each block
+with code lengths. The block then scores its texts. The arrays hold each key of a block once, as rows of (block, key)
+would, and there are never more arrays than such rows; a part is a hash of the last SPLIT context bytes, so a group of
+equal endings is bounded: 256 ** (DEPTH - SPLIT + 1) keys.
 """
 
 from __future__ import annotations
@@ -26,20 +25,24 @@ from pyspark.sql import functions as F
 from ribolens.llm.bytetext import LOWER, SPACE, chunks, mix, spans, spans_hash
 from ribolens.llm.shared import small_batches, written
 
-DEPTH = 6
-#: Contexts that end in the same SPLIT bytes are one group; the at most 65,280 nodes above are summed up on the driver.
-SPLIT = 2
-#: Bytes of text in a block, and so about the work of a part: there are as many parts as blocks.
-BLOCK_BYTES = 16 << 20
-#: Classes with a tree of their own, the most frequent ones; texts of others are one class more.
-CLASSES = 6
-#: Words, or contexts, that are spread out at a time.
-WORDS_AT_ONCE = 20_000
-BLANK, END = 0x20, 0x0A
-
-#: kind 0: a text; 1: a block's words; 2, 3: what a block sends to a part of words, of contexts; 4, 5: what comes back.
+DEPTH = 5
+#: Contexts that end in the same SPLIT bytes are in one part. Of the levels above, at most 65,536 x 255 nodes are there, and
+#: two numbers of each go to all tasks (some MB for text, 330 MB at the very most).
+SPLIT = 3
+#: Bytes of text in a block, and so about the work of a part: there are as many parts as blocks of this size.
+BLOCK_BYTES = 32 << 20
+#: Keys that are spread out into bits at a time, more only where they have one ending.
+KEYS_AT_ONCE = 20_000
+#: Table entries up to which numbers are ranked by a table, beyond by sorting.
+TABLE = 1 << 25
+#: Entries after which a block's parts of counts are merged.
+MERGE_AT = 4 << 20
+BLANK, END = 0x20, 0xFF  # 0xFF never occurs in UTF-8
+
+#: kind 0: a text; 2, 3: what a block sends to a part of words, of keys; 4, 5: what comes back.
 SENT = "block long, kind int, part int, doc_id long, held_out boolean, data binary, counts binary"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+GROWN = "part int, keys binary, chance binary, nodes binary, sums binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -59,26 +62,55 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
-def word_keys(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The keys (context << 8 | byte) of each word's bytes and its final blank, and the words they belong to."""
-    size = np.array([len(w) + 1 for w in words], np.int64)
-    if not len(size):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    buf = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    begin = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(buf)) - begin[word]
-    keys = buf.copy()
+def plain_bytes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' words in lower case, each followed by one blank: bytes and row offsets."""
+    rows = len(offsets) - 1
+    row = np.repeat(np.arange(rows), np.diff(offsets))
+    out, space = np.full(len(buf) + rows, BLANK, np.uint8), np.ones(len(buf) + rows, bool)
+    at = np.arange(len(buf)) + row
+    out[at], space[at] = LOWER[buf], SPACE[buf]
+    begin = offsets[:-1] + np.arange(rows)
+    after = np.ones(len(out), bool)  # follows white space, or begins a row
+    after[1:] = space[:-1]
+    after[begin] = True
+    keep = ~(space & after)
+    out[space] = BLANK
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return out[keep], np.append(kept[begin], kept[-1])
+
+
+def ranked(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each code's number among the different codes, and those in order; codes are under ``size``."""
+    if size > TABLE:
+        different, numbers = np.unique(codes, return_inverse=True)
+        return numbers, different
+    there = np.zeros(size, bool)
+    there[codes] = True
+    different = np.flatnonzero(there)
+    number = np.zeros(size, np.int32)
+    number[different] = np.arange(len(different), dtype=np.int32)
+    return number[codes], different
+
+
+def keyed(flat: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys (context << 8 | byte) of the rows' bytes and of an end byte after each; the number of each
+    byte's key, row by row; and where each row begins."""
+    rows = len(offsets) - 1
+    size = np.diff(offsets)
+    buf = np.full(len(flat) + rows * (depth + 1), END, np.uint8)
+    buf[np.arange(len(flat)) + np.repeat(np.arange(rows), size) * (depth + 1) + depth] = flat
+    begin = np.concatenate([[0], np.cumsum(size + 1)])
+    at = np.arange(begin[-1]) + np.repeat(np.arange(1, rows + 1) * depth, size + 1)
+    symbols = np.flatnonzero(np.bincount(buf, minlength=256))
+    code = np.zeros(256, np.int64)
+    code[symbols] = np.arange(len(symbols))
+    buf = code[buf]
+    numbers, keys = ranked(buf[at], len(symbols))
+    keys = symbols[keys].astype(np.int64)
     for back in range(1, depth + 1):
-        before = np.full(len(buf), BLANK, np.int64)
-        has = place >= back
-        before[has] = buf[np.flatnonzero(has) - back]
-        keys |= before << (8 * back)
-    return keys, word
-
-
-def end_key(depth: int = DEPTH) -> int:
-    return int.from_bytes(bytes([BLANK] * depth + [END]), "big")
+        numbers, different = ranked(numbers * np.int64(len(symbols)) + buf[at - back], len(keys) * len(symbols))
+        keys = keys[different // len(symbols)] | (symbols[different % len(symbols)] << (8 * back))
+    return keys, numbers, begin
 
 
 def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,61 +120,30 @@ def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH, split: int = SPLIT) -> Iterator[tuple[np.ndarray, tuple]]:
-    """Of all keys whose contexts end in the same ``split`` bytes, for each tree (column of counts) in turn: each decision's
-    probability by the mixture from depth ``split`` on, [keys, 8]; and the nodes of that depth: context, bits, zeros, ones,
-    ln mixture."""
+def subtree(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH, split: int = SPLIT) -> tuple[np.ndarray, tuple]:
+    """Of all keys whose contexts end in the same ``split`` bytes: each decision's probability by the mixture from depth
+    ``split`` on, [keys, 8]; and the nodes of that depth: context, bits, zeros, ones, ln mixture."""
     prefix, bit = _bits(keys)
     context, bit = keys >> 8, bit.reshape(-1)
-    levels, below = [], None
+    weight = np.repeat(counts, 8).astype(float)
+    chance = mixed = below = None
     for d in range(depth, split - 1, -1):
         code = ((context & ((1 << (8 * d)) - 1))[:, None] << 8) | prefix
         node, back = np.unique(code.reshape(-1), return_inverse=True)
-        up = None if below is None else np.searchsorted(node, ((below >> 8) & ((1 << (8 * d)) - 1)) << 8 | (below & 0xFF))
-        levels.append((back.astype(np.int32), up, len(node)))
+        ones = np.bincount(back, weight * bit, len(node))
+        zeros = np.bincount(back, weight, len(node)) - ones
+        kt = log_kt(zeros, ones)
+        one = (ones + 0.5) / (zeros + ones + 1)
+        own = np.where(bit == 1, one[back], 1 - one[back])
+        if below is None:
+            mixed, chance = kt, own
+        else:
+            up = np.searchsorted(node, ((below >> 8) & ((1 << (8 * d)) - 1)) << 8 | (below & 0xFF))
+            mixed = np.log(0.5) + np.logaddexp(kt, np.bincount(up, mixed, len(node)))
+            share = np.exp(np.log(0.5) + kt - mixed)[back]
+            chance = share * own + (1 - share) * chance
         below = node
-    for tree in range(counts.shape[1]):
-        weight = np.repeat(counts[:, tree], 8).astype(float)
-        chance = mixed = None
-        for back, up, n in levels:
-            ones = np.bincount(back, weight * bit, n)
-            zeros = np.bincount(back, weight, n) - ones
-            kt = log_kt(zeros, ones)
-            one = (ones + 0.5) / (zeros + ones + 1)
-            own = np.where(bit == 1, one[back], 1 - one[back])
-            if up is None:
-                mixed, chance = kt, own
-            else:
-                mixed = np.log(0.5) + np.logaddexp(kt, np.bincount(up, mixed, n))
-                share = np.exp(np.log(0.5) + kt - mixed)[back]
-                chance = share * own + (1 - share) * chance
-        yield chance.reshape(-1, 8), (below >> 8, below & 0xFF, zeros, ones, mixed)
-
-
-def top_levels(rows: list, trees: int) -> tuple[np.ndarray, np.ndarray]:
-    """From the nodes below, summed by their last byte and bits: for depths 1 and 0 the probability of a one and the share
-    of the own estimate, as arrays [257, 256, trees] by context (row 256: none) and bits."""
-    zeros, ones, below = (np.zeros((257, 256, trees)) for _ in range(3))
-    for r in rows:
-        at = r["last"], r["bits"]
-        zeros[at], ones[at], below[at] = ([r[f"{c}{t}"] for t in range(trees)] for c in ("z", "o", "m"))
-    kt = log_kt(zeros, ones)
-    mixed = np.log(0.5) + np.logaddexp(kt, below)
-    share = np.exp(np.log(0.5) + kt - mixed)
-    zeros[256], ones[256], below[256] = zeros[:256].sum(axis=0), ones[:256].sum(axis=0), mixed[:256].sum(axis=0)
-    kt[256] = log_kt(zeros[256], ones[256])
-    share[256] = np.exp(-np.logaddexp(0, below[256] - kt[256]))
-    return (ones + 0.5) / (zeros + ones + 1), share
-
-
-def code_lengths(keys: np.ndarray, chance: np.ndarray, one: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """ln probability of each key's byte in one tree, from the mixture below depth 2 and the estimates above."""
-    prefix, bit = _bits(keys)
-    last = ((keys >> 8) & 0xFF)[:, None]
-    for row in (last, np.full_like(last, 256)):
-        own = np.where(bit == 1, one[row, prefix], 1 - one[row, prefix])
-        chance = share[row, prefix] * own + (1 - share[row, prefix]) * chance
-    return np.log(chance).sum(axis=1)
+    return chance.reshape(-1, 8), (below >> 8, below & 0xFF, zeros, ones, mixed)
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -155,261 +156,250 @@ def unsqueezed(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def key_parts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each key: contexts that end in the same SPLIT bytes go together."""
-    return (mix(((keys >> 8) & ((1 << (8 * SPLIT)) - 1)).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-
-
-def block_keys(words: list[bytes], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """The different keys of words, sorted, with the words' weights (rows by class) added up; the end's key is one."""
-    keys, sums = [np.array([end_key()])], [None if weights is None else np.zeros((1, len(weights)))]
-    for low in range(0, len(words), WORDS_AT_ONCE):
-        own, word = word_keys(words[low : low + WORDS_AT_ONCE])
-        unique, back = np.unique(own, return_inverse=True)
-        keys.append(unique)
-        if weights is not None:
-            sums.append(np.column_stack([np.bincount(back, w[low + word], len(unique)) for w in weights]))
-    unique, back = np.unique(np.concatenate(keys), return_inverse=True)
-    if weights is None:
-        return unique, None
-    every = np.concatenate(sums)
-    return unique, np.column_stack([np.bincount(back, every[:, c], len(unique)) for c in range(every.shape[1])]).astype(np.int64)
-
-
-def words_hash(words: list[bytes]) -> np.ndarray:
-    size = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(size)
-    return spans_hash(np.frombuffer(b"".join(words), np.uint8), ends - size, ends)
-
-
-class Block:
-    """Texts gathered until they are BLOCK_BYTES."""
-
-    def __init__(self, classes: int):
-        self.classes, self.texts, self.vocabularies, self.bytes = classes, [], [], 0
-
-    def add(self, keys: list, held: np.ndarray, kind: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> None:
-        buf = LOWER[buf]
-        starts, ends, row = spans(~SPACE[buf], offsets)
-        unique, first, back = np.unique(spans_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        data = buf.tobytes()
-        words = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        learnt = ~held[row]
-        cell = kind[row[learnt]].astype(np.int64) * len(unique) + back[learnt]
-        counts = np.bincount(cell, minlength=self.classes * len(unique)).reshape(self.classes, -1)
-        cut = np.searchsorted(row, np.arange(1, len(keys)))
-        learnt_ends = np.bincount(kind[~held], minlength=self.classes)
-        self.texts.append((keys, held.tolist(), np.split(back.astype(np.int32), cut)))
-        self.vocabularies.append((unique, words, counts, np.bincount(back, minlength=len(unique)), learnt_ends))
-        self.bytes += len(buf)
-
-    def sent(self, name: int, parts: int) -> Iterator[pa.RecordBatch]:
-        """The block's rows, of form SENT."""
-        hashes, first = np.unique(np.concatenate([v[0] for v in self.vocabularies]), return_index=True)
-        every = [w for v in self.vocabularies for w in v[1]]
-        train, often = np.zeros((self.classes, len(hashes)), np.int64), np.zeros(len(hashes), np.int64)
-        places = [np.searchsorted(hashes, v[0]) for v in self.vocabularies]
-        for at, v in zip(places, self.vocabularies, strict=True):
-            train[:, at] += v[2]
-            often[at] += v[3]
-        order = np.argsort(-often, kind="stable")  # frequent words get small numbers
-        number = np.empty(len(order), np.int32)
-        number[order] = np.arange(len(order), dtype=np.int32)
-        words, hashes, train = [every[i] for i in first[order]], hashes[order], train[:, order]
-        batch = []
-        for at, (keys, held, tokens) in zip(places, self.texts, strict=True):
-            batch.extend((name, 0, None, k, h, squeezed(number[at[t]].astype("<i4")), None) for k, h, t in zip(keys, held, tokens, strict=True))
-        batch.append((name, 1, None, None, None, zlib.compress(b" ".join(words), 1), None))
-        total = train.sum(axis=0)
-        part = (hashes % np.uint64(parts)).astype(np.int64)
-        for p in np.unique(part).tolist():
-            own = part == p
-            batch.append((name, 2, p, None, None, hashes[own].astype("<u8").tobytes(), squeezed(total[own].astype("<i8"))))
-        keys, counts = block_keys(words, train)
-        counts[np.searchsorted(keys, end_key())] += sum(v[4] for v in self.vocabularies)
-        part = key_parts(keys, parts)
-        for p in np.unique(part).tolist():
-            own = part == p
-            batch.append((name, 3, p, None, None, squeezed(keys[own].astype("<i8")), squeezed(counts[own].astype("<i8"))))
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-        for low in range(0, len(batch), 500):
-            columns = zip(*batch[low : low + 500], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["block", "kind", "part", "doc_id", "held_out", "data", "counts"])
-
-
-def blocks_of(plain: DataFrame, classes: int, parts: int) -> DataFrame:
-    """Blocks of plain(doc_id, held_out, class, text), with what each sends to the parts."""
+def endings(keys: np.ndarray) -> np.ndarray:
+    return (keys >> 8) & ((1 << (8 * SPLIT)) - 1)
+
+
+def by_part(keys: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part and the places of its keys."""
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.diff(part[order])) + 1
+    for places in np.split(order, edges) if len(order) else []:
+        yield int(part[places[0]]), places
+
+
+class Counts:
+    """Keys with the sums of their counts, added piece by piece."""
+
+    def __init__(self):
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.pieces.append((keys, counts))
+        self.size += len(keys)
+        if self.size > MERGE_AT and len(self.pieces) > 1:
+            self.pieces = [self.summed()]
+            self.size = len(self.pieces[0][0]) // 2  # so that merging stays in proportion
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, back = np.unique(np.concatenate([k for k, _ in self.pieces]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([c for _, c in self.pieces]), len(keys)).astype(np.int64)
+
+
+def blocks_of(plain: DataFrame, parts: int) -> DataFrame:
+    """Blocks of plain(doc_id, held_out, text): the texts, and what each block sends to the parts."""
+    names = ["block", "kind", "part", "doc_id", "held_out", "data", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+
+    def sent(block: int, kind: int, counts: Counts) -> Iterator[pa.RecordBatch]:
+        keys, times = counts.summed()
+        part = (mix(keys if kind == 2 else endings(keys).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        for p, at in by_part(keys, part):
+            row = block, kind, p, None, None, squeezed(keys[at].view("<i8")), squeezed(times[at].astype("<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, block = TaskContext.get().partitionId() << 32, Block(classes)
+        block, words, keys, held_bytes = TaskContext.get().partitionId() << 32, Counts(), Counts(), 0
         for batch in batches:
-            keys, held, kind = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
-            for low, high, buf, offsets in chunks(batch.column(3)):
-                block.add(keys[low:high], held[low:high], kind[low:high], buf, offsets)
-                if block.bytes >= BLOCK_BYTES:
-                    yield from block.sent(name, parts)
-                    name, block = name + 1, Block(classes)
-        if block.texts:
-            yield from block.sent(name, parts)
+            held = batch.column(1).to_numpy(zero_copy_only=False)
+            for low, high, buf, offsets in chunks(batch.column(2)):
+                flat, offsets = plain_bytes(buf, offsets)
+                rows, learnt = high - low, ~held[low:high]
+                own, number, begin = keyed(flat, offsets)
+                keys.add(own, np.bincount(number[np.repeat(learnt, np.diff(begin))], minlength=len(own)))
+                starts, ends, row = spans(flat != BLANK, offsets)
+                hashes, back = np.unique(spans_hash(flat, starts, ends), return_inverse=True)
+                words.add(hashes, np.bincount(back[learnt[row]], minlength=len(hashes)))
+                texts = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat.tobytes())])
+                same = [pa.array(np.full(rows, block)), pa.array(np.zeros(rows, np.int32)), pa.nulls(rows, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*same, batch.column(0).slice(low, rows), batch.column(1).slice(low, rows), texts, pa.nulls(rows, pa.binary())], names)
+                held_bytes += len(flat)
+                if held_bytes >= BLOCK_BYTES:
+                    yield from sent(block, 2, words)
+                    yield from sent(block, 3, keys)
+                    block, words, keys, held_bytes = block + 1, Counts(), Counts(), 0
+        if words.pieces:
+            yield from sent(block, 2, words)
+            yield from sent(block, 3, keys)
 
     small_batches(plain.sparkSession)
     return plain.mapInArrow(gather, SENT)
 
 
-def _answer(table: pa.Table, kind: int, data: list[bytes], found: list) -> pa.Table:
-    return pa.table({"block": table.column("block"), "kind": pa.array([kind] * len(data), pa.int32()), "part": table.column("part"), "data": pa.array(data, pa.binary()), "found": pa.array(found, pa.int64())})
+ANSWER = "block long, kind int, data binary, counts binary, found long, tokens long"
 
 
-ANSWER = "block long, kind int, part int, data binary, found long"
+def _columns(table: pa.Table) -> list[np.ndarray]:
+    """The arrays of keys of a part's rows."""
+    return [unsqueezed(x, "<i8") for x in table.column("data").to_pylist()]
 
 
 def count_words(sent: DataFrame) -> DataFrame:
-    """For each block and part the training counts of the words sent, over all blocks. found: on one row of a part how
-    many of its words occur in training."""
+    """For each block and part the training counts of the words sent, over all blocks. On one row of a part, found and
+    tokens: how many different words, and how many words, training has of the part."""
 
     def count(table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x, "<u8") for x in table.column("data").to_pylist()]
+        own = _columns(table)
         every, back = np.unique(np.concatenate(own), return_inverse=True)
-        counts = np.concatenate([unsqueezed(x, "<i8") for x in table.column("counts").to_pylist()])
-        total = np.zeros(len(every), np.int64)
-        np.add.at(total, back, counts)
-        split = np.split(total[back], np.cumsum([len(x) for x in own])[:-1])
-        return _answer(table, 4, [squeezed(x.astype("<i8")) for x in split], [int((total > 0).sum()), *[0] * (len(own) - 1)])
-
-    return sent.where("kind = 2").groupBy("part").applyInArrow(count, ANSWER)
-
-
-def learn(sent: DataFrame, classes: int) -> DataFrame:
-    """For each block and part the ln probabilities of the keys sent: 32-bit floats, [keys, classes + 1], the last for the
-    tree of all texts. The subtrees are grown twice: for the few sums that the top needs of them, then with the top known."""
-    trees = classes + 1
-
-    def gathered(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-        own = [unsqueezed(x, "<i8") for x in table.column("data").to_pylist()]
-        keys, back = np.unique(np.concatenate(own), return_inverse=True)
-        each = np.concatenate([unsqueezed(x, "<i8").reshape(-1, classes) for x in table.column("counts").to_pylist()])
-        counts = np.column_stack([np.bincount(back, each[:, c], len(keys)) for c in range(classes)])
-        return own, keys, back, np.column_stack([counts, counts.sum(axis=1)])
-
-    def groups(keys: np.ndarray) -> Iterator[np.ndarray]:
-        """Rows by their SPLIT last context bytes, several of those together up to some size."""
-        last = (keys >> 8) & ((1 << (8 * SPLIT)) - 1)
+        total = np.bincount(back, np.concatenate([unsqueezed(x, "<i8") for x in table.column("counts").to_pylist()]), len(every)).astype(np.int64)
+        back = np.split(total[back], np.cumsum([len(x) for x in own])[:-1])
+        rest = [0] * (len(own) - 1)
+        kind = pa.array([4] * len(own), pa.int32())
+        counts = pa.array([squeezed(x.astype("<i8")) for x in back], pa.binary())
+        found, tokens = pa.array([int((total > 0).sum()), *rest], pa.int64()), pa.array([int(total.sum()), *rest], pa.int64())
+        return pa.table({"block": table.column("block"), "kind": kind, "data": table.column("data"), "counts": counts, "found": found, "tokens": tokens})
+
+    return sent.where("kind = 2").select("block", "part", "data", "counts").groupBy("part").applyInArrow(count, ANSWER)
+
+
+def grow(sent: DataFrame) -> DataFrame:
+    """The parts' keys with each decision's probability below depth SPLIT, [keys, 8], and the sums of zeros, ones and ln
+    mixtures of the nodes above (context of SPLIT - 1 bytes << 8 | bits); rows of some ten thousand keys."""
+
+    def grown(table: pa.Table) -> pa.Table:
+        keys, back = np.unique(np.concatenate(_columns(table)), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([unsqueezed(x, "<i8") for x in table.column("counts").to_pylist()]), len(keys))
+        last = endings(keys)
         order = np.argsort(last, kind="stable")
-        edges = np.flatnonzero(np.diff(last[order])) + 1
-        low = 0
+        edges = np.append(np.flatnonzero(np.diff(last[order])) + 1, len(order))
+        out, low = [], 0
         while low < len(order):
-            more = edges[edges >= low + WORDS_AT_ONCE]
-            high = int(more[0]) if len(more) else len(order)
-            yield np.sort(order[low:high])
+            high = int(edges[min(np.searchsorted(edges, low + KEYS_AT_ONCE), len(edges) - 1)])
+            rows = np.sort(order[low:high])
+            chance, (context, bits, *sums) = subtree(keys[rows], counts[rows])
+            node, up = np.unique((context & ((1 << (8 * (SPLIT - 1))) - 1)) << 8 | bits, return_inverse=True)
+            sums = np.concatenate([np.bincount(up, x, len(node)) for x in sums])
+            out.append((squeezed(keys[rows].astype("<i8")), chance.astype("<f4").tobytes(), node.astype("<i4").tobytes(), sums.astype("<f8").tobytes()))
             low = high
+        part = pa.array([table.column("part")[0].as_py()] * len(out), pa.int32())
+        return pa.table([part, *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=["part", "keys", "chance", "nodes", "sums"])
 
-    columns = [f"{n}{t}" for n in "zom" for t in range(trees)]
+    return sent.where("kind = 3").select("part", "data", "counts").groupBy("part").applyInArrow(grown, GROWN)
 
-    def grow(table: pa.Table) -> pa.Table:
-        _, keys, _, counts = gathered(table)
-        out = []
-        for rows in groups(keys):
-            sums = {}
-            for tree, (_, (context, bits, *found)) in enumerate(subtree(keys[rows], counts[rows])):
-                cell, back = np.unique((context & 0xFF) << 8 | bits, return_inverse=True)
-                sums |= {f"{n}{tree}": np.bincount(back, x, len(cell)) for n, x in zip("zom", found, strict=True)}
-            out.append([cell >> 8, cell & 0xFF, *[sums[c] for c in columns]])
-        return pa.table({n: np.concatenate(x) for n, x in zip(["last", "bits", *columns], zip(*out, strict=True), strict=True)})
-
-    keyed = sent.where("kind = 3").select("block", "part", "data", "counts")
-    nodes = keyed.groupBy("part").applyInArrow(grow, "last long, bits long, " + ", ".join(f"{c} double" for c in columns))
-    # 256 * 255 rows at most
-    one, share = top_levels(nodes.groupBy("last", "bits").agg(*[F.sum(c).alias(c) for c in columns]).collect(), trees)
 
-    def measure(table: pa.Table) -> pa.Table:
-        own, keys, back, counts = gathered(table)
-        lengths = np.zeros((len(keys), trees), "<f4")
-        for rows in groups(keys):
-            for tree, (chance, _) in enumerate(subtree(keys[rows], counts[rows])):
-                lengths[rows, tree] = code_lengths(keys[rows], chance, one[:, :, tree], share[:, :, tree])
-        split = np.split(lengths[back], np.cumsum([len(x) for x in own])[:-1])
-        return _answer(table, 5, [squeezed(x) for x in split], [0] * len(own))
+def _mixed(nodes: DataFrame) -> DataFrame:
+    """nodes(code, zeros, ones, below) with their ln mixture, chance of a one and share of the own estimate."""
+
+    def mixing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            zeros, ones, below = (batch.column(n).to_numpy() for n in (1, 2, 3))
+            kt = log_kt(zeros, ones)
+            mixed = np.log(0.5) + np.logaddexp(kt, below)
+            more = [pa.array(x) for x in (mixed, (ones + 0.5) / (zeros + ones + 1), np.exp(np.log(0.5) + kt - mixed))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *more], ["code", "zeros", "ones", "mixed", "one", "share"])
+
+    return nodes.select("code", "zeros", "ones", "below").mapInArrow(mixing, "code int, zeros double, ones double, mixed double, one double, share double")
+
+
+def top_levels(grown: DataFrame) -> pa.Table:
+    """(code, one, rest) of the nodes of depth SPLIT - 1: the probability of a one by all levels down to theirs, and the weight
+    that is left for the levels below."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nodes, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes, "<i4")), *(pa.array(x) for x in np.frombuffer(sums, "<f8").reshape(3, -1))], ["code", "zeros", "ones", "below"])
+
+    level = grown.select("nodes", "sums").mapInArrow(spread, "code int, zeros double, ones double, below double")
+    levels = []
+    for depth in range(SPLIT - 1, -1, -1):
+        mask = (1 << (8 * (depth + 1))) - 1
+        below = "below" if depth == SPLIT - 1 else "mixed"
+        summed = level.groupBy(F.col("code").bitwiseAND(F.lit(mask)).cast("int").alias("code")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum(below).alias("below"))
+        level = written(_mixed(summed), f"level-{depth}")
+        levels.append(level)
+    down = levels[-1].select(F.col("code").alias("up"), (F.col("one") * F.col("share")).alias("sure"), (1 - F.col("share")).alias("rest"))
+    for depth, level in zip(range(1, SPLIT), levels[-2::-1], strict=True):
+        met = level.join(down, level["code"].bitwiseAND(F.lit((1 << (8 * depth)) - 1)) == down["up"])
+        down = met.select(level["code"].alias("up"), (F.col("sure") + F.col("rest") * level["share"] * level["one"]).alias("sure"), (F.col("rest") * (1 - level["share"])).alias("rest"))
+    return down.orderBy("up").toArrow()
+
+
+def code_lengths(keys: np.ndarray, chance: np.ndarray, top: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """ln probability of each key's byte, from the mixture below depth SPLIT and the levels above (codes, one, rest)."""
+    prefix, bit = _bits(keys)
+    at = np.searchsorted(top[0], (((keys >> 8) & ((1 << (8 * (SPLIT - 1))) - 1)) << 8)[:, None] | prefix)
+    one, rest = top[1][at], top[2][at]
+    return np.log(np.where(bit == 1, one, 1 - rest - one) + rest * chance).sum(axis=1)
 
-    return keyed.groupBy("part").applyInArrow(measure, ANSWER)
 
+def learn(sent: DataFrame) -> DataFrame:
+    """For each block and part the ln probabilities of the keys sent, as 32-bit floats."""
+    grown = written(grow(sent), "grown")
+    top = top_levels(grown)
+    shared = sent.sparkSession.sparkContext.broadcast(tuple(top.column(n).to_numpy() for n in range(3)))
 
-def context_tree_scores(docs: DataFrame, fold: int = 10, key: str = "doc_id", text: str = "text", class_column: str | None = None) -> DataFrame:
+    def measure(table: pa.Table) -> pa.Table:
+        is_key = table.column("block").is_null().to_numpy()
+        keys, lengths = [], []
+        for i in np.flatnonzero(is_key):
+            keys.append(unsqueezed(table.column("data")[int(i)].as_py(), "<i8"))
+            lengths.append(code_lengths(keys[-1], np.frombuffer(table.column("chance")[int(i)].as_py(), "<f4").reshape(-1, 8), shared.value))
+        keys, lengths = np.concatenate(keys), np.concatenate(lengths).astype("<f4")
+        order = np.argsort(keys)
+        keys, lengths = keys[order], lengths[order]
+        own = table.filter(pa.array(~is_key))
+        back = [squeezed(lengths[np.searchsorted(keys, unsqueezed(x, "<i8"))]) for x in own.column("data").to_pylist()]
+        none = pa.array([0] * len(back), pa.int64())
+        return pa.table({"block": own.column("block"), "kind": pa.array([5] * len(back), pa.int32()), "data": own.column("data"), "counts": pa.array(back, pa.binary()), "found": none, "tokens": none})
+
+    asked = sent.where("kind = 3").select("part", "block", "data", F.lit(None).cast("binary").alias("chance"))
+    known = grown.select("part", F.lit(None).cast("long").alias("block"), F.col("keys").alias("data"), "chance")
+    return asked.unionAll(known).groupBy("part").applyInArrow(measure, ANSWER)
+
+
+def context_tree_scores(docs: DataFrame, fold: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     The model learns from rows whose crc32(key as text) mod ``fold`` isn't 0; a null key counts as the empty text. score is
-    the log10 probability of the text (words and end) under the trees, base_score under a word unigram model with 0.1
-    added to each count; bits_per_byte is the trees' code length by the bytes of words, blanks and end. class_column names
-    the classes of training texts (null is a class); no text is scored by its own. A null or empty text is its end
-    alone. Repeated rows count and are scored each. Extra columns are left out.
+    the log10 probability of the text (words and end) under the tree, base_score under a word unigram model with 0.1
+    added to each count; bits_per_byte is the tree's code length by the bytes of words, blanks and end. A null or empty
+    text is its end alone. Repeated rows count and are scored each. Extra columns are left out. Words are told apart by
+    64 bits of hash; keys are whole.
     """
     held = F.crc32(F.coalesce(docs[key].cast("string"), F.lit("")).cast("binary")) % fold == 0
-    label = F.coalesce(docs[class_column].cast("string"), F.lit("")) if class_column else F.lit("")
-    plain = docs.select(docs[key].cast("long").alias("doc_id"), held.alias("held_out"), label.alias("class"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    sizes = plain.groupBy("class").agg(F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    top = sizes.orderBy(F.desc("n"), "class").limit(CLASSES).collect()
-    whole = sizes.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    plain = docs.select(docs[key].cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+    whole = plain.agg(F.sum(F.when(F.col("held_out"), 0).otherwise(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     ends, parts = whole["n"] or 0, max(12, -(-(whole["bytes"] or 0) // BLOCK_BYTES))
-    classes = len(top) + 1
-    end_counts = [r["n"] for r in top] + [ends - sum(r["n"] for r in top)]
-    number = F.lit(len(top))
-    for n, r in enumerate(top):
-        number = F.when(F.col("class") == r["class"], n).otherwise(number)
-    prior = np.log(np.array([*(n + 1 for n in end_counts), 1.0]) / (ends + classes + 1))
-    sent = written(blocks_of(plain.withColumn("class", number.cast("int")), classes, parts), "blocks")
+    sent = written(blocks_of(plain, parts), "blocks")
     counted = written(count_words(sent), "word-counts")
-    distinct = int(counted.agg(F.sum("found")).first()[0] or 0) + (ends > 0)
-    lengths = learn(sent, classes)
-    trained = count_tokens(sent) + ends
+    total = counted.agg(F.sum("found").alias("found"), F.sum("tokens").alias("tokens")).first()
+    distinct, trained = (total["found"] or 0) + (ends > 0), (total["tokens"] or 0) + ends
 
     def score(table: pa.Table) -> pa.Table:
-        kind, data = table.column("kind").to_numpy(), table.column("data").to_pylist()
-        part = table.column("part").fill_null(-1).to_numpy()
-        at = {k: {int(part[i]): data[i] for i in np.flatnonzero(kind == k)} for k in (1, 4, 5)}
-        joined = zlib.decompress(at[1][-1])
-        words = joined.split(b" ") if joined else []
-        hashes, keys = words_hash(words), block_keys(words)[0]
-        count, ln_p = np.zeros(len(words)), np.zeros((len(keys), classes + 1))
-        own = (hashes % np.uint64(parts)).astype(np.int64)
-        for p, x in at[4].items():
-            count[own == p] = unsqueezed(x, "<i8")
-        own = key_parts(keys, parts)
-        for p, x in at[5].items():
-            ln_p[own == p] = unsqueezed(x, "<f4").reshape(-1, classes + 1)
-        tree = [np.zeros((0, classes + 1))]
-        for low in range(0, len(words), WORDS_AT_ONCE):
-            spread, word = word_keys(words[low : low + WORDS_AT_ONCE])
-            each = ln_p[np.searchsorted(keys, spread)]
-            tree.append(np.column_stack([np.bincount(word, each[:, c]) for c in range(classes + 1)]))
-        tree = np.concatenate([*tree, ln_p[[np.searchsorted(keys, end_key())]]])
-        size = np.array([*(len(w) + 1 for w in words), 1])
-        count = np.append(count, ends)
-        base = np.log10((count + 0.1) / (trained + 0.1 * (distinct + 1)))
+        kind = table.column("kind").to_numpy()
+        known = []
+        for k, form in ((4, "<i8"), (5, "<f4")):
+            own = table.filter(pa.array(kind == k))
+            keys = np.concatenate([np.zeros(0, "<i8"), *_columns(own)]).view("<u8" if k == 4 else "<i8")
+            found = np.concatenate([np.zeros(0, form), *(unsqueezed(x, form) for x in own.column("counts").to_pylist())])
+            order = np.argsort(keys)
+            known.append((keys[order], found[order].astype(float)))
+        (words, times), (every, lengths) = known
+        texts = table.filter(pa.array(kind == 0)).select(["doc_id", "held_out", "data"]).combine_chunks()
+        base = np.log10((np.append(times, ends) + 0.1) / (trained + 0.1 * (distinct + 1)))
         out = []
-        doc_ids, helds = table.column("doc_id").to_pylist(), table.column("held_out").to_pylist()
-        for i in np.flatnonzero(kind == 0):
-            t = np.append(unsqueezed(data[i], "<i4"), len(words))
-            s = float(np.logaddexp.reduce(tree[t].sum(axis=0) + prior) / np.log(10))
-            out.append((doc_ids[i], helds[i], len(t), int((count[t] > 0).sum()), trained, float(base[t].sum()), s, -s * float(np.log2(10)) / int(size[t].sum())))
-        fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), *[(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")], *[(c, pa.float64()) for c in ("base_score", "score", "bits_per_byte")]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], [n for n, _ in fields])
-
-    own = sent.where("kind IN (0, 1)").select("block", "kind", "part", "data", "doc_id", "held_out")
-    back = counted.unionByName(lengths).select("block", "kind", "part", "data", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"))
-    return own.unionByName(back).groupBy("block").applyInArrow(score, f"{SCORES}, bits_per_byte double")
-
-
-def count_tokens(sent: DataFrame) -> int:
-    """All training words."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(unsqueezed(x, "<i8").sum()) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
-
-    return sent.where("kind = 2").select("counts").mapInArrow(add, "n long").agg(F.sum("n")).first()[0] or 0
+        for low, high, flat, offsets in chunks(texts.column("data")):
+            own, number, begin = keyed(flat, offsets)
+            ln_p = np.add.reduceat(lengths[np.searchsorted(every, own)][number], begin[:-1])
+            starts, ends_at, row = spans(flat != BLANK, offsets)
+            word = np.searchsorted(words, spans_hash(flat, starts, ends_at))
+            rows = high - low
+            n = np.bincount(row, minlength=rows) + 1
+            n_known = np.bincount(row, times[word] > 0, rows).astype(np.int64) + (ends > 0)
+            scored = np.bincount(row, base[word], rows) + base[-1]
+            out.append((n, n_known, np.full(rows, trained), scored, ln_p / np.log(10), -ln_p / np.log(2) / np.diff(begin)))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.table([texts.column("doc_id"), texts.column("held_out"), *map(pa.array, columns)], names=[x.split()[0] for x in SCORES.split(", ")])
+
+    own = sent.where("kind = 0").select("block", "kind", "doc_id", "held_out", "data", F.lit(None).cast("binary").alias("counts"))
+    answers = counted.unionAll(learn(sent)).select("block", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "data", "counts")
+    return own.unionAll(answers).groupBy("block").applyInArrow(score, SCORES)
 
 
 def op4_context_tree(spark, sf_dir: str) -> DataFrame:
-    """All documents, learning from nine tenths, with a tree for each language."""
-    return context_tree_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), class_column="lang")
+    """All documents, learning from nine tenths."""
+    return context_tree_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))

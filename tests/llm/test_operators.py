@@ -306,7 +306,7 @@ def test_kth_largest(spark):
 
 
 def test_context_tree_scores(docs, empty):
-    got = context_tree.context_tree_scores(docs, class_column="lang").collect()
+    got = context_tree.context_tree_scores(docs).collect()
     held = lambda k: crc32(("" if k is None else str(k)).encode()) % 10 == 0
     rows = [(k, re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))) for k, t in rows_of(docs)]
     count = Counter(w for k, ws in rows if not held(k) for w in [*ws, None])
@@ -325,6 +325,54 @@ def test_context_tree_blocks_agree(docs, monkeypatch):
     assert one == many
 
 
+def sequential_kt(bits):
+    p, n = 1.0, [0, 0]
+    for b in bits:
+        p *= (n[b] + 0.5) / (sum(n) + 1)
+        n[b] += 1
+    return p
+
+
+def weighted(history, depth, d, context):
+    """P_w of the bits (with contexts, newest first) at a node, straight from the definition."""
+    own = [b for c, b in history if c[:d] == context]
+    if d == depth:
+        return sequential_kt(own)
+    below = 1.0
+    for s in {c[d] for c, _ in history if c[:d] == context}:
+        below *= weighted(history, depth, d + 1, (*context, s))
+    return 0.5 * sequential_kt(own) + 0.5 * below
+
+
+def decisions(texts, depth):
+    """For each binary decision's bits before: the contexts (newest byte first) and bits of the texts' bytes and ends."""
+    out = {}
+    for text in texts:
+        own = b"\xff" * depth + "".join(w + " " for w in text.lower().split()).encode() + b"\xff"
+        for i in range(depth, len(own)):
+            for j in range(8):
+                out.setdefault(1 << j | own[i] >> (8 - j), []).append((tuple(own[i - depth : i][::-1]), own[i] >> (7 - j) & 1))
+    return out
+
+
+def test_score_by_definition(spark):
+    """Each bit's probability is P_w(training bits and the bit) / P_w(training bits); word order counts."""
+    rng = random.Random(31)
+    rows = [(n, " ".join(rng.choice(["ab", "abc", "Ba", "caab", "\u00e9"]) for _ in range(rng.randint(0, 6)))) for n in range(24)] + [(200, "ab abc ba"), (200, "ba abc ab")]
+    got = context_tree.context_tree_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    train = decisions([t for k, t in rows if crc32(str(k).encode()) % 10], context_tree.DEPTH)
+    expected = []
+    for k, text in rows:
+        score = 0.0
+        for before, events in decisions([text], context_tree.DEPTH).items():
+            history = train.get(before, [])
+            for event in events:
+                score += np.log10(weighted([*history, event], context_tree.DEPTH, 0, ()) / weighted(history, context_tree.DEPTH, 0, ()))
+        expected.append((k, pytest.approx(score, rel=1e-6)))
+    assert sorted((r.doc_id, r.score) for r in got) == [(k, s) for k, s in sorted(expected, key=lambda x: (x[0], x[1].expected))]
+    assert len({r.score for r in got if r.doc_id == 200}) == 2
+
+
 def test_held_out_text_is_predicted(spark):
     """On text of one source the tree is well under eight bits a byte, also on texts that it hasn't seen."""
     rng = random.Random(12)

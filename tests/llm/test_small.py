@@ -96,68 +96,19 @@ def test_bounds_and_best_fit():
     assert packing.lower_bound(np.array([6, 6, 6]), 10) == 3
 
 
-def sequential_kt(bits):
-    p, n = 1.0, [0, 0]
-    for b in bits:
-        p *= (n[b] + 0.5) / (sum(n) + 1)
-        n[b] += 1
-    return p
-
-
-def weighted(history, depth, d, context):
-    """P_w of the bits (with contexts, newest first) at a node, straight from the definition."""
-    own = [b for c, b in history if c[:d] == context]
-    if d == depth:
-        return sequential_kt(own)
-    below = 1.0
-    for s in {c[d] for c, _ in history if c[:d] == context}:
-        below *= weighted(history, depth, d + 1, (*context, s))
-    return 0.5 * sequential_kt(own) + 0.5 * below
-
-
-def test_context_tree_by_definition():
-    """The probability of a new word is P_w(training and word's bit) / P_w(training), bit by bit."""
-    words, counts = [b"abab", b"abc", b"ba", b"caab"], np.array([[3], [2], [1], [0]])
-    depth = context_tree.DEPTH
-    keys, sums = context_tree.block_keys(words, counts.T.astype(float))
-    lengths = np.zeros(len(keys))
-    last = (keys >> 8) & 0xFFFF
-    found = {}
-    for g in np.unique(last):
-        rows = np.flatnonzero(last == g)
-        for chance, (context, bits, zeros, ones, mixed) in context_tree.subtree(keys[rows], sums[rows]):
-            lengths[rows] = np.nan
-            found[g] = chance
-            for c, p, z, o, m in zip(context, bits, zeros, ones, mixed, strict=True):
-                found.setdefault("nodes", []).append({"last": c & 0xFF, "bits": p, "z0": z, "o0": o, "m0": m})
-    nodes = {}
-    for n in found["nodes"]:
-        at = nodes.setdefault((n["last"], n["bits"]), {"last": int(n["last"]), "bits": int(n["bits"]), "z0": 0, "o0": 0, "m0": 0})
-        for c in ("z0", "o0", "m0"):
-            at[c] += n[c]
-    one, share = context_tree.top_levels(list(nodes.values()), 1)
-    for g in np.unique(last):
-        rows = np.flatnonzero(last == g)
-        lengths[rows] = context_tree.code_lengths(keys[rows], found[g], one[:, :, 0], share[:, :, 0])
-    training = []
-    for key, n in zip(keys.tolist(), sums[:, 0].tolist(), strict=True):
-        training += [key] * n
-
-    def events(some):
-        out = {}
-        for key in some:
-            context = tuple((key >> (8 * k)) & 0xFF for k in range(1, depth + 1))
-            for j in range(8):
-                out.setdefault((1 << j) | ((key & 0xFF) >> (8 - j)), []).append((context, (key >> (7 - j)) & 1))
-        return out
-
-    base = events(training)
-    for key, got in zip(keys.tolist(), lengths.tolist(), strict=True):
-        expected = 0.0
-        for prefix, (event,) in events([key]).items():
-            history = base.get(prefix, [])
-            expected += np.log(weighted([*history, event], depth, 0, ()) / weighted(history, depth, 0, ()))
-        assert got == pytest.approx(expected, abs=1e-9)
+def test_keys_and_plain_bytes():
+    texts = ["A b\tC", "", "  ", "\u00e9x  y\n", "end"]
+    data = [t.encode() for t in texts]
+    buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    flat, begin = context_tree.plain_bytes(buf, offsets)
+    plain = ["a b c ", "", "", "\u00e9x y ", "end "]
+    assert [flat[x:y].tobytes().decode() for x, y in zip(begin, begin[1:], strict=False)] == plain
+    keys, number, at = context_tree.keyed(flat, begin, 3)
+    expected = []
+    for t in plain:
+        own = b"\xff" * 3 + t.encode() + b"\xff"
+        expected.append([own[i] | own[i - 1] << 8 | own[i - 2] << 16 | own[i - 3] << 24 for i in range(3, len(own))])
+    assert [keys[number[x:y]].tolist() for x, y in zip(at, at[1:], strict=False)] == expected and len(set(keys.tolist())) == len(keys)
 
 
 def test_log_gamma():
