@@ -12,24 +12,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ribolens.llm.shared import written
+from ribolens.llm.shared import sized, written
 
-#: Rows of a shard, of a leaf, and queries of a block.
-SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS = 4096, 128, 1024
-#: A side of a node is skipped if its bound times this factor is over the k-th distance: 1 is exact, more skips more.
+#: Bytes of vectors in a shard and in a block of queries, and rows of a leaf.
+SHARD_BYTES, BLOCK_BYTES, LEAF_ROWS = 4 << 20, 1 << 20, 128
+#: The angle that parts a query from a side of a node is taken times this factor: 1 is exact, more skips more.
 RELAX = 1.0
+#: Pairs of queries and points after which they are measured exactly and only the best kept.
+PAIRS_AT_ONCE = 1 << 20
+#: Rounding of angles near zero.
+_ANGLE = 1e-7
+
+
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean norms, without overflow of the squares."""
+    most = np.abs(vectors).max(axis=1, initial=0.0)
+    return most * np.sqrt(((vectors / np.where(most > 0, most, 1)[:, None]) ** 2).sum(axis=1))
+
+
+def directions(vectors: np.ndarray) -> np.ndarray:
+    scaled = vectors / np.abs(vectors).max(axis=1, initial=0.0)[:, None]
+    return scaled / np.sqrt((scaled**2).sum(axis=1))[:, None]
+
+
+def angles(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(one @ other, -1.0, 1.0))
+
+
+def inner_products(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Row by row, summed from the first component to the last, so that equal vectors have equal products."""
+    total = np.zeros(len(one))
+    for j in range(one.shape[1]):
+        total += one[:, j] * other[:, j]
+    return total
+
+
+def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(vec_id, v array<double>, dim) of the vectors with an id that are not null, empty or zero and wholly finite."""
+    rows = vectors.select(vectors[key].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return rows.where(fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
 @dataclass
 class VantageTree:
-    """Different vectors of a shard, lengthened by one coordinate that puts all on one sphere: then the nearest by
-    Euclidean distance have the largest inner products. members holds all ids, by vector and id."""
+    """Different vectors of a shard in a tree over their directions; the angle is the metric. A side of a node knows the
+    range of its angles to the vantage direction and of its norms, which bound its inner products with a query.
+    members holds all ids, by vector and id."""
 
     points: np.ndarray  # in leaf order
     first: np.ndarray  # members of point i are members[first[i] : first[i + 1]]
     members: np.ndarray
-    vantage: list = field(default_factory=list)  # per node: the vantage point, or None in leaves
-    radius: list = field(default_factory=list)
+    vantage: list = field(default_factory=list)  # per node: the vantage direction, or None in leaves
+    bounds: list = field(default_factory=list)  # per node: for each side, least and largest angle and norm
     sides: list = field(default_factory=list)  # per node: its two children, or the rows of a leaf
 
     @classmethod
@@ -37,99 +72,133 @@ class VantageTree:
         different, group = np.unique(vectors, axis=0, return_inverse=True)
         order = np.lexsort((ids, group.reshape(-1)))
         count = np.bincount(group.reshape(-1), minlength=len(different))
-        square = (different**2).sum(axis=1)
-        points = np.column_stack([different, np.sqrt(square.max() - square)])
-        tree, perm, chance = cls(points, np.zeros(0), ids[order]), [], np.random.default_rng(7)
+        size, unit = norms(different), directions(different)
+        tree, perm, chance = cls(different, np.zeros(0), ids[order]), [], np.random.default_rng(7)
         total = 0
 
         def grow(rows: np.ndarray) -> int:
             nonlocal total
             node = len(tree.vantage)
-            for x in (tree.vantage, tree.radius, tree.sides):
+            for x in (tree.vantage, tree.bounds, tree.sides):
                 x.append(None)
             if len(rows) <= leaf:
                 tree.sides[node] = (total, total + len(rows))
                 perm.append(rows)
                 total += len(rows)
                 return node
-            centre = points[rows[chance.integers(len(rows))]]
-            far = np.sqrt(((points[rows] - centre) ** 2).sum(axis=1))
+            centre = unit[rows[chance.integers(len(rows))]]
+            far = angles(unit[rows], centre)
             by = np.argsort(far, kind="stable")
-            half = len(rows) // 2
-            tree.vantage[node], tree.radius[node] = centre, (float(far[by[half - 1]]), float(far[by[half]]))
-            tree.sides[node] = (grow(rows[by[:half]]), grow(rows[by[half:]]))
+            halves = by[: len(rows) // 2], by[len(rows) // 2 :]
+            tree.vantage[node] = centre
+            tree.bounds[node] = [(far[h].min(), far[h].max(), size[rows[h]].min(), size[rows[h]].max()) for h in halves]
+            tree.sides[node] = tuple(grow(rows[h]) for h in halves)
             return node
 
-        grow(np.arange(len(points)))
+        grow(np.arange(len(different)))
         perm = np.concatenate(perm)
         begin = np.cumsum(count) - count
-        tree.points = points[perm]
+        tree.points = different[perm]
         tree.first = np.concatenate([[0], np.cumsum(count[perm])])
         tree.members = np.concatenate([tree.members[begin[p] : begin[p] + count[p]] for p in perm])
         return tree
 
-    def search(self, queries: np.ndarray, k: int, relax: float = RELAX) -> np.ndarray:
-        """Points (rows of self.points; -1: none) near each query: the k nearest at least, if relax is 1."""
-        wide = np.column_stack([queries, np.zeros(len(queries))])
-        square, own = (wide**2).sum(axis=1), (self.points**2).sum(axis=1)
-        best = np.full((len(queries), k), np.inf)
-        found = np.full((len(queries), k), -1, np.int64)
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, relax: float = RELAX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, inner product) of each query's k best, the query's own id left out; exact if relax is 1.
+
+        ``floor`` is what k candidates of a query reach for certain; whatever may reach it, rounding and ties included, is
+        a candidate. Candidates are measured exactly and ranked by product and id.
+        """
+        unit, size, own = directions(queries), norms(queries), norms(self.points)
+        rounding = (queries.shape[1] + 4) * 2.0**-51
+        floor = np.full(len(queries), -np.inf)
+        best = np.full((len(queries), k + 1), -np.inf)  # the query itself may be one of them
+        open_pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        waiting = 0
+
+        def settle() -> None:
+            nonlocal open_pairs, kept, waiting
+            query, point, most = (np.concatenate(x) for x in zip(*open_pairs, strict=True))
+            can = ~(most < floor[query])
+            query, point = query[can], point[can]
+            score = np.concatenate([np.zeros(0), *(inner_products(queries[query[at : at + 65536]], self.points[point[at : at + 65536]]) for at in range(0, len(query), 65536))])
+            times = np.minimum(np.diff(self.first)[point], k + 1)
+            each = np.repeat(np.arange(len(point)), times)
+            member = self.members[self.first[point][each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)]
+            query, score = query[each], score[each]
+            other = member != ids[query]
+            query, member, score = (np.concatenate([x, y[other]]) for x, y in zip(kept, (query, member, score), strict=True))
+            order = np.lexsort((member, -np.nan_to_num(score, nan=np.inf, posinf=np.inf, neginf=-np.inf), query))
+            query, member, score = query[order], member[order], score[order]
+            place = np.arange(len(query)) - np.searchsorted(query, np.arange(len(queries)))[query]
+            last = place == k - 1
+            floor[query[last]] = np.fmax(floor[query[last]], score[last])
+            kept, open_pairs, waiting = tuple(x[place < k] for x in (query, member, score)), [], 0
 
         def visit(node: int, active: np.ndarray) -> None:
+            nonlocal waiting
             if not len(active):
                 return
             if self.vantage[node] is None:
                 low, high = self.sides[node]
-                far = np.sqrt(np.maximum(square[active, None] + own[None, low:high] - 2 * wide[active] @ self.points[low:high].T, 0))
-                far = np.concatenate([best[active], far], axis=1)
-                at = np.concatenate([found[active], np.broadcast_to(np.arange(low, high), (len(active), high - low))], axis=1)
-                pick = np.argpartition(far, k - 1, axis=1)[:, :k]
-                best[active], found[active] = np.take_along_axis(far, pick, 1), np.take_along_axis(at, pick, 1)
+                about, slack = queries[active] @ self.points[low:high].T, rounding * size[active][:, None] * own[None, low:high]
+                row, point = np.nonzero(~(about + slack < floor[active][:, None]))
+                open_pairs.append((active[row], point + low, (about + slack)[row, point]))
+                waiting += len(row)
+                sure = np.concatenate([best[active], np.nan_to_num(about - slack, nan=-np.inf, posinf=np.inf, neginf=-np.inf)], axis=1)
+                best[active] = -np.partition(-sure, k, axis=1)[:, : k + 1]
+                floor[active] = np.maximum(floor[active], best[active].min(axis=1))
+                if waiting > PAIRS_AT_ONCE:
+                    settle()
                 return
-            inner, outer = self.radius[node]
-            far = np.sqrt(((wide[active] - self.vantage[node]) ** 2).sum(axis=1))
-            near = far <= (inner + outer) / 2
-            left, right = self.sides[node]
-            visit(left, active[near])
-            visit(right, active[~near])
-            reach = best[active].max(axis=1) + 1e-9
-            visit(right, active[near & ((outer - far) * relax <= reach)])
-            visit(left, active[~near & ((far - inner) * relax <= reach)])
-
-        visit(0, np.arange(len(queries)))
-        return found
+            far = angles(unit[active], self.vantage[node])
+            reach = []
+            for least, most, short, long in self.bounds[node]:
+                gap = np.clip(np.maximum(far - most, least - far) * relax - _ANGLE, 0, np.pi)
+                reach.append(size[active] * np.where(gap <= np.pi / 2, long, short) * np.cos(gap))
+            first = far <= (self.bounds[node][0][1] + self.bounds[node][1][0]) / 2
+            slack = rounding * size[active] * max(b[3] for b in self.bounds[node])
+            for near, side in ((True, 0), (False, 1), (True, 1), (False, 0)):
+                visit(self.sides[node][side], active[(first == near) & ~(reach[side] + slack < floor[active])])
+
+        with np.errstate(all="ignore"):  # products may overflow
+            visit(0, np.arange(len(queries)))
+            settle()
+        return kept
 
     def pack(self) -> bytes:
         out = io.BytesIO()
         inside = [v is not None for v in self.vantage]
         centres = np.array([v for v in self.vantage if v is not None]).reshape(-1, self.points.shape[1])
-        np.savez(out, points=self.points, first=self.first, members=self.members, inside=inside, centres=centres, radius=np.array([r or (0, 0) for r in self.radius], float), sides=np.array(self.sides))
+        np.savez(out, points=self.points, first=self.first, members=self.members, inside=inside, centres=centres, bounds=np.array([b or [(0, 0, 0, 0)] * 2 for b in self.bounds], float), sides=np.array(self.sides))
         return out.getvalue()
 
     @classmethod
     def unpack(cls, data: bytes) -> VantageTree:
         z = np.load(io.BytesIO(data))
         centres = iter(z["centres"])
-        return cls(z["points"], z["first"], z["members"], [next(centres) if x else None for x in z["inside"]], [tuple(r) for r in z["radius"]], [tuple(s) for s in z["sides"].tolist()])
-
-
-def inner_products(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Row by row, summed from the first component to the last, so that equal vectors have equal products."""
-    total = np.zeros(len(one))
-    for j in range(one.shape[1]):
-        total += one[:, j] * other[:, j]
-    return total
+        return cls(z["points"], z["first"], z["members"], [next(centres) if x else None for x in z["inside"]], z["bounds"].tolist(), [tuple(s) for s in z["sides"].tolist()])
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v array<double>, dim) of the vectors with an id that are not null, empty or zero and wholly finite."""
+    """(vec_id, v array<double>, dim) of the vectors with an id that are not null, empty or zero and wholly finite; of rows
+    with one id and dimension, that with the least vector."""
     rows = vectors.select(vectors[key].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return rows.where(fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+    rows = rows.where(fine & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+    return rows.groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), float)
+    return np.array(column.tolist(), float) + 0.0  # no negative zeros
+
+
+def _dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """rows with the number of groups of about ``size`` bytes for their dimension, and the group, by hash of the id."""
+    counts = written(rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), "dimensions")
+    groups = counts.select("dim", F.ceil(F.col("n") * F.col("dim") * 8 / size).cast("int").alias(f"{name}s"))
+    return rows.join(sized(groups), "dim").withColumn(name, F.pmod(F.xxhash64("vec_id"), F.col(f"{name}s")).cast("int"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float = RELAX, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -137,49 +206,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, relax: float =
     own id left out; ties go to the smaller vec_id. Fewer candidates give fewer rows.
 
     Vectors that are null, empty, zero or hold null or non-finite components, or that have no id, take no part. Only
-    vectors of a query's dimension are its candidates. Ids are taken to be unique. Shards are hashes of the ids, so
-    their sizes are even whatever the data; each query block meets each shard once.
+    vectors of a query's dimension are its candidates. Of rows with one id, that with the least vector counts. A
+    product that is no number (infinities of either sign) ranks first. Shards are hashes of the ids, so their sizes are
+    even whatever the data; each query block meets each shard once, as the stated queries are held against all rows.
     """
-    rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
-    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_asked = asked.count()
-    blocks = max(1, -(-n_asked // BLOCK_ROWS))
-    shards = max(1, -(-max(counts.values(), default=0) // SHARD_ROWS))
+    rows = written(usable(vectors, key, vector), "vectors")
+    asked = usable(queries, key, vector)
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
         tree = VantageTree.build(group["vec_id"].to_numpy(), _matrix(group["v"]))
-        return pd.DataFrame({"dim": group["dim"].iloc[:1], "shard": group["shard"].iloc[:1], "tree": [tree.pack()]})
+        return pd.DataFrame({"dim": group["dim"].iloc[:1], "shard": group["shard"].iloc[:1], "shards": group["shards"].iloc[:1], "tree": [tree.pack()]})
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"dim": group["dim"].iloc[:1], "block": group["block"].iloc[:1], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "asked": [_matrix(group["v"]).tobytes()]})
 
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    trees = written(sharded.groupBy("dim", "shard").applyInPandas(index, "dim int, shard int, tree binary"), "trees")
-    blocked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    packed = blocked.groupBy("dim", "block").applyInPandas(block, "dim int, block int, ids binary, asked binary")
-    met = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["dim", "shard"])
+    trees = written(_dealt(rows, SHARD_BYTES, "shard").groupBy("dim", "shard").applyInPandas(index, "dim int, shard int, shards int, tree binary"), "trees")
+    packed = _dealt(asked, BLOCK_BYTES, "block").groupBy("dim", "block").applyInPandas(block, "dim int, block int, ids binary, asked binary")
+    places = trees.groupBy("dim").agg(F.max("shards").alias("shards"))
+    spread = packed.join(sized(places), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    met = spread.join(trees.drop("shards"), ["dim", "shard"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(len(batch)):
                 tree, dim = VantageTree.unpack(batch.column(3)[n].as_py()), batch.column(0)[n].as_py()
                 ids = np.frombuffer(batch.column(1)[n].as_py(), np.int64)
-                wanted = np.frombuffer(batch.column(2)[n].as_py(), float).reshape(-1, dim)
-                found = tree.search(wanted, k + 4, relax)  # some more: distances are rounded otherwise than products
-                query, place = np.nonzero(found >= 0)
-                point = found[query, place]
-                score = inner_products(wanted[query], tree.points[point, :dim])
-                size = np.minimum(np.diff(tree.first)[point], k + 1)
-                each = np.repeat(np.arange(len(point)), size)
-                member = tree.members[tree.first[point][each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)]
-                query, score = query[each], score[each]
-                other = member != ids[query]
-                query, score, member = query[other], score[other], member[other]
-                order = np.lexsort((member, -score, query))
-                query, score, member = query[order], score[order], member[order]
-                begin = np.searchsorted(query, np.arange(len(ids)))
-                top = np.arange(len(query)) - begin[query] < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[query[top]]), pa.array(member[top]), pa.array(score[top])], ["query_id", "vec_id", "score"])
+                query, member, score = tree.search(ids, np.frombuffer(batch.column(2)[n].as_py(), float).reshape(-1, dim), k, relax)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(member), pa.array(score)], ["query_id", "vec_id", "score"])
 
     near = met.select("dim", "ids", "asked", "tree").mapInArrow(search, "query_id long, vec_id long, score double")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

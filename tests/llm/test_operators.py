@@ -396,6 +396,39 @@ def test_neighbours(spark):
         assert [(k, s) for _, k, s in found] == [(k, pytest.approx(-s)) for s, k in near] and [r for r, _, _ in found] == list(range(1, len(near) + 1))
     assert set(got) == {k for k in fine if k % 20 == 0}
     assert neighbours.nearest(frame.limit(0), frame.limit(0)).count() == 0
+    again = spark.createDataFrame([(1, [2.0, 0.0]), (1, [1.0, 5.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in neighbours.nearest(again, again.where("vec_id = 20")).orderBy("rank").collect()] == [(20, 1, 1, 5.0), (20, 2, 2, 1.0)]
+
+
+@pytest.mark.parametrize("kind", ["bits", "one-hot", "ternary", "one long", "one huge", "copies", "norms"])
+def test_search_is_exact(kind, monkeypatch):
+    """Ties of any number go to the smaller id; norms of any size don't disturb the rest."""
+    monkeypatch.setattr(neighbours, "PAIRS_AT_ONCE", 500)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(900, 16))
+    if kind == "bits":
+        v = rng.integers(0, 2, (900, 16)).astype(float)
+    if kind == "one-hot":
+        v = np.eye(300)[rng.permutation(300)]
+    if kind == "ternary":
+        v = rng.integers(-1, 2, (900, 5)).astype(float)
+    if kind == "one long":
+        v[77] = 4e8
+    if kind == "one huge":
+        v[77] = 1e200
+    if kind == "copies":
+        v[100:700] = v[100]
+    if kind == "norms":
+        v *= 10.0 ** rng.integers(-20, 20, (900, 1))
+    v = v[(v != 0).any(axis=1)]
+    ids = rng.permutation(len(v)) * 3
+    asked = np.concatenate([np.arange(0, len(v), 29), [min(77, len(v) - 1)]])
+    tree = neighbours.VantageTree.unpack(neighbours.VantageTree.build(ids, v, leaf=32).pack())
+    query, member, score = tree.search(ids[asked], v[asked], 20)
+    for n, q in enumerate(asked):
+        products = neighbours.inner_products(np.broadcast_to(v[q], v.shape), v)
+        expected = [(-s, i) for s, i in sorted((-s, i) for s, i in zip(products.tolist(), ids.tolist(), strict=True) if i != ids[q])[:20]]
+        assert list(zip(score[query == n].tolist(), member[query == n].tolist(), strict=True)) == expected
 
 
 def test_recall_falls_slowly_with_relax():
@@ -406,8 +439,8 @@ def test_recall_falls_slowly_with_relax():
     exact = np.argsort(-(queries @ v.T), axis=1)[:, :10]
     recall = {}
     for relax in (1.0, 1.5, 4.0):
-        found = tree.search(queries, 10, relax)
-        recall[relax] = np.mean([len(set(tree.members[tree.first[f[f >= 0]]]) & set(e)) / 10 for f, e in zip(found, exact, strict=True)])
+        query, member, _ = tree.search(np.full(len(queries), -1), queries, 10, relax)
+        recall[relax] = np.mean([len(set(member[query == n].tolist()) & set(e.tolist())) / 10 for n, e in enumerate(exact)])
     assert recall[1.0] == 1 and recall[1.5] >= 0.9 and recall[4.0] <= recall[1.5]
 
 
