@@ -1,10 +1,10 @@
 """Line dedup by a tree of line templates.
 
 A line's path in the tree is its number of tokens, then its first LEAD tokens, with every token that holds a digit
-replaced by a wildcard. In a leaf, lines belong to one template if their tokens agree once wildcards are in place; from
-VARIABLE_FROM tokens on also if two of the three thirds of the tokens after the first LEAD agree (the third that differs
-is a variable field), and so do chains of such lines. Templates that occur in several documents are dropped but for
-their first line.
+replaced by a wildcard. In a leaf, lines belong to one template if their tokens agree once wildcards are in place; also
+if all but one of the three thirds of the tokens after the first LEAD agree (the third that differs is a variable field:
+with three tokens or fewer, one token), and so do chains of such lines. Templates that occur in several documents are
+dropped but for their first line.
 """
 
 from __future__ import annotations
@@ -12,14 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ribolens.llm.shared import unused, written
+from ribolens.llm.shared import sized, unused, written
 from ribolens.operators.clustering import components
 
 LEAD = 3
 WILD = "<*>"
-#: Tokens that a line needs for variable fields without digits: then each third has two at least.
-VARIABLE_FROM = LEAD + 6
-
 
 def tokens(line: Column) -> Column:
     """Tokens between white space; those with a digit are wildcards, but not where no token would be left: such lines
@@ -30,17 +27,20 @@ def tokens(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, key: str, text: str, lead: int) -> DataFrame:
-    """(doc, version, line, form, k0, k1, k2): form is the masked line's digest, k0 to k2 the keys of the leaf with one
-    third left out. Blank lines are no rows."""
+    """(doc, version, line, form, k0, k1, k2): form is the masked line's digest, k0 to k2 128-bit keys of the leaf with one
+    third left out, null where that third has no tokens. Blank lines are no rows."""
     rows = docs.select(docs[key].alias("doc"), F.xxhash64(docs[text]).alias("version"), F.posexplode(F.split(docs[text], "\n")).alias("line", "value"))
     rows = rows.select("doc", "version", "line", tokens(F.col("value")).alias("t")).where(F.size("t") > 0).withColumn("n", F.size("t"))
-    third = F.floor((F.col("n") - lead) / 3).cast("int")
-    rest = [F.slice("t", lead + 1, third), F.slice("t", lead + 1 + third, third), F.slice("t", lead + 1 + third + third, F.col("n"))]
+    rest = F.greatest(F.col("n") - lead, F.lit(0))
+    cuts = [F.ceil(rest * m / 3).cast("int") for m in range(4)]
     head = F.concat_ws(" ", F.slice("t", 1, lead))
-    parts = [F.concat_ws(" ", r) for r in rest]
-    enough = F.col("n") >= lead + 6
-    keys = [F.when(enough, F.xxhash64(F.lit(out), "n", head, *[p for m, p in enumerate(parts) if m != out])).alias(f"k{out}") for out in range(3)]
-    return rows.select("doc", "version", "line", F.md5(F.concat_ws(" ", "t")).alias("form"), *keys)
+    parts = [F.concat_ws(" ", F.slice("t", lead + 1 + low, high - low)) for low, high in zip(cuts, cuts[1:], strict=False)]
+
+    def leaf(out: int) -> Column:
+        kept = [p for m, p in enumerate(parts) if m != out]
+        return F.when(cuts[out + 1] > cuts[out], F.struct(*[F.xxhash64(F.lit(out + seed), "n", head, *kept).alias(f"h{seed}") for seed in (0, 3)]))
+
+    return rows.select("doc", "version", "line", F.unhex(F.md5(F.concat_ws(" ", "t"))).alias("form"), *[leaf(m).alias(f"k{m}") for m in range(3)])
 
 
 def recurring(rows: DataFrame) -> DataFrame:
@@ -67,14 +67,16 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     act as one document. Null keys come first. The two new columns replace columns of docs of the same names.
     """
     rows = written(line_rows(docs, key, text, lead), "lines")
-    again = rows.join(recurring(rows), "form")
+    again = rows.select("doc", "version", "line", "form").join(sized(written(recurring(rows), "recurring")), "form")
     gone = again.where(~F.struct("doc", "version", "line").eqNullSafe(F.col("first"))).groupBy("doc", "version").agg(F.collect_set("line").alias("gone"))
     doc, version, lines = (unused(docs, c) for c in ("doc", "version", "gone"))
     gone = gone.withColumnsRenamed({"doc": doc, "version": version, "gone": lines})
     met = docs.join(gone, docs[key].eqNullSafe(gone[doc]) & (F.xxhash64(docs[text]) == gone[version]), "left")
     split = F.split(docs[text], "\n")
-    none = F.array().cast("array<int>")
-    held = F.array_join(F.filter(split, lambda x, n: ~F.array_contains(F.coalesce(F.col(lines), none), n)), "\n")
+    mark = lambda places, keep: F.transform(places, lambda n: F.struct(n.alias("n"), F.lit(keep).alias("keep")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lines))
+    marked = F.arrays_zip(split.alias("value"), F.sort_array(F.concat(mark(kept, True), mark(F.col(lines), False))).alias("mark"))
+    held = F.array_join(F.transform(F.filter(marked, lambda z: z["mark"]["keep"]), lambda z: z["value"]), "\n")
     counts = {total: F.greatest(F.coalesce(F.size(split), F.lit(0)), F.lit(0)), dropped: F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0))}
     new = met.withColumns({text: F.when(F.col(lines).isNull(), docs[text]).otherwise(held), **counts})
     return new.drop(doc, version, lines)
@@ -89,13 +91,15 @@ def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH RECURSIVE l AS (
   SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line, unnest(ls) AS value FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-k AS (SELECT doc_id, line, list_transform(list_filter(string_split_regex(value, '\s+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t FROM l),
-n AS (SELECT doc_id, line, t, len(t) AS n, (len(t) - 3) // 3 AS m, array_to_string(t, ' ') AS form FROM k WHERE len(t) > 0),
-f AS (SELECT form, any_value(t) AS t, any_value(n) AS n, any_value(m) AS m FROM n GROUP BY form),
-g AS (SELECT form, t[1:3] AS head, n, t[4 : 3 + m] AS a, t[4 + m : 3 + 2 * m] AS b, t[4 + 2 * m :] AS c FROM f WHERE n >= 9),
+w AS (SELECT doc_id, line, list_filter(string_split_regex(value, '\s+'), lambda x: x <> '') AS w FROM l),
+k AS (SELECT doc_id, line, CASE WHEN len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9]'))) = 0 THEN w
+  ELSE list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) END AS t FROM w),
+n AS (SELECT doc_id, line, t, len(t) AS n, (len(t) - 1) // 3 AS m1, (2 * len(t) - 4) // 3 AS m2, array_to_string(t, ' ') AS form FROM k WHERE len(t) > 0),
+f AS (SELECT form, any_value(t) AS t, any_value(n) AS n, any_value(m1) AS m1, any_value(m2) AS m2 FROM n GROUP BY form),
+g AS (SELECT form, t[1:3] AS head, n, t[4 : 3 + m1] AS a, t[4 + m1 : 3 + m2] AS b, t[4 + m2 :] AS c FROM f WHERE n >= 4),
 ks AS (SELECT form, 0 AS o, n, array_to_string(head, ' ') AS h, array_to_string(b, ' ') AS x, array_to_string(c, ' ') AS y FROM g
-  UNION ALL SELECT form, 1, n, array_to_string(head, ' '), array_to_string(a, ' '), array_to_string(c, ' ') FROM g
-  UNION ALL SELECT form, 2, n, array_to_string(head, ' '), array_to_string(a, ' '), array_to_string(b, ' ') FROM g),
+  UNION ALL SELECT form, 1, n, array_to_string(head, ' '), array_to_string(a, ' '), array_to_string(c, ' ') FROM g WHERE len(b) > 0
+  UNION ALL SELECT form, 2, n, array_to_string(head, ' '), array_to_string(a, ' '), array_to_string(b, ' ') FROM g WHERE len(c) > 0),
 e AS (SELECT form AS a, low AS b FROM (SELECT form, min(form) OVER (PARTITION BY o, n, h, x, y) AS low FROM ks) WHERE form <> low),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS root FROM s UNION SELECT s.b, r.root FROM r JOIN s ON r.node = s.a),

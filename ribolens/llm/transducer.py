@@ -5,9 +5,10 @@ could still grow into a piece, the piece that ends before the suffix and how man
 decides the segmentation of each longer prefix: two neighbouring pieces u, v are right exactly if segmenting uv gives
 u, v. A transition is annotated with the change of the piece count. Transitions are compiled when first met.
 
-Long inputs are cut into chunks of equal length that run in lockstep. A chunk's state map is fixed from its first
-resetting character on; before that it is the transducer over the chunk's head, applied to the state that comes in.
-A prefix scan over the chunks composes the maps.
+Long inputs are cut into chunks of equal length that run in lockstep. A chunk with a resetting character leaves in a state
+that what comes before doesn't change. Of the others the maps from the states that can enter to those that leave are
+found in rounds, all chunks at once, until every leaving state is among the next chunk's entering ones (most often two
+rounds: after some characters the state no longer depends on where it began). A parallel prefix scan composes the maps.
 """
 
 from __future__ import annotations
@@ -184,6 +185,39 @@ class PieceCounter:
             states = new.astype(np.int64)
         return changes, states
 
+    def _through(self, grid: np.ndarray, through: np.ndarray, fixed: np.ndarray, leaving: np.ndarray) -> np.ndarray:
+        """The leaving states of the chunks ``through``, that have no reset: by their maps, composed by a prefix scan."""
+        at = {int(i): n for n, i in enumerate(through)}
+        first = np.array([i == 0 or fixed[i - 1] for i in through])  # a known state enters
+        entering = [[int(leaving[i - 1]) if f and i else 0] for i, f in zip(through.tolist(), first.tolist(), strict=True)]
+        maps: list[dict[int, int]] = [{} for _ in through]
+        pending = [(n, e[0]) for n, e in enumerate(entering)]
+        while pending:
+            rows, states = (np.array(x, np.int64) for x in zip(*pending, strict=True))
+            _, out = self._run(grid[through[rows]], states)
+            pending = []
+            for n, state, left in zip(rows.tolist(), states.tolist(), out.tolist(), strict=True):
+                maps[n][state] = left
+                after = at.get(int(through[n]) + 1)
+                if after is not None and left not in entering[after]:
+                    entering[after].append(left)
+                    pending.append((after, left))
+        # place of each leaving state among the next chunk's entering ones; the first chunk of a run has one entering state,
+        # so its row is constant and composing with what comes before it changes nothing
+        composed = np.zeros((len(through), max(map(len, entering))), np.int64)
+        for n, states in enumerate(entering):
+            after = at.get(int(through[n]) + 1)
+            if after is not None:
+                place = {s: k for k, s in enumerate(entering[after])}
+                to = [place[maps[n][s]] for s in states]
+                composed[n] = to[0] if first[n] else [*to, *[0] * (composed.shape[1] - len(to))]
+        step = 1
+        while step < len(through):
+            composed[step:] = np.take_along_axis(composed[step:], composed[:-step], axis=1)
+            step *= 2
+        came = [0 if f else int(composed[n - 1, 0]) for n, f in enumerate(first.tolist())]
+        return np.array([maps[n][entering[n][c]] for n, c in enumerate(came)])
+
     def count(self, texts: list[str]) -> np.ndarray:
         """The number of pieces of each text; an empty text has none."""
         if len(self.states) * self.width > MAX_CELLS:
@@ -218,18 +252,15 @@ class PieceCounter:
         place = np.arange(CHUNK_CHARS)
         tail = np.where(place >= head[:, None], grid, NOTHING)
         changes, leaving = self._run(tail, np.zeros(lanes, np.int64))
+        through = np.flatnonzero(~fixed)
+        if len(through):
+            leaving[through] = self._through(grid, through, fixed, leaving)
         open_head = np.flatnonzero(head > 0)
-        known = fixed.copy()  # whether a chunk's leaving state is known
-        while len(open_head):
-            ready = open_head[known[open_head - 1]]
-            width = int(head[ready].max())
-            part = np.where(place[:width] < head[ready][:, None], grid[ready, :width], NOTHING)
-            more, states = self._run(part, leaving[ready - 1])
-            changes[ready, :width] += more
-            through = ready[~fixed[ready]]
-            leaving[through] = states[~fixed[ready]]
-            known[through] = True
-            open_head = open_head[~np.isin(open_head, ready)]
+        if len(open_head):
+            width = int(head[open_head].max())
+            part = np.where(place[:width] < head[open_head][:, None], grid[open_head, :width], NOTHING)
+            entering = np.where(open_head > 0, leaving[open_head - 1], 0)
+            changes[open_head, :width] += self._run(part, entering)[0]
         total = np.concatenate([[0], np.cumsum(changes.reshape(-1), dtype=np.int64)])
         upto = total[borders]
         return np.diff(upto, prepend=0)

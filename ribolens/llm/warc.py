@@ -37,7 +37,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {json.dumps(url)[1:-1] if url is not None else ''}",
+        *([f"WARC-Target-URI: {json.dumps(url)[1:-1]}"] if url is not None else []),
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha256:{digest}",
         *([f"WARC-Refers-To: <urn:page:{first}>", f"WARC-Profile: {_REVISIT}"] if first is not None else []),
@@ -65,7 +65,7 @@ def parse(data: bytes) -> dict:
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} isn't what its header says")
     return {
         "page_id": number(fields["WARC-Record-ID"]),
-        "url": json.loads(f'"{fields["WARC-Target-URI"]}"'),
+        "url": json.loads(f'"{fields["WARC-Target-URI"]}"') if "WARC-Target-URI" in fields else None,
         "record_type": fields["WARC-Type"],
         "refers_to": number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
         "payload_bytes": told,
@@ -170,8 +170,10 @@ def fetch(places: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     small_batches(places.sparkSession)
+    places = written(places, "places")  # short rows, for which the packages are opened once
     near = F.floor(F.col("start") / STRIDE)
-    return places.repartition(F.col("package"), near).mapInPandas(read, RECORDS)
+    total = places.agg(F.sum("length")).first()[0] or 0
+    return places.repartition(max(1, -(-total // STRIDE)), F.col("package"), near).mapInPandas(read, RECORDS)
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,29 @@ def test_sharding(docs, empty):
     assert shares[1] / 60_000 == pytest.approx(0.75, abs=0.01)
 
 
+def test_op7_by_brute_force(spark, tmp_path):
+    """Every column of the query, from MD5 and CRC-32 of the standard library."""
+    from hashlib import md5
+    from math import log
+
+    rng = random.Random(13)
+    rows = [(n, sentence(rng, rng.randint(0, 30)) + rng.choice(["", "é", "\n"])) for n in range(150)] + [(200, None), (201, ""), (None, "x"), (None, "x"), (None, "other"), (5, "again")]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, shard int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in sharding.op7_sharding(spark, str(tmp_path)).collect()]
+
+    def draw(key, shard):
+        return (int(md5(f"{'null' if key is None else key}:{shard}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    def best(key, n):
+        return max(range(n), key=lambda s: (1 / -log(draw(key, s)), s))
+
+    placed = [(k, len((t or "").encode()) + 8, crc32((t or "").encode()), "key", best(k, 24), best(k, 25)) for k, t in rows]
+    assert Counter((r[0], *r[1:5], r[6]) for r in got) == Counter(placed)
+    for s in range(24):
+        assert sorted(r[5] for r in got if r[4] == s) == list(range(sum(p[4] == s for p in placed)))
+    assert any(p[4] != p[5] for p in placed) and all(p[5] in (p[4], 24) for p in placed)
+
+
 def test_slots_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
     got = sharding.shard_records(spark.range(500), "id", [1.0] * 3).collect()
@@ -297,6 +320,56 @@ def test_quality(spark, empty):
     assert quality.resample(empty.select("doc_id", "text"), quality.fit(empty, labels)).count() == 0
 
 
+def hashed(data):
+    """The 64-bit hash of a token: a polynomial of its bytes, then mixed with its length."""
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    return mixed((sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(data)) + len(data) * base) & mask)
+
+
+def mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & (1 << 64) - 1
+    return x ^ (x >> 31)
+
+
+def test_quality_by_brute_force(spark):
+    """Ratio, weights and draw, from token lists and plain sums."""
+    rng = random.Random(17)
+    rows = [(n, sentence(rng, rng.randint(0, 60)) + rng.choice(["", " 7!", "?? é"])) for n in range(120)]
+    rows += [(500 + n, "!! " + sentence(rng, 9).upper() + " $$") for n in range(40)] + [(900, None), (901, ""), (3, rows[3][1])]
+    rows.append((902, "so lang " * 30_000))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(n, 1, 0) for n in range(0, 120, 2)] + [(500 + n, 0, 0) for n in range(0, 40, 2)] + [(7, 1, 1), (9, 1, None)]
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(frame, marked)
+    half = {r.doc_id for r in frame.where(f"pmod(xxhash64(doc_id, {quality.SEED}), 2) = 0").collect()}
+    good = {k: q == 1 and t != 1 for k, q, t in labels}
+    found = []
+    for _, text in rows:
+        tokens = [hashed(x.encode()) for x in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\x80-\U0010ffff\s]+", text or "")]
+        found.append([x % quality.BUCKETS for x in tokens] + [mixed((3 * x + y) & (1 << 64) - 1) % quality.BUCKETS for x, y in zip(tokens, tokens[1:], strict=False)])
+    raw, target = np.ones(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for (k, _), own in zip(rows, found, strict=True):
+        np.add.at(raw, own, 1)
+        if good.get(k) and k in half:
+            np.add.at(target, own, 1)
+    raw /= raw.sum()
+    target = (target + quality.PRIOR * quality.BUCKETS * raw) / (target.sum() + quality.PRIOR * quality.BUCKETS)
+    ratio = np.log(target / raw)
+    assert model.ratio == pytest.approx(ratio)
+    weight = [ratio[own].sum() * quality.SPREAD / (len(own) + quality.EASED) for own in found]
+    known = [(w, good[k]) for (k, _), w in dict(zip(rows, weight, strict=True)).items() if k in good and not (good[k] and k in half)]
+    cut = max([(sum(w > c for w, g in known if g) / sum(g for _, g in known) - sum(w > c for w, g in known if not g) / sum(not g for _, g in known)) for c in [w for w, _ in known]])
+    took = [(sum(w >= model.cut for w, g in known if g) / sum(g for _, g in known) - sum(w >= model.cut for w, g in known if not g) / sum(not g for _, g in known))]
+    assert took[0] >= cut and model.count == sum(w >= model.cut for w in weight)
+    seed = mixed(quality.SEED)
+    drawn = [-np.log(-np.log(((mixed((-1 if k is None else k) & (1 << 64) - 1 ^ seed) >> 12) + 0.5) / 2.0**52)) for k, _ in rows]
+    order = sorted((w + d for w, d in zip(weight, drawn, strict=True)), reverse=True)
+    got = Counter((r.doc_id, round(r.log_weight, 6), r.selected) for r in quality.resample(frame, model).collect())
+    least = order[model.count - 1] - 1e-8
+    assert got == Counter((k, round(w, 6), bool(w + d >= least)) for (k, _), w, d in zip(rows, weight, drawn, strict=True))
+
+
 def test_kth_largest(spark):
     rng = random.Random(4)
     xs = [rng.randint(-(1 << 62), 1 << 62) for _ in range(300)] + [5, 5, 5, -1, 0]
@@ -454,7 +527,7 @@ def test_warc(spark, tmp_path, monkeypatch):
     expected = Counter()
     for k, u, h in rows:
         again = h == big and k != 1
-        expected[k, u or "", "revisit" if again else "response", 1 if again else None, len((h or "").encode()), None if again else h or ""] += 1
+        expected[k, u, "revisit" if again else "response", 1 if again else None, len((h or "").encode()), None if again else h or ""] += 1
     assert got == expected and packages.count() > 1
     none = warc.write_packages(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.fetch(warc.locate(none)).count() == 0

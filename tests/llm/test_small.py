@@ -43,6 +43,19 @@ def test_pieces_as_library():
     assert ours.count(many[::-1]).tolist() == [len(x) for x in library.encode(many[::-1])]
 
 
+@pytest.mark.parametrize("chars", [256, 3])
+def test_pieces_of_texts_without_resets(monkeypatch, chars):
+    """Long runs without blanks: maps of chunks are composed."""
+    import sentencepiece
+
+    monkeypatch.setattr(transducer, "CHUNK_CHARS", chars)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, ours = sentencepiece.SentencePieceProcessor(model_file=path), transducer.PieceCounter.load(path)
+    rng = random.Random(9)
+    many = ["".join(rng.choice("abcdeinrst") for _ in range(5000)), "the" * 2000, "a" * 3001, "x", "", "in the " + "end" * 700 + " of it", "=" * 2000 + "ab" * 900, "é" * 700 + "ε" * 3]
+    assert ours.count(many).tolist() == [len(x) for x in library.encode(many)]
+
+
 def test_pieces_after_forgetting(monkeypatch):
     monkeypatch.setattr(transducer, "MAX_CELLS", 100)
     path = public_tokenizers.path("piece_bpe_32k.model")
