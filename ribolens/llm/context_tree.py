@@ -30,13 +30,13 @@ DEPTH = 5
 #: two numbers of each go to all tasks (some MB for text, 330 MB at the very most).
 SPLIT = 3
 #: Bytes of text in a block, and so about the work of a part: there are as many parts as blocks of this size.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Keys that are spread out into bits at a time, more only where they have one ending.
 KEYS_AT_ONCE = 20_000
 #: Table entries up to which numbers are ranked by a table, beyond by sorting.
 TABLE = 1 << 25
 #: Entries after which a block's parts of counts are merged.
-MERGE_AT = 4 << 20
+MERGE_AT = 2 << 20
 BLANK, END = 0x20, 0xFF  # 0xFF never occurs in UTF-8
 
 #: kind 0: a text; 2, 3: what a block sends to a part of words, of keys; 4, 5: what comes back.

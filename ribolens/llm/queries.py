@@ -9,7 +9,7 @@ from ribolens.llm.near_dedup import op9_near_dedup
 from ribolens.llm.neighbours import OP5_SQL, op5_neighbours
 from ribolens.llm.packing import op10_best_fit_packing
 from ribolens.llm.quality import op3_quality
-from ribolens.llm.sharding import op7_sharding
+from ribolens.llm.sharding import OP7_SQL, op7_sharding
 from ribolens.llm.token_counts import op6_token_counts
 from ribolens.llm.warc import OP8_SQL, op8_warc
 
@@ -30,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op5_neighbours": OP5_SQL,
+    "op7_sharding": OP7_SQL,
     "op8_warc": OP8_SQL,
 }
