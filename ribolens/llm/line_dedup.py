@@ -18,29 +18,31 @@ from ribolens.operators.clustering import components
 LEAD = 3
 WILD = "<*>"
 
-def tokens(line: Column) -> Column:
-    """Tokens between white space; those with a digit are wildcards, but not where no token would be left: such lines
-    (numbers, links, rows of figures) are alike only if they are equal."""
-    plain = F.array_remove(F.split(line, r"\s+"), "")
-    masked = F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
-    return F.when(line.rlike("[0-9]") & F.exists(masked, lambda t: t != WILD), masked).otherwise(plain)
-
-
 def line_rows(docs: DataFrame, key: str, text: str, lead: int) -> DataFrame:
     """(doc, version, line, form, k0, k1, k2): form is the masked line's digest, k0 to k2 128-bit keys of the leaf with one
-    third left out, null where that third has no tokens. Blank lines are no rows."""
+    third left out, null where that third has no tokens. Blank lines are no rows.
+
+    Tokens are parted by white space; those with a digit are wildcards, but not where no token would be left: such lines
+    (numbers, links, rows of figures) are alike only if they are equal. Parts are hashed once, keys combine their hashes.
+    """
     rows = docs.select(docs[key].alias("doc"), F.xxhash64(docs[text]).alias("version"), F.posexplode(F.split(docs[text], "\n")).alias("line", "value"))
-    rows = rows.select("doc", "version", "line", tokens(F.col("value")).alias("t")).where(F.size("t") > 0).withColumn("n", F.size("t"))
+    place = ["doc", "version", "line"]
+    has_digit = lambda t: t.rlike("[0-9]")
+    rows = rows.select(*place, has_digit(F.col("value")).alias("digits"), F.array_remove(F.split("value", r"\s+"), "").alias("plain")).where(F.size("plain") > 0)
+    masked = F.transform("plain", lambda t: F.when(has_digit(t), F.lit(WILD)).otherwise(t))
+    masked = F.when(F.col("digits") & F.exists("plain", lambda t: ~has_digit(t)), masked).otherwise(F.col("plain"))
+    rows = rows.select(*place, masked.alias("t"), F.size("plain").alias("n"))
     rest = F.greatest(F.col("n") - lead, F.lit(0))
     cuts = [F.ceil(rest * m / 3).cast("int") for m in range(4)]
-    head = F.concat_ws(" ", F.slice("t", 1, lead))
-    parts = [F.concat_ws(" ", F.slice("t", lead + 1 + low, high - low)) for low, high in zip(cuts, cuts[1:], strict=False)]
+    parts = [F.slice("t", 1, lead), *[F.slice("t", lead + 1 + low, high - low) for low, high in zip(cuts, cuts[1:], strict=False)]]
+    hashes = [F.xxhash64(F.lit(seed), part).alias(f"p{m}_{seed}") for m, part in enumerate(parts) for seed in (0, 1)]
+    rows = rows.select(*place, "n", F.unhex(F.md5(F.concat_ws(" ", "t"))).alias("form"), *hashes)
 
     def leaf(out: int) -> Column:
-        kept = [p for m, p in enumerate(parts) if m != out]
-        return F.when(cuts[out + 1] > cuts[out], F.struct(*[F.xxhash64(F.lit(out + seed), "n", head, *kept).alias(f"h{seed}") for seed in (0, 3)]))
+        kept = [m for m in range(4) if m != out + 1]
+        return F.when(cuts[out + 1] > cuts[out], F.struct(*[F.xxhash64(F.lit(out), "n", *[f"p{m}_{seed}" for m in kept]).alias(f"h{seed}") for seed in (0, 1)]))
 
-    return rows.select("doc", "version", "line", F.unhex(F.md5(F.concat_ws(" ", "t"))).alias("form"), *[leaf(m).alias(f"k{m}") for m in range(3)])
+    return rows.select(*place, "form", *[leaf(m).alias(f"k{m}") for m in range(3)])
 
 
 def recurring(rows: DataFrame) -> DataFrame:
