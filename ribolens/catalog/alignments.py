@@ -12,20 +12,16 @@ from ribolens.plans.summary import summary
 C, P, R = f"WITH {v.CELLS} ", f"WITH {v.PAIRS} ", f"WITH {v.ROWS} "
 
 
-def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def cells(fn):
+    return lambda spark, sf_dir: fn(v.alignment_cells(spark, sf_dir))
 
 
-def cells(fn, *columns):
-    return lambda spark, sf_dir: rounded(fn(v.alignment_cells(spark, sf_dir)), *columns)
+def paired(fn):
+    return lambda spark, sf_dir: fn(al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE))
 
 
-def paired(fn, *columns):
-    return lambda spark, sf_dir: rounded(fn(al.pair_cells(v.alignment_cells(spark, sf_dir), v.structure(spark))), *columns)
-
-
-def rows(fn, *columns):
-    return lambda spark, sf_dir: rounded(fn(v.alignment_rows(spark, sf_dir)), *columns)
+def rows(fn):
+    return lambda spark, sf_dir: fn(v.alignment_rows(spark, sf_dir))
 
 
 def _identity(aligned):
@@ -33,12 +29,15 @@ def _identity(aligned):
 
 
 def _mean_identity(aligned):
-    pairs = _identity(aligned)
-    return pairs.groupBy("msa_id").agg(F.count(F.lit(1)).alias("pairs"), F.avg("identity").alias("mean_identity"), F.max("identity").alias("max_identity"))
+    return al.weighted_identity(aligned, v.WIDTH)
 
 
 def _jc(aligned):
-    return al.jukes_cantor(_identity(aligned), aligned, v.WIDTH)
+    return al.jukes_cantor(_identity(aligned))
+
+
+def _pb(aligned):
+    return al.position_based_weights(aligned, v.WIDTH)
 
 
 def _node(msa, seq):
@@ -73,7 +72,8 @@ def _kept_columns(long):
 
 _ID = f""", ident AS (SELECT a.msa_id, a.seq_id AS s1, b.seq_id AS s2, a.aseq AS x, b.aseq AS y,
   length(translate(a.aseq, '-', '')) AS len1, length(translate(b.aseq, '-', '')) AS len2,
-  len(list_filter(range(1, {v.WIDTH + 1}), lambda n: substr(a.aseq, n, 1) = substr(b.aseq, n, 1) AND substr(a.aseq, n, 1) <> '-')) AS matches
+  len(list_filter(range(1, {v.WIDTH + 1}), lambda n: substr(a.aseq, n, 1) = substr(b.aseq, n, 1) AND substr(a.aseq, n, 1) <> '-')) AS matches,
+  len(list_filter(range(1, {v.WIDTH + 1}), lambda n: substr(a.aseq, n, 1) <> '-' AND substr(b.aseq, n, 1) <> '-')) AS shared
   FROM aln a JOIN aln b ON a.msa_id = b.msa_id AND a.seq_id < b.seq_id),
 ids AS (SELECT *, CASE WHEN least(len1, len2) > 0 THEN matches / least(len1, len2) ELSE 0 END AS identity FROM ident) """
 _FREQ = """, freq AS (SELECT c.msa_id, c.col, s.sym, (sum(CASE WHEN c.sym = s.sym THEN weight ELSE 0 END) + sum(CASE WHEN NOT res THEN weight ELSE 0 END) * 0.25) / sum(weight) AS f
@@ -83,46 +83,52 @@ link AS (SELECT msa_id || '#' || lpad(CAST(s1 AS VARCHAR), 12, '0') AS a, msa_id
 sym AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT node AS a, node AS b FROM node UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
 clus AS (SELECT a AS node, min(b) AS cluster FROM reach GROUP BY a) """
-_CONS = """, per AS (SELECT msa_id, col, sym, any_value(res) AS res, sum(weight) AS w, count(*) AS n FROM cells GROUP BY msa_id, col, sym),
-cols AS (SELECT msa_id, col, sum(w) AS t, coalesce(sum(w) FILTER (NOT res), 0) AS g, max(struct_pack(w := w, n := n)) FILTER (res) AS top FROM per GROUP BY msa_id, col),
-used AS (SELECT *, coalesce(top.w > 0.7::DOUBLE * (t - g) AND top.n >= 3, FALSE) AS good, row_number() OVER (PARTITION BY msa_id ORDER BY col) AS nth FROM cols WHERE g <= 0.6::DOUBLE * t),
+_CONS = """, prof AS (SELECT msa_id, col, sum(weight) AS w, sum(CASE WHEN NOT res THEN weight ELSE 0 END) AS g, greatest(sum(CASE WHEN sym = 'A' THEN weight ELSE 0 END),
+  sum(CASE WHEN sym = 'C' THEN weight ELSE 0 END), sum(CASE WHEN sym = 'G' THEN weight ELSE 0 END), sum(CASE WHEN sym = 'U' THEN weight ELSE 0 END)) AS top FROM cells GROUP BY msa_id, col),
+used AS (SELECT *, top > 0.7::DOUBLE * w AND top >= 3 AS good, row_number() OVER (PARTITION BY msa_id ORDER BY col) AS nth FROM prof WHERE g <= 0.6::DOUBLE * w),
 isl AS (SELECT msa_id, nth - row_number() OVER (PARTITION BY msa_id ORDER BY col) AS island FROM used WHERE good),
 runs AS (SELECT msa_id, island, count(*) AS n FROM isl GROUP BY ALL HAVING count(*) >= 4),
 cons AS (SELECT m.msa_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS conserved FROM (SELECT DISTINCT msa_id FROM aln) m LEFT JOIN runs USING (msa_id) GROUP BY m.msa_id) """
-_TOTALS = """SELECT msa_id, count(*) AS num, round(sum(weight), 6) AS total_weight,
-  round(sum(weight * length(replace(aseq, '-', ''))) / sum(weight), 6) AS mean_len,
-  round(sum(weight * (length(aseq) - length(translate(aseq, 'GC', ''))) / nullif(length(replace(aseq, '-', '')), 0)) / nullif(sum(weight) FILTER (length(replace(aseq, '-', '')) > 0), 0), 6) AS mean_gc FROM aln GROUP BY msa_id"""
-_KINDS = """SELECT msa_id, i, j, round(sum(CASE WHEN lr AND rr AND canon THEN weight ELSE 0 END), 6) AS canonical,
-  round(sum(CASE WHEN lr AND rr AND NOT canon THEN weight ELSE 0 END), 6) AS noncanonical, round(sum(CASE WHEN lr <> rr THEN weight ELSE 0 END), 6) AS one_gap,
-  round(sum(CASE WHEN NOT lr AND NOT rr THEN weight ELSE 0 END), 6) AS two_gaps FROM paired GROUP BY msa_id, i, j"""
-_MI = """, joint AS (SELECT msa_id, i, j, "left" AS l, "right" AS r, sum(weight) AS w FROM paired WHERE lr AND rr GROUP BY ALL),
+_WID = f""", wpair AS (SELECT a.msa_id, a.weight * b.weight AS w, len(list_filter(range(1, {v.WIDTH + 1}), lambda n: substr(a.aseq, n, 1) <> '-' OR substr(b.aseq, n, 1) <> '-')) AS cols,
+  len(list_filter(range(1, {v.WIDTH + 1}), lambda n: substr(a.aseq, n, 1) <> '-' AND substr(a.aseq, n, 1) = substr(b.aseq, n, 1))) AS same FROM aln a JOIN aln b ON a.msa_id = b.msa_id AND a.seq_id < b.seq_id),
+wid AS (SELECT msa_id, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE s / p END AS mean_identity FROM (SELECT msa_id, count(*) AS n FROM aln GROUP BY msa_id)
+  LEFT JOIN (SELECT msa_id, sum(w * same / cols) AS s, sum(w) AS p FROM wpair WHERE cols >= 10 GROUP BY msa_id) USING (msa_id)) """
+_TOTALS = """SELECT msa_id, count(*) AS num, sum(weight) AS total_weight,
+  sum(weight * length(replace(aseq, '-', ''))) / sum(weight) AS mean_len,
+  sum(weight * (length(aseq) - length(translate(aseq, 'GC', ''))) / nullif(length(replace(aseq, '-', '')), 0)) / nullif(sum(weight) FILTER (length(replace(aseq, '-', '')) > 0), 0) AS mean_gc FROM aln GROUP BY msa_id"""
+_KINDS = """SELECT msa_id, i, j, sum(CASE WHEN lr AND rr AND canon THEN weight ELSE 0 END) AS canonical,
+  sum(CASE WHEN lr AND rr AND NOT canon THEN weight ELSE 0 END) AS noncanonical, sum(CASE WHEN lr <> rr THEN weight ELSE 0 END) AS one_gap,
+  sum(CASE WHEN NOT lr AND NOT rr THEN weight ELSE 0 END) AS two_gaps FROM paired GROUP BY msa_id, i, j"""
+_MI = """, sp AS (SELECT p.msa_id, p.i, p.j, x.s AS l, y.s AS r, p.weight * CASE WHEN p.lr THEN CAST(p."left" = x.s AS INTEGER) ELSE 0.25::DOUBLE END * CASE WHEN p.rr THEN CAST(p."right" = y.s AS INTEGER) ELSE 0.25::DOUBLE END AS w
+  FROM paired p, (VALUES ('A'), ('C'), ('G'), ('U')) x(s), (VALUES ('A'), ('C'), ('G'), ('U')) y(s)),
+joint AS (SELECT msa_id, i, j, l, r, sum(w) AS w FROM sp GROUP BY ALL),
 share AS (SELECT *, sum(w) OVER (PARTITION BY msa_id, i, j) AS t, sum(w) OVER (PARTITION BY msa_id, i, j, l) AS wl, sum(w) OVER (PARTITION BY msa_id, i, j, r) AS wr FROM joint),
-mi AS (SELECT msa_id, i, j, sum(w / t * log2(w * t / (wl * wr))) AS mi FROM share GROUP BY msa_id, i, j) """
+mi AS (SELECT msa_id, i, j, sum(CASE WHEN w > 0 THEN w / t * log2(w * t / (wl * wr)) ELSE 0 END) AS mi FROM share GROUP BY msa_id, i, j) """
 _PB = """, k AS (SELECT msa_id, col, sym, count(*) AS n FROM cells WHERE res GROUP BY ALL), kk AS (SELECT *, count(*) OVER (PARTITION BY msa_id, col) AS k FROM k),
 raw AS (SELECT c.msa_id, c.seq_id, coalesce(sum(1 / (kk.k * kk.n)) / nullif(count(kk.n), 0), 0) AS raw FROM cells c LEFT JOIN kk ON c.msa_id = kk.msa_id AND c.col = kk.col AND c.sym = kk.sym GROUP BY c.msa_id, c.seq_id)
-SELECT msa_id, seq_id, round(CASE WHEN sum(raw) OVER (PARTITION BY msa_id) > 0 THEN raw * count(*) OVER (PARTITION BY msa_id) / sum(raw) OVER (PARTITION BY msa_id) ELSE 1 END, 6) AS pb_weight FROM raw"""
+SELECT msa_id, seq_id, CASE WHEN sum(raw) OVER (PARTITION BY msa_id) > 0 THEN raw * count(*) OVER (PARTITION BY msa_id) / sum(raw) OVER (PARTITION BY msa_id) ELSE 1 END AS pb_weight FROM raw"""
 
 ENTRIES = {
-    "A1_A2_A4_totals": (rows(al.totals, "total_weight", "mean_len", "mean_gc"), R + _TOTALS),
-    "A5_relative_entropy": (cells(al.relative_entropy, "entropy"), C + _FREQ + "SELECT msa_id, round(sum(CASE WHEN f > 0 THEN f * log2(f / 0.25) ELSE 0 END), 6) AS entropy FROM freq GROUP BY msa_id"),
-    "A5_column_frequencies": (cells(al.column_frequencies, "f"), C + _FREQ + "SELECT msa_id, col, sym, round(f, 6) AS f FROM freq"),
-    "A6_mutual_information": (paired(al.mutual_information, "mi"), P + _MI + "SELECT msa_id, i, j, round(mi, 6) AS mi FROM mi"),
-    "A34_pair_categories": (paired(al.pair_categories, "canonical", "noncanonical", "one_gap", "two_gaps"), P + _KINDS),
+    "A1_A2_A4_totals": (rows(al.totals), R + _TOTALS),
+    "A5_relative_entropy": (cells(al.relative_entropy), C + _FREQ + "SELECT msa_id, sum(CASE WHEN f > 0 THEN f * log2(f / 0.25) ELSE 0 END) AS entropy FROM freq GROUP BY msa_id"),
+    "A5_column_frequencies": (cells(al.column_frequencies), C + _FREQ + "SELECT msa_id, col, sym, f AS f FROM freq"),
+    "A6_mutual_information": (paired(al.mutual_information), P + _MI + "SELECT msa_id, i, j, mi AS mi FROM mi"),
+    "A34_pair_categories": (paired(al.pair_categories), P + _KINDS),
     "A15_W5_conserved": (cells(al.conserved_positions), C + _CONS + "SELECT msa_id, conserved FROM cons"),
-    "A25_position_based_weights": (cells(al.position_based_weights, "pb_weight"), C + _PB),
+    "A25_position_based_weights": (rows(_pb), C + _PB),
     "A25_blosum_weights": (
-        rows(_blosum, "blosum_weight"),
-        f"WITH RECURSIVE {v.ROWS}{_ID}{_CLUSTERS}, sized AS (SELECT c.node, n.msa_id, 1 / count(*) OVER (PARTITION BY cluster) AS w FROM clus c JOIN node n USING (node)) SELECT node, round(w * count(*) OVER (PARTITION BY msa_id) / sum(w) OVER (PARTITION BY msa_id), 6) AS blosum_weight FROM sized",
+        rows(_blosum),
+        f"WITH RECURSIVE {v.ROWS}{_ID}{_CLUSTERS}, sized AS (SELECT c.node, n.msa_id, 1 / count(*) OVER (PARTITION BY cluster) AS w FROM clus c JOIN node n USING (node)) SELECT node, w * count(*) OVER (PARTITION BY msa_id) / sum(w) OVER (PARTITION BY msa_id) AS blosum_weight FROM sized",
     ),
     "IT4_identity_clusters": (rows(_cluster_query), f"WITH RECURSIVE {v.ROWS}{_ID}{_CLUSTERS} SELECT node, cluster FROM clus"),
-    "A30_pairwise_identity": (rows(_identity, "identity"), R + _ID + "SELECT msa_id, s1, s2, CAST(matches AS INTEGER) AS matches, CAST(len1 AS INTEGER) AS len1, CAST(len2 AS INTEGER) AS len2, round(identity, 6) AS identity FROM ids"),
-    "A13_mean_identity": (rows(_mean_identity, "mean_identity", "max_identity"), R + _ID + "SELECT msa_id, count(*) AS pairs, round(avg(identity), 6) AS mean_identity, round(max(identity), 6) AS max_identity FROM ids GROUP BY msa_id"),
+    "A30_pairwise_identity": (rows(_identity), R + _ID + "SELECT msa_id, s1, s2, CAST(matches AS INTEGER) AS matches, CAST(len1 AS INTEGER) AS len1, CAST(len2 AS INTEGER) AS len2, CAST(shared AS INTEGER) AS shared, CAST(identity AS DOUBLE) AS identity FROM ids"),
+    "A13_mean_identity": (rows(_mean_identity), R + _WID + "SELECT msa_id, mean_identity FROM wid"),
     "A30_jukes_cantor": (
-        rows(_jc, "distance"),
+        rows(_jc),
         R
         + _ID
         + f""", bothn AS (SELECT msa_id, s1, s2, matches, len(list_filter(range(1, {v.WIDTH + 1}), lambda n: substr(x, n, 1) <> '-' AND substr(y, n, 1) <> '-')) AS b FROM ids),
-d AS (SELECT msa_id, s1, s2, 1 - (b - matches) / b * (4.0::DOUBLE / 3) AS x FROM bothn WHERE b > 0) SELECT msa_id, s1, s2, round(CASE WHEN x > 0 THEN -ln(x) * 0.75 END, 6) AS distance FROM d""",
+d AS (SELECT msa_id, s1, s2, 1 - (b - matches) / b * (4.0::DOUBLE / 3) AS x FROM bothn WHERE b > 0) SELECT msa_id, s1, s2, CASE WHEN x > 0 THEN -ln(x) * 0.75 END AS distance FROM d""",
     ),
     "A36_consensus": (
         cells(al.consensus_columns),
@@ -142,14 +148,14 @@ SELECT msa_id, col, CASE WHEN g <= 0.6::DOUBLE * t AND best IS NOT NULL THEN bes
         P + """SELECT a.msa_id, a.i, a.j, count(*) AS support FROM paired a JOIN paired b ON a.msa_id = b.msa_id AND a.i = b.i AND a.seq_id < b.seq_id AND a.canon AND b.canon AND a."left" <> b."left" AND a."right" <> b."right" GROUP BY a.msa_id, a.i, a.j""",
     ),
     "alignment_summary": (
-        lambda spark, sf_dir: summary(v.alignment_rows(spark, sf_dir), v.structure(spark), v.WIDTH),
+        rows(lambda aligned: summary(aligned, v.STRUCTURE, v.WIDTH)),
         P
         + _FREQ
         + _MI
         + _CONS
-        + _ID
-        + f""", tot AS ({_TOTALS}), ent AS (SELECT msa_id, round(sum(CASE WHEN f > 0 THEN f * log2(f / 0.25) ELSE 0 END), 6) AS entropy FROM freq GROUP BY msa_id),
-m AS (SELECT msa_id, round(sum(mi), 6) AS mi FROM mi GROUP BY msa_id), q AS (SELECT msa_id, round(avg(identity), 6) AS mean_identity FROM ids GROUP BY msa_id)
-SELECT tot.*, ent.entropy, m.mi, q.mean_identity, cons.conserved FROM tot LEFT JOIN ent USING (msa_id) LEFT JOIN m USING (msa_id) LEFT JOIN q USING (msa_id) LEFT JOIN cons USING (msa_id)""",
+        + _WID
+        + f""", tot AS ({_TOTALS}), ent AS (SELECT msa_id, sum(CASE WHEN f > 0 THEN f * log2(f / 0.25) ELSE 0 END) AS entropy FROM freq GROUP BY msa_id),
+m AS (SELECT msa_id, sum(mi) AS mi FROM mi GROUP BY msa_id)
+SELECT tot.*, ent.entropy, m.mi, wid.mean_identity, cons.conserved FROM tot LEFT JOIN ent USING (msa_id) LEFT JOIN m USING (msa_id) LEFT JOIN wid USING (msa_id) LEFT JOIN cons USING (msa_id)""",
     ),
 }

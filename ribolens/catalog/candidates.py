@@ -21,11 +21,8 @@ def _brackets():
 
 
 def _all_pairs(spark, sf_dir):
-    """Mutual information of every two columns of an alignment, over rows with residues in both."""
-    long = v.alignment_cells(spark, sf_dir).where(F.col("sym").isin(*al.RESIDUES))
-    one = long.select("msa_id", "seq_id", "weight", F.col("col").alias("i"), F.col("sym").alias("left"))
-    two = long.select("msa_id", "seq_id", F.col("col").alias("j"), F.col("sym").alias("right"))
-    return al.mutual_information(one.join(two, ["msa_id", "seq_id"]).where("i < j")).withColumn("mi", F.round("mi", 6))
+    """Expected mutual information of every two columns of an alignment: each row gives its pairs of columns itself."""
+    return al.expected_information(v.alignment_rows(spark, sf_dir), v.WIDTH)
 
 
 def _lengths(spark, sf_dir):
@@ -33,15 +30,17 @@ def _lengths(spark, sf_dir):
 
 
 def _weights(spark, sf_dir):
+    """The weights under each strategy: those given, all ones, position-based, and position-based times given."""
     rows = v.alignment_rows(spark, sf_dir)
-    pb = al.position_based_weights(al.cells(rows))
-    return rows.join(pb, ["msa_id", "seq_id"]).select("msa_id", "seq_id", F.round(F.col("weight") * F.col("pb_weight"), 6).alias("weight"))
+    pb = al.position_based_weights(rows, v.WIDTH)
+    given, own = F.col("weight"), F.col("pb_weight")
+    return rows.join(pb, ["msa_id", "seq_id"]).select("msa_id", "seq_id", given.alias("given"), F.lit(1.0).alias("uniform"), own.alias("position_based"), (given * own).alias("both"))
 
 
 def _pair_score(spark, sf_dir):
     """For each pair of columns the largest weight product of two covarying sequences, summed over the alignment: types
     that differ on both sides meet with the largest weight of each."""
-    paired = al.pair_cells(v.alignment_cells(spark, sf_dir), v.structure(spark))
+    paired = al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE)
     types = paired.where(al.is_canonical(F.col("left"), F.col("right"))).groupBy("msa_id", "i", "j", "left", "right").agg(F.max("weight").alias("w"))
     other = types.select("msa_id", "i", "j", F.col("left").alias("l2"), F.col("right").alias("r2"), F.col("w").alias("w2"))
     best = types.join(other, ["msa_id", "i", "j"]).where("left <> l2 AND right <> r2").groupBy("msa_id", "i", "j").agg(F.max(F.col("w") * F.col("w2")).alias("best"))
@@ -55,13 +54,13 @@ def _consensus_classes(spark, sf_dir):
 
 def _log_odds(spark, sf_dir):
     """Log odds, in hundredths of bits, of a pair of columns being canonical against its columns' own frequencies."""
-    kinds = al.pair_categories(al.pair_cells(v.alignment_cells(spark, sf_dir), v.structure(spark)))
+    kinds = al.pair_categories(al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE))
     p = (F.col("canonical") + 0.1) / (F.col("canonical") + F.col("noncanonical") + 0.2)
     return kinds.select("msa_id", "i", "j", F.round(F.greatest(50 * F.log2(p / (1 - p)), F.lit(-400.0)), 6).alias("log_odds"))
 
 
 def _structure_pairs(spark, sf_dir):
-    kinds = al.pair_categories(al.pair_cells(v.alignment_cells(spark, sf_dir), v.structure(spark)))
+    kinds = al.pair_categories(al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE))
     one = kinds.where("canonical > 0").select("msa_id", "i", "j")
     two = kinds.where("noncanonical > 0").select("msa_id", "i", "j")
     return cd.pair_agreement(one, two, ["msa_id", "i", "j"])
@@ -91,8 +90,10 @@ ENTRIES = {
         _all_pairs,
         C
         + """, joint AS (SELECT a.msa_id, a.col AS i, b.col AS j, a.sym AS l, b.sym AS r, sum(a.weight) AS w FROM cells a JOIN cells b ON a.msa_id = b.msa_id AND a.seq_id = b.seq_id AND a.col < b.col AND a.res AND b.res GROUP BY ALL),
-share AS (SELECT *, sum(w) OVER (PARTITION BY msa_id, i, j) AS t, sum(w) OVER (PARTITION BY msa_id, i, j, l) AS wl, sum(w) OVER (PARTITION BY msa_id, i, j, r) AS wr FROM joint)
-SELECT msa_id, i, j, round(sum(w / t * log2(w * t / (wl * wr))), 6) AS mi FROM share GROUP BY msa_id, i, j""",
+share AS (SELECT *, sum(w) OVER (PARTITION BY msa_id, i, j) AS t, sum(w) OVER (PARTITION BY msa_id, i, j, l) AS wl, sum(w) OVER (PARTITION BY msa_id, i, j, r) AS wr FROM joint),
+x AS (SELECT msa_id, i, j, 100 * sum(w / t * log2(w * t / (wl * wr))) * any_value(t) AS mi FROM share GROUP BY msa_id, i, j),
+n AS (SELECT msa_id, count(*) AS n FROM aln GROUP BY msa_id)
+SELECT msa_id, i, j, mi / n AS mi FROM x JOIN n USING (msa_id)""",
     ),
     "A3_A19_described_scores": (
         _descriptions,
@@ -104,7 +105,7 @@ SELECT msa_id, i, j, round(sum(w / t * log2(w * t / (wl * wr))), 6) AS mi FROM s
 p AS (SELECT *, (c + 0.1::DOUBLE) / (c + n + 0.2::DOUBLE) AS p FROM k) SELECT msa_id, i, j, round(greatest(50 * log2(p / (1 - p)), -400), 6) AS log_odds FROM p""",
     ),
     "A12_pair_counts": (
-        lambda spark, sf_dir: al.pair_categories(al.pair_cells(v.alignment_cells(spark, sf_dir), v.structure(spark))).groupBy("msa_id").agg(F.sum(F.when(F.col("canonical") > 0, 1).otherwise(0)).alias("pairs"), F.round(F.sum("canonical"), 6).alias("weighted")),
+        lambda spark, sf_dir: al.pair_categories(al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE)).groupBy("msa_id").agg(F.sum(F.when(F.col("canonical") > 0, 1).otherwise(0)).alias("pairs"), F.round(F.sum("canonical"), 6).alias("weighted")),
         P + "SELECT msa_id, CAST(sum(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS BIGINT) AS pairs, round(sum(c), 6) AS weighted FROM (SELECT msa_id, i, sum(CASE WHEN lr AND rr AND canon THEN weight ELSE 0 END) AS c FROM paired GROUP BY msa_id, i) GROUP BY msa_id",
     ),
     "A23_evalue_weights": (
@@ -114,8 +115,9 @@ p AS (SELECT *, (c + 0.1::DOUBLE) / (c + n + 0.2::DOUBLE) AS p FROM k) SELECT ms
     "A26_weight_products": (
         _weights,
         C + """, k AS (SELECT msa_id, col, sym, count(*) AS n FROM cells WHERE res GROUP BY ALL), kk AS (SELECT *, count(*) OVER (PARTITION BY msa_id, col) AS k FROM k),
-raw AS (SELECT c.msa_id, c.seq_id, any_value(c.weight) AS w, coalesce(sum(1 / (kk.k * kk.n)) / nullif(count(kk.n), 0), 0) AS raw FROM cells c LEFT JOIN kk ON c.msa_id = kk.msa_id AND c.col = kk.col AND c.sym = kk.sym GROUP BY c.msa_id, c.seq_id)
-SELECT msa_id, seq_id, round(w * CASE WHEN sum(raw) OVER (PARTITION BY msa_id) > 0 THEN raw * count(*) OVER (PARTITION BY msa_id) / sum(raw) OVER (PARTITION BY msa_id) ELSE 1 END, 6) AS weight FROM raw""",
+raw AS (SELECT c.msa_id, c.seq_id, any_value(c.weight) AS w, coalesce(sum(1 / (kk.k * kk.n)) / nullif(count(kk.n), 0), 0) AS raw FROM cells c LEFT JOIN kk ON c.msa_id = kk.msa_id AND c.col = kk.col AND c.sym = kk.sym GROUP BY c.msa_id, c.seq_id),
+pb AS (SELECT *, CASE WHEN sum(raw) OVER (PARTITION BY msa_id) > 0 THEN raw * count(*) OVER (PARTITION BY msa_id) / sum(raw) OVER (PARTITION BY msa_id) ELSE 1 END AS pb FROM raw)
+SELECT msa_id, seq_id, w AS given, 1.0::DOUBLE AS uniform, pb AS position_based, w * pb AS both FROM pb""",
     ),
     "A33_consensus_levels": (
         _consensus_classes,

@@ -41,8 +41,8 @@ def alignment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(alignment_rows(spark, sf_dir))
 
 
-def structure(spark: SparkSession) -> DataFrame:
-    return spark.range(1, STEM + 1).select(F.col("id").cast("int").alias("i"), (WIDTH + 1 - F.col("id")).cast("int").alias("j"))
+#: The pairs of columns of that structure.
+STRUCTURE = [(i, WIDTH + 1 - i) for i in range(1, STEM + 1)]
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Statistics of alignments in long form: cells(msa_id, seq_id, col, sym, weight), a row for each sequence and column."""
+"""Statistics of alignments: rows(msa_id, seq_id, aseq, weight), and cells(msa_id, seq_id, col, sym, weight), a row for each
+sequence and column. Other symbols than residues are gaps."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ribolens.functions.sequence import is_canonical
 RESIDUES = ("A", "C", "G", "U")
 #: Relative background frequency of each residue.
 BACKGROUND = 0.25
+#: Rows of a block in comparisons of all rows of an alignment.
+BLOCK_ROWS = 2000
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -31,39 +36,76 @@ def totals(rows: DataFrame) -> DataFrame:
     )
 
 
+def column_profile(long: DataFrame) -> DataFrame:
+    """(msa_id, col, w, gap, A, C, G, U): each column's whole weight and that of its gaps and residues."""
+    of = lambda when: F.sum(F.when(when, F.col("weight")).otherwise(0.0))
+    return long.groupBy("msa_id", "col").agg(F.sum("weight").alias("w"), of(~F.col("sym").isin(*RESIDUES)).alias("gap"), *[of(F.col("sym") == s).alias(s) for s in RESIDUES])
+
+
 def column_frequencies(long: DataFrame) -> DataFrame:
     """(msa_id, col, sym, f): weighted frequencies of the residues, gaps dealt out by the background."""
-    is_residue = F.col("sym").isin(*RESIDUES)
-    wide = long.groupBy("msa_id", "col").agg(F.sum("weight").alias("w"), F.sum(F.when(~is_residue, F.col("weight")).otherwise(0.0)).alias("gap"), *[F.sum(F.when(F.col("sym") == s, F.col("weight")).otherwise(0.0)).alias(s) for s in RESIDUES])
     each = F.inline(F.array(*[F.struct(F.lit(s).alias("sym"), ((F.col(s) + F.col("gap") * BACKGROUND) / F.col("w")).alias("f")) for s in RESIDUES]))
-    return wide.where("w > 0").select("msa_id", "col", each)
+    return column_profile(long).where("w > 0").select("msa_id", "col", each)
+
+
+def column_entropy() -> Column:
+    """Of a column profile: bits of the frequencies against the background."""
+    term = lambda f: F.when(f > 0, f * F.log2(f / BACKGROUND)).otherwise(0.0)
+    return sum((term((F.col(s) + F.col("gap") * BACKGROUND) / F.col("w")) for s in RESIDUES), F.lit(0.0))
 
 
 def relative_entropy(long: DataFrame) -> DataFrame:
     """(msa_id, entropy): bits of the columns' frequencies against the background, summed over columns."""
-    f = F.col("f")
-    term = F.when(f > 0, f * F.log2(f / BACKGROUND)).otherwise(0.0)
-    return column_frequencies(long).groupBy("msa_id").agg(F.sum(term).alias("entropy"))
+    return column_profile(long).where("w > 0").groupBy("msa_id").agg(F.sum(column_entropy()).alias("entropy"))
+
 
+def pair_cells(rows: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(msa_id, seq_id, i, j, left, right, weight) for the structure's pairs (i, j) of columns, cut from each row."""
+    each = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.substring("aseq", i, 1).alias("left"), F.substring("aseq", j, 1).alias("right")) for i, j in pairs]
+    return rows.select("msa_id", "seq_id", "weight", F.inline(F.array(*each))).select("msa_id", "seq_id", "i", "j", "left", "right", "weight")
 
-def pair_cells(long: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(msa_id, i, j, seq_id, left, right, weight) for pairs(i, j) of columns: the columns meet by their number, so no
-    two columns that aren't paired are joined."""
-    left = long.join(F.broadcast(pairs), F.col("col") == F.col("i")).select("msa_id", "seq_id", "i", "j", F.col("sym").alias("left"), "weight")
-    right = long.join(F.broadcast(pairs.select(F.col("i").alias("ri"), F.col("j").alias("rj"))), F.col("col") == F.col("rj"))
-    right = right.select("msa_id", "seq_id", F.col("ri").alias("i"), F.col("sym").alias("right"))
-    return left.join(right, ["msa_id", "seq_id", "i"])
+
+def joint_weights(paired: DataFrame) -> DataFrame:
+    """(msa_id, i, j, n, w, AA, AC, ..., U-, --): the weight of each pair of symbols at each pair of columns."""
+    at = lambda side, s: F.col(side) == s if s != "-" else ~F.col(side).isin(*RESIDUES)
+    kinds = [F.sum(F.when(at("left", x) & at("right", y), F.col("weight")).otherwise(0.0)).alias(f"{x}{y}") for x in (*RESIDUES, "-") for y in (*RESIDUES, "-")]
+    return paired.groupBy("msa_id", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), *kinds)
+
+
+def _information(joint: dict[str, Column], whole: Column) -> Column:
+    """Mutual information in bits of joint weights by pair of residues, with their sum."""
+    total = F.lit(0.0)
+    for x in RESIDUES:
+        for y in RESIDUES:
+            left, right = sum(joint[x + r] for r in RESIDUES), sum(joint[r + y] for r in RESIDUES)
+            both = joint[x + y]
+            total = total + F.when(both > 0, both / whole * F.log2(both * whole / (left * right))).otherwise(0.0)
+    return total
 
 
 def mutual_information(paired: DataFrame) -> DataFrame:
-    """(msa_id, i, j, mi): weighted mutual information of paired columns in bits, over rows with residues in both."""
-    full = paired.where(F.col("left").isin(*RESIDUES) & F.col("right").isin(*RESIDUES))
-    joint = full.groupBy("msa_id", "i", "j", "left", "right").agg(F.sum("weight").alias("w"))
-    by = Window.partitionBy("msa_id", "i", "j")
-    shares = joint.where("w > 0").select(
-        "msa_id", "i", "j", "w", F.sum("w").over(by).alias("t"), F.sum("w").over(by.partitionBy("msa_id", "i", "j", "left")).alias("l"), F.sum("w").over(by.partitionBy("msa_id", "i", "j", "right")).alias("r")
-    )
-    return shares.groupBy("msa_id", "i", "j").agg(F.sum(F.col("w") / F.col("t") * F.log2(F.col("w") * F.col("t") / (F.col("l") * F.col("r")))).alias("mi"))
+    """(msa_id, i, j, mi): weighted mutual information of paired columns in bits. A gap counts as any residue, by the
+    background."""
+    q = BACKGROUND
+    spread = {x + y: F.col(f"`{x}{y}`") + q * F.col(f"`{x}-`") + q * F.col(f"`-{y}`") + q * q * F.col("`--`") for x in RESIDUES for y in RESIDUES}
+    named = joint_weights(paired).where("w > 0").select("msa_id", "i", "j", "w", *[c.alias(k) for k, c in spread.items()])
+    return named.select("msa_id", "i", "j", _information({k: F.col(k) for k in spread}, F.col("w")).alias("mi"))
+
+
+def expected_information(rows: DataFrame, width: int) -> DataFrame:
+    """(msa_id, i, j, mi) for every two columns i < j of ``width`` in which some row has residues in both: mutual information
+    over such rows, in hundredths of bits, times their weight over the number of all rows. Rows pair their residues alone."""
+    at = F.filter(F.sequence(F.lit(1), F.lit(width)), lambda n: F.substr("aseq", n, F.lit(1)).isin(*RESIDUES))
+    held = rows.select("msa_id", "weight", "aseq", at.alias("at"))
+    left = held.select("*", F.posexplode("at").alias("k", "i"))
+    both = left.select("msa_id", "weight", "aseq", "i", F.explode(F.slice("at", F.col("k") + 2, F.lit(width))).alias("j"))
+    kind = F.concat(F.substr("aseq", F.col("i"), F.lit(1)), F.substr("aseq", F.col("j"), F.lit(1)))
+    keys = [x + y for x in RESIDUES for y in RESIDUES]
+    joint = both.select("msa_id", "i", "j", "weight", kind.alias("kind")).groupBy("msa_id", "i", "j")
+    joint = joint.agg(F.sum("weight").alias("both"), *[F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0.0)).alias(k) for k in keys]).where("both > 0")
+    n = rows.groupBy("msa_id").agg(F.count(F.lit(1)).alias("n"))
+    mi = 100 * _information({k: F.col(k) for k in keys}, F.col("both")) * F.col("both") / F.col("n")
+    return joint.join(n, "msa_id").select("msa_id", "i", "j", mi.alias("mi"))
 
 
 def pair_categories(paired: DataFrame) -> DataFrame:
@@ -88,45 +130,113 @@ def covarying_pairs(paired: DataFrame) -> DataFrame:
     return met.groupBy("msa_id", "i", "j").agg(F.sum(F.col("n") * F.col("n2")).alias("support"))
 
 
-def position_based_weights(long: DataFrame) -> DataFrame:
-    """(msa_id, seq_id, pb_weight): each column shares 1 / (kinds * count of the residue) among its residues; sums are
-    divided by the sequence's residues and scaled to mean 1; all ones where no sequence has residues."""
-    res = long.where(F.col("sym").isin(*RESIDUES))
-    counts = res.groupBy("msa_id", "col", "sym").agg(F.count(F.lit(1)).alias("n"))
-    kinds = counts.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("msa_id", "col")))
-    raw = res.join(kinds, ["msa_id", "col", "sym"]).groupBy("msa_id", "seq_id").agg((F.sum(1 / (F.col("k") * F.col("n"))) / F.count(F.lit(1))).alias("raw"))
-    every = long.select("msa_id", "seq_id").distinct().join(raw, ["msa_id", "seq_id"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+def position_based_weights(rows: DataFrame, width: int) -> DataFrame:
+    """(msa_id, seq_id, pb_weight) of rows of ``width`` columns: each column shares 1 / (kinds * count of the residue) among
+    its residues; sums are divided by the sequence's residues and scaled to mean 1; all ones where no sequence has residues.
+
+    An alignment's shares are one row of ``width`` entries, which its sequences meet by msa_id alone.
+    """
+    long = cells(rows.select("msa_id", "seq_id", "aseq", "weight"))
+    counts = long.groupBy("msa_id", "col").agg(*[F.count(F.when(F.col("sym") == s, 1)).alias(s) for s in RESIDUES])
+    kinds = sum(F.when(F.col(s) > 0, 1).otherwise(0) for s in RESIDUES)
+    shares = counts.select("msa_id", "col", *[F.when(F.col(s) > 0, 1.0 / (kinds * F.col(s))).otherwise(0.0).alias(s) for s in RESIDUES])
+    shares = shares.groupBy("msa_id").agg(F.array_sort(F.collect_list(F.struct("col", *RESIDUES))).alias("shares"))  # width entries
+    met = rows.select("msa_id", "seq_id", "aseq").join(shares, "msa_id")
+
+    def of(symbol: Column, share: Column) -> Column:
+        out = F.lit(0.0)
+        for s in RESIDUES:
+            out = F.when(symbol == s, share[s]).otherwise(out)
+        return out
+
+    symbols = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda n: F.substr("aseq", n, F.lit(1)))
+    each = F.zip_with(symbols, F.col("shares"), of)
+    residues = F.length("aseq") - F.length(F.translate("aseq", "ACGU", ""))
+    every = met.select("msa_id", "seq_id", F.when(residues > 0, F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / residues).otherwise(0.0).alias("raw"))
     by = Window.partitionBy("msa_id")
     total, count = F.sum("raw").over(by), F.count(F.lit(1)).over(by)
     return every.select("msa_id", "seq_id", F.when(total > 0, F.col("raw") * count / total).otherwise(1.0).alias("pb_weight"))
 
 
+def masks(width: int) -> list[Column]:
+    """Of rows of up to 64 columns: bits m_A, m_C, m_G, m_U of the columns with that residue, and m_gap of those without."""
+    if width > 64:
+        raise ValueError("masks hold 64 columns at most")
+    bits = lambda keep: F.conv(F.translate("aseq", "ACGU-", "".join("1" if s in keep else "0" for s in "ACGU-")), 2, -10).cast("long")
+    return [*[bits(s).alias(f"m_{s}") for s in RESIDUES], bits("-").alias("m_gap")]
+
+
+def row_pairs(rows: DataFrame, carried: Sequence[str]) -> DataFrame:
+    """All pairs of rows(msa_id, seq_id, carried...) of one alignment: s1 < s2, and carried columns as a_... and b_....
+
+    Alignments of many rows are dealt into blocks of about BLOCK_ROWS, and each two blocks meet in a key of their own.
+    """
+    counts = rows.groupBy("msa_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = rows.join(counts, "msa_id").withColumn("block", F.pmod(F.xxhash64("seq_id"), F.col("blocks")).cast("int"))
+    last, own = F.col("blocks") - 1, F.col("block")
+    one = dealt.select("msa_id", own.alias("p"), F.explode(F.sequence(own, last)).alias("q"), F.col("seq_id").alias("s1"), *[F.col(c).alias(f"a_{c}") for c in carried])
+    two = dealt.select("msa_id", F.explode(F.sequence(F.lit(0), own)).alias("p"), own.alias("q"), F.col("seq_id").alias("s2"), *[F.col(c).alias(f"b_{c}") for c in carried])
+    met = one.join(two, ["msa_id", "p", "q"]).where("p < q OR s1 < s2").where("s1 <> s2")
+    turned = F.col("s1") > F.col("s2")
+    sides = [(f"a_{c}", f"b_{c}") for c in carried]
+    turn = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in sides] + [F.when(turned, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in sides]
+    return met.select("msa_id", F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2"), *turn)
+
+
+def _matches() -> Column:
+    return sum(F.bit_count(F.col(f"a_m_{s}").bitwiseAND(F.col(f"b_m_{s}"))) for s in RESIDUES)
+
+
+def _residues(side: str) -> Column:
+    return sum(F.bit_count(f"{side}_m_{s}") for s in RESIDUES)
+
+
+MASKS = ("m_A", "m_C", "m_G", "m_U", "m_gap")
+
+
 def pairwise_identity(rows: DataFrame, width: int) -> DataFrame:
-    """(msa_id, s1, s2, matches, len1, len2, identity) for pairs of sequences of one alignment, s1 < s2: matches over the
-    shorter sequence's residues. Rows meet as whole strings; columns are compared inside the row."""
-    one = rows.select("msa_id", F.col("seq_id").alias("s1"), F.col("aseq").alias("a"))
-    two = rows.select("msa_id", F.col("seq_id").alias("s2"), F.col("aseq").alias("b"))
-    met = one.join(two, "msa_id").where("s1 < s2")
-    is_same = sum((F.when((F.substring("a", n, 1) == F.substring("b", n, 1)) & F.substring("a", n, 1).isin(*RESIDUES), 1).otherwise(0) for n in range(1, width + 1)), F.lit(0))
-    size = lambda c: F.length(c) - F.length(F.translate(c, "ACGU", ""))
-    met = met.select("msa_id", "s1", "s2", is_same.alias("matches"), size("a").alias("len1"), size("b").alias("len2"))
+    """(msa_id, s1, s2, matches, len1, len2, shared, identity) for pairs of sequences of one alignment, s1 < s2: matches over the
+    shorter sequence's residues; shared: columns with residues in both. Columns are compared as bits of a long."""
+    met = row_pairs(rows.select("msa_id", "seq_id", *masks(width)), MASKS)
+    both = F.lit(width) - F.bit_count(F.col("a_m_gap").bitwiseOR(F.col("b_m_gap")))
+    met = met.select("msa_id", "s1", "s2", _matches().alias("matches"), _residues("a").alias("len1"), _residues("b").alias("len2"), both.alias("shared"))
     least = F.least("len1", "len2")
     return met.withColumn("identity", F.when(least > 0, F.col("matches") / least).otherwise(0.0))
 
 
-def conserved_positions(long: DataFrame, frequency: float = 0.7, least: int = 3, gap: float = 0.6, block: int = 4) -> DataFrame:
-    """(msa_id, conserved): columns in runs of ``block`` at least that have a residue of more than ``frequency`` of the
-    weight in ``least`` sequences at least. Columns with more than ``gap`` gaps neither lengthen nor break a run."""
-    per = long.groupBy("msa_id", "col", "sym").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"))
-    is_residue = F.col("sym").isin(*RESIDUES)
-    cols = per.groupBy("msa_id", "col").agg(
-        F.sum("w").alias("t"), F.sum(F.when(~is_residue, F.col("w")).otherwise(0.0)).alias("g"), F.max(F.when(is_residue, F.struct("w", "n"))).alias("top")
-    )
-    used = cols.where(F.col("g") <= gap * F.col("t")).withColumn("good", (F.col("top.w") > frequency * (F.col("t") - F.col("g"))) & (F.col("top.n") >= least))
-    used = used.withColumn("at", F.row_number().over(Window.partitionBy("msa_id").orderBy("col")))
-    good = used.where("good").withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy("msa_id").orderBy("col")))
-    runs = good.groupBy("msa_id", "island").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= block)
-    return long.select("msa_id").distinct().join(runs.groupBy("msa_id").agg(F.sum("n").alias("n")), "msa_id", "left").select("msa_id", F.coalesce("n", F.lit(0)).alias("conserved"))
+def weighted_identity(rows: DataFrame, width: int, least: int = 10) -> DataFrame:
+    """(msa_id, mean_identity): the mean over pairs of sequences, weighted by the product of their weights, of matches over
+    columns that aren't gaps in both; pairs of under ``least`` such columns are left out. 1 for one sequence, null
+    if no pair is left. Equal strings are compared once, by the sum of their weights."""
+    w, square = F.col("weight"), F.col("weight") * F.col("weight")
+    strings = rows.groupBy("msa_id", "aseq").agg(F.sum(w).alias("w"), F.sum(square).alias("square"), F.count(F.lit(1)).alias("n")).withColumn("seq_id", F.col("aseq"))
+    held = strings.select("msa_id", "seq_id", "w", "square", "n", *masks(width))
+    met = row_pairs(held.drop("square", "n"), ("w", *MASKS))
+    columns = F.lit(width) - F.bit_count(F.col("a_m_gap").bitwiseAND(F.col("b_m_gap")))
+    product = F.col("a_w") * F.col("b_w")
+    apart = met.where(columns >= least).groupBy("msa_id").agg(F.sum(product * _matches() / columns).alias("same"), F.sum(product).alias("pairs"))
+    own = F.when(F.lit(width) - F.bit_count("m_gap") >= least, (F.col("w") * F.col("w") - F.col("square")) / 2).otherwise(0.0)
+    inside = held.groupBy("msa_id").agg(F.sum(own).alias("own"), F.sum(F.when(F.col("n") > 1, own).otherwise(0.0)).alias("equal"), F.sum("n").alias("n"))
+    joined = inside.join(apart, "msa_id", "left").select("msa_id", "n", *[(F.coalesce(c, F.lit(0.0)) + F.col("equal")).alias(c) for c in ("same", "pairs")])
+    return joined.select("msa_id", F.when(F.col("n") == 1, 1.0).otherwise(F.col("same") / F.nullif("pairs", F.lit(0.0))).alias("mean_identity"))
+
+
+def column_statistics(long: DataFrame, frequency: float = 0.7, least: float = 3.0, gap: float = 0.6, block: int = 4) -> DataFrame:
+    """(msa_id, entropy, conserved): see relative_entropy and conserved_positions; from one profile of the columns."""
+    profile = column_profile(long).where("w > 0")
+    top = F.greatest(*RESIDUES)
+    flags = F.struct("col", (F.col("gap") <= gap * F.col("w")).alias("used"), ((top > frequency * F.col("w")) & (top >= least)).alias("good"))
+    cols = profile.groupBy("msa_id").agg(F.sum(column_entropy()).alias("entropy"), F.array_sort(F.collect_list(flags)).alias("cols"))  # one entry a column
+    closed = lambda a: F.when(a["run"] >= block, a["total"] + a["run"]).otherwise(a["total"])
+    state = lambda run, total: F.struct(run.cast("long").alias("run"), total.cast("long").alias("total"))
+    step = lambda a, c: F.when(~c["used"], a).when(c["good"], state(a["run"] + 1, a["total"])).otherwise(state(F.lit(0), closed(a)))
+    return cols.select("msa_id", "entropy", F.aggregate("cols", state(F.lit(0), F.lit(0)), step, closed).alias("conserved"))
+
+
+def conserved_positions(long: DataFrame, **how: float) -> DataFrame:
+    """(msa_id, conserved): columns in runs of ``block`` at least in which one residue has more than ``frequency`` of the whole
+    weight, and ``least`` of weight. Columns with more than ``gap`` gaps neither lengthen nor break a run."""
+    return column_statistics(long, **how).select("msa_id", "conserved")
 
 
 def consensus_columns(long: DataFrame, gap: float = 0.6) -> DataFrame:
@@ -152,12 +262,7 @@ def align_map(long: DataFrame) -> DataFrame:
     return long.withColumn("pos", F.sum(is_residue).over(at)).where(is_residue == 1).select("msa_id", "seq_id", "col", "pos")
 
 
-def jukes_cantor(identities: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+def jukes_cantor(identities: DataFrame) -> DataFrame:
     """(msa_id, s1, s2, distance): Jukes-Cantor distance over columns with residues in both; null where it's infinite."""
-    one = rows.select("msa_id", F.col("seq_id").alias("s1"), F.col("aseq").alias("a"))
-    two = rows.select("msa_id", F.col("seq_id").alias("s2"), F.col("aseq").alias("b"))
-    met = identities.select("msa_id", "s1", "s2", "matches").join(one, ["msa_id", "s1"]).join(two, ["msa_id", "s2"])
-    both = sum((F.when(F.substring("a", n, 1).isin(*RESIDUES) & F.substring("b", n, 1).isin(*RESIDUES), 1).otherwise(0) for n in range(1, width + 1)), F.lit(0))
-    met = met.withColumn("both", both).where("both > 0")
-    x = 1 - (F.col("both") - F.col("matches")) / F.col("both") * (4.0 / 3)
-    return met.select("msa_id", "s1", "s2", F.when(x > 0, -F.log(x) * 0.75).alias("distance"))
+    x = 1 - (F.col("shared") - F.col("matches")) / F.col("shared") * (4.0 / 3)
+    return identities.where("shared > 0").select("msa_id", "s1", "s2", F.when(x > 0, -F.log(x) * 0.75).alias("distance"))

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribolens.operators import alignment as al
 
 
-def summary(rows: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """One row for each alignment of rows(msa_id, seq_id, aseq, weight) with the paired columns pairs(i, j)."""
-    long = al.cells(rows)
-    totals = al.totals(rows).withColumns({c: F.round(c, 6) for c in ("total_weight", "mean_len", "mean_gc")})
-    entropy = al.relative_entropy(long).select("msa_id", F.round("entropy", 6).alias("entropy"))
-    mi = al.mutual_information(al.pair_cells(long, pairs)).groupBy("msa_id").agg(F.round(F.sum("mi"), 6).alias("mi"))
-    identity = al.pairwise_identity(rows, width).groupBy("msa_id").agg(F.round(F.avg("identity"), 6).alias("mean_identity"))
-    joined = totals
-    for part in (entropy, mi, identity, al.conserved_positions(long)):
+def summary(rows: DataFrame, pairs: Sequence[tuple[int, int]], width: int) -> DataFrame:
+    """One row for each alignment of rows(msa_id, seq_id, aseq, weight) with the paired columns pairs (i, j): size, weight,
+    length, GC, entropy, conserved columns, mutual information of the pairs, and weighted identity."""
+    columns = al.column_statistics(al.cells(rows))
+    mi = al.mutual_information(al.pair_cells(rows, pairs)).groupBy("msa_id").agg(F.sum("mi").alias("mi"))
+    joined = al.totals(rows)
+    for part in (columns, mi, al.weighted_identity(rows, width)):
         joined = joined.join(part, "msa_id", "left")
     return joined
