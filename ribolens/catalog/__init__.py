@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ribolens.catalog import alignments, candidates, intervals, kernels, motifs, sequences
+from ribolens.catalog import alignments, candidates, formats, intervals, kernels, motifs, sequences
 
 FLAGSHIP = "alignment_summary"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (sequences, alignments, intervals, candidates, motifs, kernels):
+for _module in (sequences, alignments, intervals, candidates, motifs, kernels, formats):
     for _name, (_run, _sql) in _module.ENTRIES.items():
         QUERIES[_name] = _run
         if _sql:

@@ -45,6 +45,14 @@ def merged(hits: DataFrame, gap: int = 0) -> DataFrame:
     return grouped.groupBy("seq_id", "__group").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n")).drop("__group")
 
 
+def padded(rows: DataFrame, flank: int, least: int) -> DataFrame:
+    """rows(start, stop, ...) lengthened by ``flank`` on both sides, and evenly to ``least`` positions; starts are 1 at least."""
+    start, stop = F.col("start") - flank, F.col("stop") + flank
+    more = F.greatest(F.lit(least) - (stop - start + 1), F.lit(0))
+    half = F.floor(more / 2)
+    return rows.withColumns({"start": F.greatest(start - half, F.lit(1)).cast("long"), "stop": (stop + more - half).cast("long")})
+
+
 def distinct_shifts(hits: DataFrame, share: float = 0.15, most: int = 10) -> DataFrame:
     """hits without those near an earlier one by (score per length, hit_id): start and stop both shifted by ``most`` and
     by ``share`` of the shorter length at most. Earlier ones count whether they stay or not."""

@@ -20,9 +20,11 @@ def line_kind(line: Column) -> Column:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(msa_id, nth, line, kind): the lines of the alignments of files; msa_id is the file and the alignment's number there."""
+    """(msa_id, nth, line, kind): the lines of the alignments of files, one or several a file, compressed or not; msa_id is
+    the alignment's GF ID, or the file and a number where there is none."""
     raw = spark.read.option("lineSep", "\n//").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    record = raw.where(F.col("value").rlike(r"\S")).withColumn("msa_id", F.concat_ws("#", "file", "at"))
+    own = F.nullif(F.regexp_extract("value", r"(?m)^#=GF ID\s+(\S+)", 1), F.lit(""))
+    record = raw.where(F.col("value").rlike(r"\S")).withColumn("msa_id", F.coalesce(own, F.concat_ws("#", "file", "at")))
     split = record.select("msa_id", F.posexplode(F.split("value", "\n")).alias("nth", "line"))
     return split.select("msa_id", "nth", F.rtrim("line").alias("line")).withColumn("kind", line_kind(F.col("line"))).where("kind NOT IN ('blank', 'end')")
 
@@ -53,30 +55,41 @@ def read_stockholm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return rows, columns
 
 
-def stockholm_text(rows: DataFrame, columns: DataFrame, width: int = 80) -> DataFrame:
-    """(msa_id, value): each alignment as a Stockholm text in blocks of ``width`` columns, formatted in its own group."""
-
-    def form(group: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        if group.empty:
-            return pd.DataFrame({"msa_id": [], "value": []})
-        group = group.sort_values("ordinal")
-        out = ["# STOCKHOLM 1.0", ""]
-        out += [f"#=GS {s} WT {w:.2f}" for s, w in zip(group["seq_id"], group["weight"], strict=True)]
-        placed = group.dropna(subset=["start", "stop"])
-        out += [f"#=GS {s} DE {int(a)}..{int(b)}\t{c:f}" for s, a, b, c in zip(placed["seq_id"], placed["start"], placed["stop"], placed["score"].fillna(0.0), strict=True)]
-        wide = max(len(s) for s in group["seq_id"]) + 9
-        named = [(s, a) for s, a in zip(group["seq_id"], group["aseq"], strict=True)]
-        for s, ss in zip(group["seq_id"], group["ss"], strict=True):
-            if isinstance(ss, str):
-                named.insert(next(i for i, x in enumerate(named) if x[0] == s) + 1, (f"#=GR {s} SS", ss))
-        named += [(f"#=GC {t}", x) for t, x in sorted(zip(notes["tag"], notes["value"], strict=True))]
-        for low in range(0, max(len(a) for _, a in named), width):
-            out += ["", *(f"{n:<{wide}} {a[low : low + width]}" for n, a in named)]
-        return pd.DataFrame({"msa_id": [group["msa_id"].iloc[0]], "value": ["\n".join([*out, "//"])]})
+def accepted(columns: DataFrame, accept: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """columns(msa_id, tag, value) with tags of ``accept`` alone, if it is given, and without those of ``ignore``."""
+    kept = columns.where(F.col("tag").isin(accept)) if accept is not None else columns
+    return kept.where(~F.col("tag").isin(ignore)) if ignore else kept
+
+
+def placed(rows: DataFrame, name: str) -> DataFrame:
+    """rows with acc, start, stop (start <= stop) and strand of names "acc/first-last"; first is larger on the reverse strand.
+    All are null where the name has no such form."""
+    part = lambda n: F.nullif(F.regexp_extract(name, r"^(\S+)/(\d+)-(\d+)$", n), F.lit(""))
+    first, last = part(2).cast("long"), part(3).cast("long")
+    return rows.withColumns({"acc": part(1), "start": F.least(first, last), "stop": F.greatest(first, last), "strand": F.when(first <= last, 1).when(first > last, -1)})
 
+
+def stockholm_text(rows: DataFrame, columns: DataFrame, width: int = 80) -> DataFrame:
+    """(msa_id, value): each alignment as a Stockholm text in blocks of ``width`` columns."""
     # new column identities, since both may come from the same lines
     rows, columns = (t.select([F.col(c).alias(c) for c in t.columns]) for t in (rows, columns))
-    return rows.groupBy("msa_id").cogroup(columns.groupBy("msa_id")).applyInPandas(form, "msa_id string, value string")
+    members = F.array_sort(F.collect_list(F.struct("ordinal", "seq_id", "weight", "start", "stop", "score", "aseq", "ss")))  # an alignment is one text
+    held = rows.groupBy("msa_id").agg(members.alias("rows"), F.max(F.length("aseq")).alias("alen"))
+    noted = columns.groupBy("msa_id").agg(F.array_sort(F.collect_list(F.struct("tag", "value"))).alias("notes"))
+    both = held.join(noted, "msa_id", "left")
+    weights = F.transform("rows", lambda r: F.concat(F.lit("#=GS "), r["seq_id"], F.lit(" WT "), r["weight"].cast("string")))
+    placed = F.filter("rows", lambda r: r["start"].isNotNull() & r["stop"].isNotNull())
+    places = F.transform(placed, lambda r: F.concat(F.lit("#=GS "), r["seq_id"], F.lit(" DE "), r["start"].cast("string"), F.lit(".."), r["stop"].cast("string"), F.lit("\t"), F.coalesce(r["score"], F.lit(0.0)).cast("string")))
+    line = lambda name, text: F.struct(name.alias("name"), text.alias("text"))
+    own = lambda r: F.array_compact(F.array(line(r["seq_id"], r["aseq"]), F.when(r["ss"].isNotNull(), line(F.concat(F.lit("#=GR "), r["seq_id"], F.lit(" SS")), r["ss"]))))
+    notes = F.coalesce("notes", F.array().cast("array<struct<tag:string,value:string>>"))
+    body = F.concat(F.flatten(F.transform("rows", own)), F.transform(notes, lambda n: line(F.concat(F.lit("#=GC "), n["tag"]), n["value"])))
+    both = both.select("msa_id", "alen", F.concat(weights, places).alias("tags"), body.alias("body"))
+    both = both.withColumn("longest", F.array_max(F.transform("body", lambda x: F.length(x["name"]))))
+    cut = lambda b: F.array_join(F.transform("body", lambda x: F.concat(F.rpad(x["name"], F.col("longest") + 1, F.lit(" ")), F.substr(x["text"], b * width + 1, F.lit(width)))), "\n")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("alen") / width), F.lit(1)).cast("int") - 1), cut)
+    head = F.concat(F.lit("# STOCKHOLM 1.0\n#=GF ID "), "msa_id", F.lit("\n\n"), F.array_join("tags", "\n"))
+    return both.select("msa_id", F.concat(head, F.lit("\n\n"), F.array_join(blocks, "\n\n"), F.lit("\n//")).alias("value"))
 
 
 def write_stockholm(rows: DataFrame, columns: DataFrame, path: str) -> None:
