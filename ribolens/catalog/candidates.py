@@ -12,12 +12,6 @@ from ribolens.operators import candidates as cd
 
 S, C, P, R, H = (f"WITH {x} " for x in (v.SEQUENCES, v.CELLS, v.PAIRS, v.ROWS, v.HITS))
 HA = f"WITH {v.HITS}, {v.ANNOTATION} "
-# Brackets written from the residues: C, A, G of each sequence as (, . and ).
-_BRACKETS = "translate(regexp_replace(seq, 'U', 'A', 'g'), 'CAG', '(.)')"
-
-
-def _brackets():
-    return F.translate(F.regexp_replace("seq", "U", "A"), "CAG", "(.)")
 
 
 def _all_pairs(spark, sf_dir):
@@ -52,20 +46,6 @@ def _consensus_classes(spark, sf_dir):
     return f.select("msa_id", "col", F.when(F.col("f") >= 0.97, 3).when(F.col("f") >= 0.9, 2).when(F.col("f") >= 0.75, 1).otherwise(0).alias("level"))
 
 
-def _log_odds(spark, sf_dir):
-    """Log odds, in hundredths of bits, of a pair of columns being canonical against its columns' own frequencies."""
-    kinds = al.pair_categories(al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE))
-    p = (F.col("canonical") + 0.1) / (F.col("canonical") + F.col("noncanonical") + 0.2)
-    return kinds.select("msa_id", "i", "j", F.round(F.greatest(50 * F.log2(p / (1 - p)), F.lit(-400.0)), 6).alias("log_odds"))
-
-
-def _structure_pairs(spark, sf_dir):
-    kinds = al.pair_categories(al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE))
-    one = kinds.where("canonical > 0").select("msa_id", "i", "j")
-    two = kinds.where("noncanonical > 0").select("msa_id", "i", "j")
-    return cd.pair_agreement(one, two, ["msa_id", "i", "j"])
-
-
 def _log_sums(spark, sf_dir):
     return v.hits(spark, sf_dir).groupBy("seq_id").agg(F.round(st.log_sum_exp(F.col("score")), 6).alias("log_sum"))
 
@@ -99,15 +79,6 @@ SELECT msa_id, i, j, mi / n AS mi FROM x JOIN n USING (msa_id)""",
         _descriptions,
         H + "SELECT seq_id, round(sum((hit_id % 7 + 1) * round(score, 3)) / sum(hit_id % 7 + 1), 6) AS mean_score, CAST(sum(hit_id % 7 + 1) AS DOUBLE) AS weight FROM hits GROUP BY seq_id",
     ),
-    "A9_pair_log_odds": (
-        _log_odds,
-        P + """, k AS (SELECT msa_id, i, j, sum(CASE WHEN lr AND rr AND canon THEN weight ELSE 0 END) AS c, sum(CASE WHEN lr AND rr AND NOT canon THEN weight ELSE 0 END) AS n FROM paired GROUP BY msa_id, i, j),
-p AS (SELECT *, (c + 0.1::DOUBLE) / (c + n + 0.2::DOUBLE) AS p FROM k) SELECT msa_id, i, j, round(greatest(50 * log2(p / (1 - p)), -400), 6) AS log_odds FROM p""",
-    ),
-    "A12_pair_counts": (
-        lambda spark, sf_dir: al.pair_categories(al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE)).groupBy("msa_id").agg(F.sum(F.when(F.col("canonical") > 0, 1).otherwise(0)).alias("pairs"), F.round(F.sum("canonical"), 6).alias("weighted")),
-        P + "SELECT msa_id, CAST(sum(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS BIGINT) AS pairs, round(sum(c), 6) AS weighted FROM (SELECT msa_id, i, sum(CASE WHEN lr AND rr AND canon THEN weight ELSE 0 END) AS c FROM paired GROUP BY msa_id, i) GROUP BY msa_id",
-    ),
     "A23_evalue_weights": (
         lambda spark, sf_dir: v.hits(spark, sf_dir).select("hit_id", F.round(F.exp(-(F.col("stop") - F.col("start") + 1) * F.exp(-F.col("score") / 10)), 6).alias("weight")),
         H + "SELECT hit_id, round(exp(-(stop - start + 1) * exp(-score / 10)), 6) AS weight FROM hits",
@@ -138,8 +109,6 @@ SELECT msa_id, round(sum(best), 6) AS score, round(max(best), 6) AS top FROM b G
         S + "SELECT lang, source, count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS residues FROM sequences GROUP BY ROLLUP (lang, source)",
     ),
     "F2_padded": (lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", F.lpad("source", 12, "-").alias("left"), F.rpad("source", 12, ".").alias("right")), S + "SELECT seq_id, lpad(source, 12, '-') AS \"left\", rpad(source, 12, '.') AS \"right\" FROM sequences"),
-    "F9_hairpins": (lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", st.hairpins(_brackets()).alias("n")), S + rf"SELECT seq_id, CAST(len(regexp_extract_all({_BRACKETS}, '\(\.*\)')) AS INTEGER) AS n FROM sequences"),
-    "F13_F14_brackets": (lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", st.plain_brackets(_brackets()).alias("ss")), S + f"SELECT seq_id, translate({_BRACKETS}, '()', '<>') AS ss FROM sequences"),
     "F18_iupac_matches": (lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", F.regexp_count("seq", F.lit(st.iupac_pattern("RYNGS"))).alias("n")), S + "SELECT seq_id, CAST(len(regexp_extract_all(seq, '[AG][CU][ACGU]G[CG]')) AS INTEGER) AS n FROM sequences"),
     "F20_common_prefixes": (
         lambda spark, sf_dir: v.hits(spark, sf_dir).select("hit_id", st.common_prefix(F.concat_ws(".", F.col("seq_id") % 3, F.col("start") % 2, "hit_id"), F.concat_ws(".", F.col("hit_id") % 3, F.col("start") % 2, "seq_id")).alias("prefix")),
@@ -169,11 +138,6 @@ SELECT hit_id, count(a.pos) AS covered FROM p LEFT JOIN a USING (seq_id, pos) GR
         lambda spark, sf_dir: cd.group_members(v.sequences(spark, sf_dir), "seq_id", "seq"),
         S + "SELECT seq_id, min(seq_id) OVER (PARTITION BY seq) AS first, count(*) OVER (PARTITION BY seq) AS n FROM sequences",
     ),
-    "J22_J27_pair_agreement": (
-        _structure_pairs,
-        P + """, k AS (SELECT msa_id, i, sum(CASE WHEN lr AND rr AND canon THEN weight ELSE 0 END) > 0 AS a, sum(CASE WHEN lr AND rr AND NOT canon THEN weight ELSE 0 END) > 0 AS b FROM paired GROUP BY msa_id, i)
-SELECT msa_id, count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_one, count(*) FILTER (b AND NOT a) AS only_two FROM k WHERE a OR b GROUP BY msa_id""",
-    ),
     "O8_hash_sample": (
         lambda spark, sf_dir: cd.hash_sample(v.hits(spark, sf_dir), "hit_id", 50).select("hit_id"),
         H + "SELECT hit_id FROM hits ORDER BY md5('s:' || hit_id), hit_id LIMIT 50",

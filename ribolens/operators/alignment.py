@@ -108,6 +108,25 @@ def expected_information(rows: DataFrame, width: int) -> DataFrame:
     return joint.join(n, "msa_id").select("msa_id", "i", "j", mi.alias("mi"))
 
 
+def pair_log_odds(pairs: DataFrame, floor: float = -400.0) -> DataFrame:
+    """(msa_id, i, j, log_odds) of pairs(msa_id, i, j, p): half the log odds, in hundredths of bits, of pairing against both
+    columns being free; a column is free with what its pairs leave of 1. ``floor`` at least, and for p = 0; null where a
+    column is never free."""
+    ends = pairs.select("msa_id", F.explode(F.array("i", "j")).alias("at"), "p").groupBy("msa_id", "at").agg((1 - F.sum("p")).alias("free"))
+    one, two = (ends.select("msa_id", F.col("at").alias(c), F.col("free").alias(f"free_{c}")) for c in "ij")
+    free = F.col("free_i") * F.col("free_j")
+    odds = F.when(F.col("p") == 0, F.lit(floor)).when(free > 0, F.greatest(0.5 * 144.269504 * F.log(F.col("p") / free), F.lit(floor)))
+    return pairs.join(one, ["msa_id", "i"]).join(two, ["msa_id", "j"]).select("msa_id", "i", "j", odds.alias("log_odds"))
+
+
+def merged_evidence(information: DataFrame, odds: DataFrame) -> DataFrame:
+    """(msa_id, i, j, evidence): mutual information plus log odds; 0 where the log odds are negative or not given, and null
+    where they are null (a column that is never free)."""
+    given = odds.withColumn("given", F.lit(True))
+    met = information.join(given, ["msa_id", "i", "j"], "left")
+    return met.select("msa_id", "i", "j", F.when(F.col("given").isNull() | (F.col("log_odds") < 0), 0.0).otherwise(F.col("mi") + F.col("log_odds")).alias("evidence"))
+
+
 def pair_categories(paired: DataFrame) -> DataFrame:
     """(msa_id, i, j, canonical, noncanonical, one_gap, two_gaps): weights by kind of pair."""
     lg, rg = ~F.col("left").isin(*RESIDUES), ~F.col("right").isin(*RESIDUES)
