@@ -47,7 +47,7 @@ def _consensus_classes(spark, sf_dir):
 
 
 def _log_sums(spark, sf_dir):
-    return v.hits(spark, sf_dir).groupBy("seq_id").agg(F.round(st.log_sum_exp(F.col("score")), 6).alias("log_sum"))
+    return st.log_sum_exp(v.hits(spark, sf_dir).where("score IS NOT NULL").select("seq_id", "score"), "seq_id", "score")
 
 
 def _descriptions(spark, sf_dir):
@@ -116,11 +116,11 @@ SELECT msa_id, round(sum(best), 6) AS score, round(max(best), 6) AS top FROM b G
     ),
     "F23_span_filter": (lambda spark, sf_dir: v.hits(spark, sf_dir).where("stop - start + 1 >= 30 AND stop - start + 1 < 45 AND score < 50").select("hit_id"), H + "SELECT hit_id FROM hits WHERE stop - start + 1 >= 30 AND stop - start + 1 < 45 AND score < 50"),
     "F24_J8_similar_lengths": (
-        lambda spark, sf_dir: cd.similar_length_pairs(_lengths(spark, sf_dir)).groupBy("key").agg(F.count(F.lit(1)).alias("pairs")),
+        lambda spark, sf_dir: cd.similar_length_counts(_lengths(spark, sf_dir)),
         S + """, l AS (SELECT concat_ws(':', lang, source) AS key, seq_id, length(seq) AS len FROM sequences)
 SELECT a.key, count(*) AS pairs FROM l a JOIN l b ON a.key = b.key AND a.seq_id < b.seq_id AND a.len > 0 AND b.len > 0 AND abs(a.len - b.len) < 0.3::DOUBLE * greatest(a.len, b.len) GROUP BY a.key""",
     ),
-    "F34_log_sums": (_log_sums, H + ", m AS (SELECT *, max(score) OVER (PARTITION BY seq_id) AS top FROM hits) SELECT seq_id, round(max(top) + ln(sum(exp(score - top))), 6) AS log_sum FROM m GROUP BY seq_id"),
+    "F34_log_sums": (_log_sums, H + ", m AS (SELECT *, max(score) OVER (PARTITION BY seq_id) AS top FROM hits) SELECT seq_id, max(top) + ln(sum(exp(score - top))) AS log_sum FROM m WHERE score IS NOT NULL GROUP BY seq_id"),
     "F35_shares": (
         lambda spark, sf_dir: v.sequences(spark, sf_dir).select("seq_id", F.round(st.share(F.length("seq") - F.length(F.translate("seq", "G", "")), F.length("seq"), 4), 6).alias("g")),
         S + "SELECT seq_id, round(CASE WHEN length(seq) = 0 THEN 0.25 ELSE (length(seq) - length(replace(seq, 'G', ''))) / length(seq) END, 6) AS g FROM sequences",

@@ -58,7 +58,7 @@ _A, _B = "SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'click'",
 
 
 def _union_ids(spark, sf_dir):
-    """The union of two id lists; ids that are new on the right get numbers after the left's, by (bucket, id)."""
+    """The union of two id lists."""
     one, two = _sides(spark, sf_dir)
     return one.unionByName(two).distinct().select("id")
 

@@ -27,8 +27,8 @@ def _composition(spark, sf_dir):
 
 def _kmers(spark, sf_dir):
     rows = v.sequences(spark, sf_dir).where(F.length("seq") >= 4)
-    starts = F.explode(F.sequence(F.lit(1), F.length("seq") - 3)).alias("at")
-    return rows.select("lang", "seq", starts).groupBy("lang", F.substr("seq", "at", F.lit(4)).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+    kmers = F.transform(F.sequence(F.lit(1), F.length("seq") - 3), lambda n: F.substr("seq", n, F.lit(4)))
+    return rows.select("lang", F.explode(kmers).alias("kmer")).groupBy("lang", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _hit_ids(spark, sf_dir):

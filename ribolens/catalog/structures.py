@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ribolens.catalog import views as v
 from ribolens.functions import structure as st
 from ribolens.operators import alignment as al
+from ribolens.operators import candidates as cd
 from ribolens.operators import structures as sx
 
 
@@ -128,6 +129,10 @@ y AS (SELECT seq_id, count(*) AS fn FROM p2 WHERE NOT EXISTS (SELECT 1 FROM p WH
 k AS (SELECT seq_id FROM p UNION SELECT seq_id FROM p2)
 SELECT seq_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(fm, 0) AS fm FROM k LEFT JOIN x USING (seq_id) LEFT JOIN y USING (seq_id)""",
     ),
+    "J27_pair_agreement": (
+        lambda spark, sf_dir: cd.pair_agreement(_pairs(spark, sf_dir), _pairs(spark, sf_dir, 1), ["seq_id", "i", "j"]),
+        _P2 + "SELECT seq_id, count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_one, count(*) FILTER (b AND NOT a) AS only_two FROM (SELECT seq_id, i, j, bool_or(w = 1) AS a, bool_or(w = 2) AS b FROM (SELECT *, 1 AS w FROM p UNION ALL SELECT *, 2 FROM p2) GROUP BY ALL) GROUP BY seq_id",
+    ),
     "A12_A16_pair_mass": (_pair_mass, _SHARES + "SELECT msa_id, count(*) AS bp_org, sum(p) AS bp, sum(bad * p) AS conflict, sum(gone * p) AS deleted FROM q GROUP BY msa_id"),
     "A9_pair_log_odds": (_log_odds, _SHARES + _LOD + "SELECT msa_id, i, j, log_odds FROM lod"),
     "A11_merged_evidence": (

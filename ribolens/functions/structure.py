@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The residues of each IUPAC symbol.
@@ -41,8 +41,7 @@ def share(part: Column, whole: Column, kinds: int) -> Column:
     return F.when((whole == 0) & (part == 0), F.lit(1.0 / kinds)).otherwise(part / F.nullif(whole, F.lit(0)))
 
 
-def log_sum_exp(value: Column) -> Column:
-    """An aggregate: ln of the sum of e to the values, held against the largest so that it can't overflow."""
-    listed = F.collect_list(value)
-    top = F.array_max(listed)
-    return top + F.log(F.aggregate(listed, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+def log_sum_exp(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, log_sum): ln of the sum of e to the values, held against the largest so that it can't overflow."""
+    top = rows.groupBy(key).agg(F.max(value).alias("top"))
+    return rows.join(top, key).groupBy(key).agg((F.first("top") + F.log(F.sum(F.exp(F.col(value) - F.col("top"))))).alias("log_sum"))

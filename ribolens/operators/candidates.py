@@ -22,6 +22,17 @@ def similar_length_pairs(hits: DataFrame, share: float = 0.3) -> DataFrame:
     return met.where(F.abs(F.col("len") - F.col("len2")) < share * F.greatest("len", "len2")).select("key", "h1", "h2")
 
 
+def similar_length_counts(hits: DataFrame, share: float = 0.3) -> DataFrame:
+    """(key, pairs): how many pairs similar_length_pairs has of each key, counted from the number of hits of each length."""
+    lengths = hits.where("len > 0").groupBy("key", "len").agg(F.count(F.lit(1)).alias("n"))
+    named = lengths.select("key", "len", F.col("len").alias("hit_id"))
+    met = similar_length_pairs(named, share)
+    one, two = (lengths.select("key", F.col("len").alias(h), F.col("n").alias(f"n{h}")) for h in ("h1", "h2"))
+    apart = met.join(one, ["key", "h1"]).join(two, ["key", "h2"]).select("key", (F.col("nh1") * F.col("nh2")).alias("pairs"))
+    equal = lengths.where("n > 1").select("key", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+    return apart.unionByName(equal).groupBy("key").agg(F.sum("pairs").alias("pairs"))
+
+
 def without_lower_overlaps(hits: DataFrame) -> DataFrame:
     """hits that overlap no hit of their sequence with a higher score (of equal ones, with a smaller hit_id)."""
     right = hits.select("seq_id", *[F.col(c).alias(f"r_{c}") for c in ("hit_id", "start", "stop", "score")])

@@ -19,20 +19,23 @@ def contained_strings(rows: DataFrame, key: str, text: str, k: int = 12) -> Data
     """(key) of the rows whose text is a proper part of another row's text.
 
     A text is filed under its first k characters, the other one under each of its k-mers; shorter texts than k are
-    compared under each k-mer's prefixes of their length.
+    compared under each k-mer's prefixes of their length. Only ids meet; texts are fetched for the pairs that do, and
+    equal texts act as one.
     """
-    lengths = F.least(F.length(text), F.lit(k))
-    short = rows.where(F.length(text) > 0).select(F.col(key).alias("in_key"), F.col(text).alias("in_text"), F.substr(text, F.lit(1), lengths).alias("gram"))
-    sizes = [r[0] for r in short.select(F.length("gram")).distinct().collect()]  # at most k of them
+    texts = rows.where(F.length(text) > 0).groupBy(F.col(text).alias("text")).agg(F.min(key).alias("id"))
+    filed = texts.select("id", F.length("text").alias("size"), F.substr("text", F.lit(1), F.least(F.length("text"), F.lit(k))).alias("gram"))
+    sizes = [r[0] for r in filed.select(F.length("gram")).distinct().collect()]  # at most k of them
     grams = None
     for n in sizes:
-        at = F.explode(F.sequence(F.lit(1), F.length(text) - n + 1)).alias("at")
-        own = rows.where(F.length(text) >= n).select(key, text, at).select(key, text, F.substr(text, F.col("at"), F.lit(n)).alias("gram")).distinct()
+        parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda at: F.substr("text", at, F.lit(n))))  # noqa: B023
+        own = texts.where(F.length("text") >= n).select(F.col("id").alias("whole"), F.length("text").alias("whole_size"), F.explode(parts).alias("gram"))
         grams = own if grams is None else grams.unionByName(own)
     if grams is None:
         return rows.select(key).limit(0)
-    met = short.join(grams, "gram").where((F.length("in_text") < F.length(text)) & F.col(text).contains(F.col("in_text")))
-    return met.select(F.col("in_key").alias(key)).distinct()
+    pairs = filed.join(grams, "gram").where("size < whole_size").select("id", "whole").distinct()
+    met = pairs.join(texts, "id").join(texts.select(F.col("id").alias("whole"), F.col("text").alias("whole_text")), "whole")
+    found = met.where(F.col("whole_text").contains(F.col("text"))).select("text").distinct()
+    return rows.join(found, rows[text] == found["text"], "left_semi").select(key)
 
 
 def rank_lookup(scores: DataFrame, ranks: DataFrame) -> DataFrame:
