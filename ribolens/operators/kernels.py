@@ -98,3 +98,27 @@ def shuffled(sequences: DataFrame, seed: int = 1) -> DataFrame:
     order = F.struct(F.xxhash64("seq_id", "at", F.lit(seed)), "at")
     rows = sequences.select("seq_id", residues).where("r <> ''").select("seq_id", order.alias("o"), "r")
     return rows.groupBy("seq_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]), "").alias("seq"))
+
+
+def consensus_structures(evidence: DataFrame, columns: DataFrame, cost: float, hairpin: int = 3) -> DataFrame:
+    """(msa_id, ss, pairs, score): the best structure of each alignment of columns(msa_id, col, rf) by evidence(msa_id, i, j,
+    evidence), over its consensus columns (rf isn't a dot) alone; see best_structure. An alignment's columns and its pairs of
+    columns with positive evidence are one group, bounded by its width and not by its rows."""
+
+    def run(held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        from ribolens.kernels.consensus import best_structure
+
+        if held.empty:
+            return pd.DataFrame({"msa_id": [], "ss": [], "pairs": [], "score": []})
+        width, kept = int(held["col"].max()), np.sort(held.loc[held["rf"] != ".", "col"].to_numpy())
+        matrix, at = np.zeros((len(kept), len(kept))), {c: n for n, c in enumerate(kept.tolist())}
+        for i, j, x in zip(known["i"], known["j"], known["evidence"], strict=True):
+            if i in at and j in at:
+                matrix[at[i], at[j]] = x
+        score, pairs = best_structure(matrix, kept, cost, hairpin)
+        ss = ["."] * width
+        for i, j in pairs:
+            ss[kept[i] - 1], ss[kept[j] - 1] = "<", ">"
+        return pd.DataFrame({"msa_id": held["msa_id"].iloc[:1], "ss": ["".join(ss)], "pairs": [len(pairs)], "score": [score]})
+
+    return columns.groupBy("msa_id").cogroup(evidence.where("evidence > 0").groupBy("msa_id")).applyInPandas(run, "msa_id string, ss string, pairs long, score double")

@@ -110,3 +110,40 @@ def test_evalue_weights(spark):
     got = {(r.seq_id, r.score): r.weight for r in rl.evalue_weights(frame, 20.0, 0.05, 3).collect()}
     assert got == {(k, s): pytest.approx(min(1, w * 3 / total[k])) for (k, s), w in zip(rows, raw, strict=True)}
     assert log(raw[2]) < 0
+
+
+def structures(n):
+    """All nested sets of pairs on n places."""
+    if n == 0:
+        yield []
+        return
+    for rest in structures(n - 1):
+        yield [(i + 1, j + 1) for i, j in rest]
+    for j in range(1, n):
+        for inner in structures(j - 1):
+            for outer in structures(n - j - 1):
+                yield [(0, j), *((a + 1, b + 1) for a, b in inner), *((a + j + 1, b + j + 1) for a, b in outer)]
+
+
+def test_best_structure():
+    """Against all structures: evidence, less a cost for each helix, helices of two pairs at least, in which pairs stack."""
+    from ribolens.kernels.consensus import best_structure
+
+    rng = np.random.default_rng(4)
+    for turn in range(25):
+        n = int(rng.integers(0, 9))
+        place = np.cumsum(rng.integers(1, 3, n))
+        xy = np.round(rng.normal(0.3, 1, (n, n)), 3)
+        cost, hairpin = float(rng.choice([0.2, 1.0])), int(rng.integers(1, 3))
+        best = 0.0
+        for pairs in structures(n):
+            own = set(pairs)
+            if any(xy[p] <= 0 or place[p[1]] - place[p[0]] <= hairpin for p in own):
+                continue
+            if any((i - 1, j + 1) not in own and (i + 1, j - 1) not in own for i, j in own):
+                continue
+            best = max(best, sum(xy[p] for p in own) - cost * sum((i + 1, j - 1) not in own for i, j in own))
+        score, pairs = best_structure(xy, place, cost, hairpin)
+        assert score == pytest.approx(best), turn
+        own = set(pairs)
+        assert sum(xy[p] for p in own) - cost * sum((i + 1, j - 1) not in own for i, j in own) == pytest.approx(best)
