@@ -95,13 +95,13 @@ def mutual_information(paired: DataFrame) -> DataFrame:
 def expected_information(rows: DataFrame, width: int) -> DataFrame:
     """(msa_id, i, j, mi) for every two columns i < j of ``width`` in which some row has residues in both: mutual information
     over such rows, in hundredths of bits, times their weight over the number of all rows. Rows pair their residues alone."""
-    at = F.filter(F.sequence(F.lit(1), F.lit(width)), lambda n: F.substr("aseq", n, F.lit(1)).isin(*RESIDUES))
-    held = rows.select("msa_id", "weight", "aseq", at.alias("at"))
-    left = held.select("*", F.posexplode("at").alias("k", "i"))
-    both = left.select("msa_id", "weight", "aseq", "i", F.explode(F.slice("at", F.col("k") + 2, F.lit(width))).alias("j"))
-    kind = F.concat(F.substr("aseq", F.col("i"), F.lit(1)), F.substr("aseq", F.col("j"), F.lit(1)))
+    symbols = F.transform(F.split("aseq", ""), lambda c, n: F.struct((n + 1).alias("n"), c.alias("c")))
+    held = rows.select("msa_id", "weight", F.filter(symbols, lambda x: x["c"].isin(*RESIDUES)).alias("at"))
+    left = held.select("msa_id", "weight", "at", F.posexplode("at").alias("k", "x"))
+    both = left.select("msa_id", "weight", "x", F.explode(F.slice("at", F.col("k") + 2, F.lit(width))).alias("y"))
+    both = both.select("msa_id", F.col("x.n").alias("i"), F.col("y.n").alias("j"), "weight", F.concat("x.c", "y.c").alias("kind"))
     keys = [x + y for x in RESIDUES for y in RESIDUES]
-    joint = both.select("msa_id", "i", "j", "weight", kind.alias("kind")).groupBy("msa_id", "i", "j")
+    joint = both.groupBy("msa_id", "i", "j")
     joint = joint.agg(F.sum("weight").alias("both"), *[F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0.0)).alias(k) for k in keys]).where("both > 0")
     n = rows.groupBy("msa_id").agg(F.count(F.lit(1)).alias("n"))
     mi = 100 * _information({k: F.col(k) for k in keys}, F.col("both")) * F.col("both") / F.col("n")

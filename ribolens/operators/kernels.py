@@ -115,10 +115,13 @@ def consensus_structures(evidence: DataFrame, columns: DataFrame, cost: float, h
         for i, j, x in zip(known["i"], known["j"], known["evidence"], strict=True):
             if i in at and j in at:
                 matrix[at[i], at[j]] = x
-        score, pairs = best_structure(matrix, kept, cost, hairpin)
-        ss = ["."] * width
+        some = np.flatnonzero((matrix > 0).any(axis=0) | (matrix > 0).any(axis=1))  # other columns can't pair
+        score, pairs = best_structure(matrix[np.ix_(some, some)], kept[some], cost, hairpin)
+        kept, ss = kept[some], ["."] * width
         for i, j in pairs:
             ss[kept[i] - 1], ss[kept[j] - 1] = "<", ">"
         return pd.DataFrame({"msa_id": held["msa_id"].iloc[:1], "ss": ["".join(ss)], "pairs": [len(pairs)], "score": [score]})
 
-    return columns.groupBy("msa_id").cogroup(evidence.where("evidence > 0").groupBy("msa_id")).applyInPandas(run, "msa_id string, ss string, pairs long, score double")
+    # new column identities, since both may come from the same rows
+    columns, evidence = (t.select([F.col(c).alias(c) for c in t.columns]) for t in (columns, evidence.where("evidence > 0")))
+    return columns.groupBy("msa_id").cogroup(evidence.groupBy("msa_id")).applyInPandas(run, "msa_id string, ss string, pairs long, score double")
