@@ -67,9 +67,17 @@ def pair_cells(rows: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
 
 def joint_weights(paired: DataFrame) -> DataFrame:
     """(msa_id, i, j, n, w, AA, AC, ..., U-, --): the weight of each pair of symbols at each pair of columns."""
-    at = lambda side, s: F.col(side) == s if s != "-" else ~F.col(side).isin(*RESIDUES)
-    kinds = [F.sum(F.when(at("left", x) & at("right", y), F.col("weight")).otherwise(0.0)).alias(f"{x}{y}") for x in (*RESIDUES, "-") for y in (*RESIDUES, "-")]
-    return paired.groupBy("msa_id", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), *kinds)
+    symbols = (*RESIDUES, "-")
+
+    def number(side: str) -> Column:
+        out = F.lit(len(RESIDUES))
+        for n, s in enumerate(RESIDUES):
+            out = F.when(F.col(side) == s, n).otherwise(out)
+        return out
+
+    coded = paired.select("msa_id", "i", "j", "weight", (number("left") * len(symbols) + number("right")).alias("kind"))
+    kinds = [F.sum(F.when(F.col("kind") == n, F.col("weight")).otherwise(0.0)).alias(x + y) for n, (x, y) in enumerate((x, y) for x in symbols for y in symbols)]
+    return coded.groupBy("msa_id", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), *kinds)
 
 
 def _information(joint: dict[str, Column], whole: Column) -> Column:
