@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ribolens.llm.context_tree import op4_context_tree
 from ribolens.llm.decontamination import OP1_SQL, op1_decontamination
+from ribolens.llm.filter_audit import OP13_SQL, op13_filter_audit
 from ribolens.llm.line_dedup import OP2_SQL, op2_line_dedup
 from ribolens.llm.near_dedup import op9_near_dedup
 from ribolens.llm.neighbours import OP5_SQL, op5_neighbours
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_near_dedup": op9_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_neighbours": OP5_SQL,
     "op7_sharding": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
