@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ribolens.llm.bpe import op12_byte_bpe
 from ribolens.llm.context_tree import op4_context_tree
 from ribolens.llm.decontamination import OP1_SQL, op1_decontamination
 from ribolens.llm.filter_audit import OP13_SQL, op13_filter_audit
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_near_dedup": op9_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_byte_bpe": op12_byte_bpe,
     "op13_filter_audit": op13_filter_audit,
 }
 

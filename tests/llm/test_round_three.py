@@ -2,12 +2,17 @@
 
 import random
 import re
+from hashlib import sha256
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ribolens.llm import filter_audit
+from ribolens.llm import bpe, bytepairs, filter_audit
+from ribolens.llm.bytetext import chunks
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 ROWS = "doc_id long, text string, lang string, source string, n_chars long, mask int, part string, digest string, n int"
 
@@ -69,3 +74,72 @@ def test_gray_walk(k):
         assert states[subset].tolist() == cells[[m for m in range(1 << k) if not m & subset]].sum(axis=0).tolist()
     shapley = {(r[2]): r[-1] for r in filter_audit.step_rows(states, "ABCDE"[:k])}
     assert sum(shapley.values()) == len(list(permutations(range(k)))) * (states[0, 0] - states[-1, 0])
+
+
+@pytest.fixture(scope="module")
+def byte_codec():
+    return bytepairs.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), bytepairs.library_classes())
+
+
+@pytest.fixture(scope="module")
+def library(byte_codec):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_codec.ranks, special_tokens={})
+
+
+QUOTES = ["'", "'s", "a's", " 's", "  's", "\n's", "a'", "'r", "'re", "'rest", "''s", "x'll y've z'd 'm", "'s's't", "'S 'ſ"]
+BLANKS = ["a  b", "a \n b", "a\n\nb", "  ", "a ", " ", "　 x", "\x1c\x1d a", "\x85b", "", "\ta\x0b b "]
+OTHERS = ["1'2", "12 ab3", "’s", "٣x ¼²", "é", "e\u0301", "a" * 3000, "ab" * 1500 + " " * 100 + "c", "日本語テキスト", "👍🏽'd", "<|endoftext|>", "\x00\ufeff"]
+
+
+def test_codec_as_library(byte_codec, library):
+    """Hard texts, and a sample of all characters beside letters, numbers, blanks and apostrophes."""
+    rng = random.Random(1)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = QUOTES + BLANKS + OTHERS + ["".join(rng.choice("aslrevdmt' \n1.é日 ") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [f"a{x}b 1{x}2 !{x}!  {x}{x} \n{x}'s{x}'s" for x in rng.sample(every, 5000) + every[:1500] + list("\u0558\u088f\U00010940")]
+    for limit in (2 << 20, 60):
+        got = []
+        for _, _, buf, offsets in chunks(pa.array(texts), limit):
+            ids, at = byte_codec.encode(buf, offsets)
+            got += [ids[x:y].tolist() for x, y in zip(at, at[1:], strict=False)]
+            assert byte_codec.decode(ids).tobytes() == buf.tobytes()
+        assert got == library.encode_ordinary_batch(texts)
+
+
+def test_codec_cuts_and_forgets(byte_codec, library, monkeypatch):
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["word", "é", "x'll", "zzyzx" * 9, "\n", "'s", "  ", "qwertz"]) + rng.choice(["", "1", "ab"]) for _ in range(3000))
+    monkeypatch.setattr(bytepairs, "MEMORY_PIECES", 2)
+    for limit in (1, 50, 1 << 20):
+        assert byte_codec.encode_long(np.frombuffer(text.encode(), np.uint8), limit).tolist() == library.encode_ordinary(text)
+    with pytest.raises(ValueError, match="outside"):
+        byte_codec.decode(np.array([50256]))
+
+
+def test_merges_and_perfect_hash(byte_codec, library):
+    rng = random.Random(3)
+    for n in (1, 2, 3, 9, 40, 400):
+        piece = bytes(rng.choice(b"aeinst") for _ in range(n))
+        assert byte_codec.merged(piece) == library._core_bpe.encode_single_piece(piece) or piece in byte_codec.ranks
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64))
+        assert sorted(bytepairs.PerfectHash(keys).slots(keys).tolist()) == list(range(len(keys)))
+    assert bytepairs.PerfectHash(np.array([5], np.uint64)).slots(np.arange(9, dtype=np.uint64)).tolist() == [0] * 9
+
+
+def test_op12_by_library(spark, tmp_path, library):
+    """The query's columns, with nulls, repeated rows and clashing columns; an empty table; null ids."""
+    rows = [(n, t, [7], "x") for n, t in enumerate([None, *QUOTES, *BLANKS, *OTHERS])] + [(1, "again", None, None), (1, "again", None, None), (None, "Nobody's", None, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids array<int>, decoded string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    digest = lambda b: sha256(b).hexdigest()
+    expected = [(d, len(ids := library.encode_ordinary(t or "")), digest(" ".join(map(str, ids)).encode()), digest((t or "").encode())) for d, t, *_ in rows]
+    assert sorted(map(tuple, bpe.op12_byte_bpe(spark, str(tmp_path)).collect()), key=str) == sorted(expected, key=str)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    assert bpe.encode(docs.limit(0), ranks).count() == 0
+    got = bpe.decode(spark.createDataFrame([(1, None), (2, []), (3, [64, 65])], "doc_id long, ids array<int>"), ranks, out="bytes").collect()
+    assert [(r.doc_id, r.bytes) for r in got] == [(1, None), (2, b""), (3, b"ab")]
+    with pytest.raises(ValueError, match="pattern"):
+        bpe.encode(docs, ranks, r"\w+")
