@@ -4,12 +4,13 @@ import random
 import re
 from hashlib import sha256
 from itertools import permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from ribolens.llm import bpe, bytepairs, filter_audit
+from ribolens.llm import bpe, bytepairs, filter_audit, merkle
 from ribolens.llm.bytetext import chunks
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -143,3 +144,75 @@ def test_op12_by_library(spark, tmp_path, library):
     assert [(r.doc_id, r.bytes) for r in got] == [(1, None), (2, b""), (3, b"ab")]
     with pytest.raises(ValueError, match="pattern"):
         bpe.encode(docs, ranks, r"\w+")
+
+
+def h(*texts):
+    return sha256("".join(texts).encode()).hexdigest()
+
+
+def tree(leaves):
+    """The root, and each leaf's siblings as (left, right) of each level."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][k : k + 2]) for k in range(0, len(levels[-1]), 2)])
+    path = lambda k: [(x[(k >> n) - 1] if k >> n & 1 else None, x[(k >> n) + 1] if not k >> n & 1 and (k >> n) + 1 < len(x) else None) for n, x in enumerate(levels[:-1])]
+    return levels[-1][0], [path(k) for k in range(len(leaves))]
+
+
+def manifest_by_hand(rows):
+    value = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    parts = {}
+    for d, t, lang, source, n, *_ in rows:
+        struck = d is not None and crc32(str(d).encode()) % 7 == 0
+        leaf, other = (h(*map(value, (d, source, lang, m, t))) for m in (n, n if n is None or not struck else n + 1))
+        parts.setdefault(lang, []).append((d is not None, d or 0, leaf, other, d))
+    keys = sorted(parts, key=lambda k: (k is not None, (k or "").encode()))
+    trees = {k: tree([r[2] for r in sorted(parts[k])]) for k in keys}
+    root, above = tree([trees[k][0] for k in keys])
+    out = []
+    for k, up in zip(keys, above, strict=True):
+        for (_, _, leaf, other, d), own in zip(sorted(parts[k]), trees[k][1], strict=True):
+            path, now = own + up, other
+            for left, right in path:
+                now = h(left or "", now, right or "")
+            out.append((d, leaf, trees[k][0], root, h(*[x for p in path for x in p if x]), now, now == root))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("height", [1, 2, 3, merkle.HEIGHT])
+def test_op11_by_hand(spark, tmp_path, monkeypatch, height):
+    """Trees of many sizes in blocks of two leaves on, with nulls, repeated rows and clashing columns."""
+    rng = random.Random(height)
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 13)
+    monkeypatch.setattr(merkle.Manifest.__init__, "__defaults__", (height,))
+    sizes = {"en": 37, "de": 1, "é": 2, None: 3, "zz": 8, "z": 5}
+    rows = [(rng.choice([k, None]) if rng.random() < 0.1 else 100 * n + k, rng.choice(["a", None, "", "ü 1"]), lang, rng.choice(["s", None]), rng.choice([k, None]), 0, "x", "y", 1) for n, (lang, size) in enumerate(sizes.items()) for k in range(size)]
+    rows += [rows[0]] * 5 + [(None, None, None, None, None, 0, None, None, 1)] * 2
+    spark.createDataFrame(rows, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in merkle.op11_merkle_manifest(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == manifest_by_hand(rows)
+    assert any(not r[-1] for r in got)
+
+
+@pytest.mark.parametrize("rows", [[], [(7, "x", "en", "s", 1, 0, "x", "y", 1)], [(n, "x", "en", "s", 1, 0, "x", "y", 1) for n in range(2)]])
+def test_small_manifests(spark, tmp_path, rows):
+    spark.createDataFrame(rows, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in merkle.op11_merkle_manifest(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == (manifest_by_hand(rows) if rows else [])
+
+
+@pytest.mark.parametrize("height", range(12))
+def test_addresses(height):
+    """Every place is used once, and each subtree of the recursive halving is a run of places."""
+    at = merkle.addresses(height)
+    assert sorted(np.concatenate(at).tolist()) == list(range((1 << height + 1) - 1))
+
+    def check(depth, number, levels):
+        places = sorted(int(at[depth + k][(number << k) + x]) for k in range(levels) for x in range(1 << k))
+        assert places == list(range(places[0], places[0] + len(places))) and places[0] == at[depth][number]
+        if levels > 1:
+            check(depth, number, levels // 2)
+            for x in range(1 << levels // 2):
+                check(depth + levels // 2, (number << levels // 2) + x, levels - levels // 2)
+
+    check(0, 0, height + 1)
