@@ -31,8 +31,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str = PATTERN, key: str = "doc_
 
         known = codec(ranks, classes)
         for batch in batches:
-            for low, high, buf, offsets in chunks(batch.column(1)):
-                if len(buf) > 2 * CHUNK:
+            for low, high, buf, offsets in chunks(batch.column(1), CHUNK // 2):
+                if len(buf) > CHUNK:
                     ids = known.encode_long(buf)
                     at = np.where(offsets > 0, len(ids), 0)  # a chunk of more than its limit is one row
                 else:

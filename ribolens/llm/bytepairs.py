@@ -15,7 +15,7 @@ from ribolens.llm.bytetext import CHUNK, mix, spans_hash
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Different pre-tokens outside the vocabulary, and their ids, that a worker remembers; beyond, the memory starts anew.
-MEMORY_PIECES, MEMORY_IDS, MEMORY_BYTES = 1_000_000, 8_000_000, 64
+MEMORY_PIECES, MEMORY_IDS, MEMORY_BYTES = 400_000, 4_000_000, 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -240,7 +240,7 @@ class Codec:
         out[np.repeat(upto[missed] - many, many) + along] = flat[np.repeat(at[number], many) + along]
         return out, np.concatenate([[0], upto])[np.searchsorted(begin, offsets)]
 
-    def encode_long(self, buf: np.ndarray, limit: int = CHUNK) -> np.ndarray:
+    def encode_long(self, buf: np.ndarray, limit: int = CHUNK // 2) -> np.ndarray:
         """Ids of one text of any length. It is cut before blanks that follow a visible ASCII character: no pre-token holds
         such a place and none looks across it."""
         data, low, got = buf.tobytes(), 0, []
@@ -253,7 +253,7 @@ class Codec:
             low = high
         return np.concatenate(got) if got else np.zeros(0, np.int32)
 
-    def decode(self, ids: np.ndarray, limit: int = CHUNK) -> np.ndarray:
+    def decode(self, ids: np.ndarray, limit: int = 1 << 17) -> np.ndarray:
         """The bytes of ids. An id that the rank file lacks is an error."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.id_size) or (self.id_size[ids] < 0).any()):
             raise ValueError("an id outside the vocabulary")
