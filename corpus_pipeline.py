@@ -42,8 +42,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The documents without a window like a benchmark item. Of rows with one doc_id, or none, only those whose own text
     has such a window are gone."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True).select("doc_id", "version").distinct()
-    gone = written(found.withColumnsRenamed({"doc_id": "__gone", "version": "__version"}), "contaminated")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__version"))
+    own, version = unused(docs, "gone"), unused(docs, "version")
+    gone = written(found.withColumnsRenamed({"doc_id": own, "version": version}), "contaminated")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(docs["text"].cast("string")) == F.col(version))
     return docs.join(sized(gone), same, "left_anti")
 
 

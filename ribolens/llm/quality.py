@@ -22,10 +22,15 @@ SPREAD, EASED = 100.0, 20.0
 #: Labelled documents that the target model and the cut are fitted on at most, the smallest hashes of doc_id first.
 LABELLED = 50_000
 SEED = 20240229
+#: The ratio of toxic to clean labelled documents counts in how many documents each feature occurs, in finer buckets, with
+#: EVEN documents of ratio one added. Features of at least FACTOR times the clean share are kept, and a text is judged by its
+#: TELLING largest log ratios: a few words make a long text toxic. LOST: the share of clean held-out documents beyond the
+#: cut; PENALTY: what a unit of log ratio beyond the cut takes from the log weight.
+FINE_BUCKETS, EVEN, FACTOR, TELLING, LOST, PENALTY = 1 << 20, 2.0, 2.0, 3, 0.005, 100.0
 
 
-def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and row numbers of the one- and two-token features. Tokens are runs of word bytes, or of other bytes but
+def hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and row numbers of the one- and two-token features. Tokens are runs of word bytes, or of other bytes but
     white space; case counts."""
     word = WORD[buf]
     starts, ends, row = spans(word, offsets)
@@ -33,10 +38,19 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, ends, row = (np.concatenate(x) for x in ((starts, starts2), (ends, ends2), (row, row2)))
     order = np.argsort(starts, kind="stable")
     row = row[order]
-    hashes = spans_hash(buf, starts[order], ends[order])
-    pair = mix(hashes[:-1] * np.uint64(3) + hashes[1:])[row[:-1] == row[1:]]
-    both = np.concatenate([hashes, pair]) % np.uint64(BUCKETS)
-    return both.astype(np.int64), np.concatenate([row, row[:-1][row[:-1] == row[1:]]])
+    single = spans_hash(buf, starts[order], ends[order])
+    pair = mix(single[:-1] * np.uint64(3) + single[1:])[row[:-1] == row[1:]]
+    return np.concatenate([single, pair]), np.concatenate([row, row[:-1][row[:-1] == row[1:]]])
+
+
+def buckets_of(hashed: np.ndarray) -> np.ndarray:
+    return (hashed % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def present(hashed: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fine buckets and row numbers, each pair once."""
+    both = np.unique(row.astype(np.int64) * FINE_BUCKETS + (hashed % np.uint64(FINE_BUCKETS)).astype(np.int64))
+    return both % FINE_BUCKETS, both // FINE_BUCKETS
 
 
 def noise(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -54,41 +68,61 @@ def sortable(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     """ratio: log of target to raw probability by bucket; cut: the least log weight of what is like the target;
-    count: how many are drawn; least: the smallest key (log weight plus noise, as a sortable long) that is drawn."""
+    count: how many are drawn; least: the smallest key (log weight plus noise, as a sortable long) that is drawn.
+    telling: log ratios of the fine buckets that are kept, in their order; beyond: the toxicity that costs nothing."""
 
     ratio: np.ndarray
-    cut: float
-    count: int
-    least: int
     seed: int
+    telling_buckets: np.ndarray
+    telling: np.ndarray
+    beyond: float = np.inf
+    cut: float = -np.inf
+    count: int = 0
+    least: int = 0
+
+    def toxicity(self, hashed: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """The sum of each row's TELLING largest log ratios among kept features."""
+        if not len(self.telling_buckets):
+            return np.zeros(rows)
+        fine = (hashed % np.uint64(FINE_BUCKETS)).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.telling_buckets, fine), len(self.telling_buckets) - 1)
+        some = self.telling_buckets[at] == fine
+        both = np.unique(row[some].astype(np.int64) * len(self.telling) + at[some])
+        row, ratio = both // len(self.telling), self.telling[both % len(self.telling)]
+        order = np.lexsort((-ratio, row))
+        row, ratio = row[order], ratio[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < TELLING
+        return np.bincount(row[first], ratio[first], rows)
 
 
 def labelled_sample(labels: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, quality) of ``limit`` labelled documents at most; a toxic one has quality 0. A document with several labels
-    takes the lowest."""
+    """(doc_id, quality, toxic) of ``limit`` labelled documents at most; a toxic one has quality 0. A document with several
+    labels takes the worst."""
     toxic = F.coalesce(F.col("toxic").cast("int"), F.lit(0)) == 1
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(toxic, 0).otherwise(F.col("quality").cast("int")).alias("quality")).dropna()
-    one = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(toxic, 0).otherwise(F.col("quality").cast("int")).alias("quality"), toxic.cast("int").alias("toxic")).dropna()
+    one = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def _scored(docs: DataFrame, ratio: np.ndarray, seed: int, key: str, text: str, out: list[str]) -> DataFrame:
-    """docs with two columns more: the log weight, and weight plus noise as a sortable long."""
+def _scored(docs: DataFrame, model: Model, key: str, text: str, out: list[str]) -> DataFrame:
+    """docs with three columns more: the log weight, weight plus noise as a sortable long, and the toxicity."""
     at_key, at_text = docs.columns.index(key), docs.columns.index(text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weight = np.zeros(len(batch))
+            weight, toxic = np.zeros(len(batch)), np.zeros(len(batch))
             for low, high, buf, offsets in chunks(batch.column(at_text)):
-                buckets, row = features(buf, offsets)
-                weight[low:high] = np.bincount(row, ratio[buckets], high - low) * SPREAD / (np.bincount(row, minlength=high - low) + EASED)
+                hashed, row = hashes(buf, offsets)
+                weight[low:high] = np.bincount(row, model.ratio[buckets_of(hashed)], high - low) * SPREAD / (np.bincount(row, minlength=high - low) + EASED)
+                toxic[low:high] = model.toxicity(hashed, row, high - low)
+            weight -= PENALTY * np.maximum(0, toxic - model.beyond)
             keys = batch.column(at_key).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            order = sortable(np.round(weight + noise(keys, seed), 9))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(order)], [*batch.schema.names, *out])
+            order = sortable(np.round(weight + noise(keys, model.seed), 9))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weight), pa.array(order), pa.array(toxic)], [*batch.schema.names, *out])
 
     small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.LongType())])
-    return docs.mapInArrow(score, schema)
+    kinds = (T.DoubleType(), T.LongType(), T.DoubleType())
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in zip(out, kinds, strict=True)]]))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> int:
@@ -120,13 +154,41 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float(-np.inf if n == 0 else np.inf if n == len(weights) else (weights[n - 1] + weights[n]) / 2)
 
 
+def telling_features(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Fine buckets, in order, and log ratios of the features that mark toxic documents of marked(text, toxic): in how many
+    toxic ones they occur against what their share of all would make. None without documents of both kinds."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, toxic, documents = np.zeros(FINE_BUCKETS, np.int64), np.zeros(FINE_BUCKETS, np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            marks = batch.column(1).to_numpy(zero_copy_only=False) == 1
+            documents += [len(batch), marks.sum()]
+            for low, high, buf, offsets in chunks(batch.column(0)):
+                bucket, row = present(*hashes(buf, offsets))
+                every += np.bincount(bucket, minlength=FINE_BUCKETS)
+                toxic += np.bincount(bucket[marks[low:high][row]], minlength=FINE_BUCKETS)
+        some = np.flatnonzero(every)
+        rows = (np.append(some, -1), np.append(every[some], documents[0]), np.append(toxic[some], documents[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["bucket", "every", "toxic"])
+
+    small_batches(marked.sparkSession)
+    counts = written(marked.mapInArrow(count, "bucket long, every long, toxic long").groupBy("bucket").agg(F.sum("every").alias("every"), F.sum("toxic").alias("toxic")), "toxic-counts")
+    whole = counts.where("bucket = -1").first()
+    if not whole or not 0 < whole["toxic"] < whole["every"]:
+        return np.zeros(0, np.int64), np.zeros(0)
+    odds = (F.col("toxic") + EVEN) / (F.col("every") * (whole["toxic"] / whole["every"]) + EVEN)
+    kept = counts.where(F.col("bucket") >= 0).select("bucket", odds.alias("odds")).where(F.col("odds") >= FACTOR).orderBy("bucket").toPandas()  # some of FINE_BUCKETS
+    return kept["bucket"].to_numpy(np.int64), np.log(kept["odds"].to_numpy(float))
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, seed: int = SEED, key: str = "doc_id", text: str = "text") -> Model:
     """Fits the raw model on all documents, the target model on half of the labelled ones of quality 1 that aren't toxic.
 
     A document's log weight is the mean log ratio of its features times SPREAD: the ratio of the models' likelihoods,
-    tempered to one length, since else a long text's sampling error outweighs a short text's junk. The cut is fitted on
-    the labelled sample without the target's half; as many documents as have that weight at least are drawn by Gumbel
-    top-k over all. Without labels of both kinds all are.
+    tempered to one length, since else a long text's sampling error outweighs a short text's junk. A second ratio, of toxic
+    to clean documents of the same half, takes from the weight of what is beyond its cut. Both cuts are fitted on the labelled
+    sample without the target's half; as many documents as have the quality cut's weight at least, and aren't toxic beyond
+    the other cut, are drawn by Gumbel top-k over all. Without labels of both kinds all are; without toxic ones in both halves none is toxic.
     """
     spark = docs.sparkSession
     plain = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
@@ -139,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, seed: int
         for batch in batches:
             like = batch.column(1).to_numpy(zero_copy_only=False)
             for low, high, buf, offsets in chunks(batch.column(0)):
-                buckets, row = features(buf, offsets)
+                hashed, row = hashes(buf, offsets)
+                buckets = buckets_of(hashed)
                 raw += np.bincount(buckets, minlength=BUCKETS)
                 target += np.bincount(buckets[like[low:high][row]], minlength=BUCKETS)
         some = np.flatnonzero(raw)
@@ -152,13 +215,20 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, seed: int
         got[:, r["bucket"]] = r["target"], r["raw"]
     raw = (got[1] + 1) / (got[1] + 1).sum()
     target = (got[0] + PRIOR * BUCKETS * raw) / (got[0].sum() + PRIOR * BUCKETS)
-    ratio = np.log(target / raw)
-    scored = written(_scored(plain, ratio, seed, "doc_id", "text", ["weight", "order"]).select("doc_id", "weight", "order"), "weights")
-    known = scored.join(sample, "doc_id").where((F.col("quality") != 1) | ~half).groupBy("doc_id", "quality").agg(F.min("weight").alias("weight")).select("weight", "quality").toPandas()
-    cut = best_cut(known["weight"].to_numpy(float), known["quality"].to_numpy() == 1) if len(known) else -np.inf
-    drawn = scored.where(F.col("weight") >= float(cut)).count()
-    least = kth_largest(scored, "order", drawn) if drawn else np.iinfo(np.int64).max
-    return Model(ratio, cut, drawn, int(least), seed)
+    known = written(plain.join(sample, "doc_id"), "labelled-texts")  # a bounded number of different documents
+    model = Model(np.log(target / raw), seed, *telling_features(known.where(half).select("text", "toxic")))
+    rest = _scored(known.where((F.col("quality") != 1) | ~half), model, "doc_id", "text", ["weight", "order", "toxicity"])
+    rest = rest.withColumn("half", half).groupBy("doc_id", "quality", "toxic", "half").agg(F.min("weight").alias("weight"), F.max("toxicity").alias("toxicity")).toPandas()
+    apart = rest[~rest["half"].astype(bool)]
+    clean = apart.loc[apart["quality"] == 1, "toxicity"].to_numpy(float)
+    if len(model.telling) and len(clean) and (apart["toxic"] == 1).any():
+        model.beyond = float(np.quantile(clean, 1 - LOST, method="higher"))
+        rest = rest[rest["toxic"] == 0]  # the second ratio judges the others
+    model.cut = best_cut(rest["weight"].to_numpy(float), rest["quality"].to_numpy() == 1) if len(rest) else -np.inf
+    scored = written(_scored(plain, model, "doc_id", "text", ["weight", "order", "toxicity"]).select("weight", "order", "toxicity"), "weights")
+    model.count = scored.where((F.col("weight") >= float(model.cut)) & (F.col("toxicity") <= float(model.beyond))).count()
+    model.least = int(kth_largest(scored, "order", model.count)) if model.count else np.iinfo(np.int64).max
+    return model
 
 
 def resample(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", weight: str = "log_weight", selected: str = "selected") -> DataFrame:
@@ -168,9 +238,9 @@ def resample(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     null doc_id draws as -1. Columns of docs with these names are replaced.
     """
     rest = docs.drop(weight, selected)
-    order = unused(rest, "order")
-    scored = _scored(rest, model.ratio, model.seed, key, text, [weight, order])
-    return scored.withColumn(selected, F.col(order) >= model.least).drop(order)
+    order, toxicity = unused(rest, "order"), unused(rest, "toxicity")
+    scored = _scored(rest, model, key, text, [weight, order, toxicity])
+    return scored.withColumn(selected, F.col(order) >= model.least).drop(order, toxicity)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

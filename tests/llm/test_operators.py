@@ -292,7 +292,8 @@ def test_lines_of_wildcards_alone(spark):
 
 
 def test_quality_rejects_toxic(spark):
-    """Toxic labelled documents are learnt as what to reject, whatever their quality."""
+    """Toxic labelled documents are learnt as what to reject, whatever their quality; marked as toxic, at least as well as
+    if they were of low quality alone, without more clean ones."""
     rng = random.Random(23)
     good = [(n, sentence(rng, rng.randint(20, 80))) for n in range(300)]
     toxic = [(1000 + n, " ".join(w + rng.choice(("", "zzq")) for w in sentence(rng, 50).split())) for n in range(100)]
@@ -300,7 +301,8 @@ def test_quality_rejects_toxic(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k, _ in good[::2]] + [(k, 1, 1) for k, _ in toxic[::2]], "doc_id long, quality int, toxic int")
     rejected = labels.selectExpr("doc_id", "IF(toxic = 1, 0, quality) AS quality", "0 AS toxic")
     kept, expected = ({r.doc_id for r in quality.resample(frame, quality.fit(frame, x)).where("selected").collect()} for x in (labels, rejected))
-    assert kept == expected
+    assert {k for k in kept if k >= 1000} <= {k for k in expected if k >= 1000}
+    assert sum(k in kept for k, _ in good) >= sum(k in expected for k, _ in good) - 0.01 * len(good)
     assert sum(k in kept for k, _ in good) / len(good) > 3 * sum(k in kept for k, _ in toxic) / len(toxic)
 
 
@@ -320,6 +322,37 @@ def test_quality(spark, empty):
     assert quality.resample(empty.select("doc_id", "text"), quality.fit(empty, labels)).count() == 0
 
 
+def test_quality_finds_a_few_toxic_words(spark):
+    """Long texts are toxic for two words that clean ones lack; marked and unmarked ones go, clean ones stay."""
+    rng = random.Random(29)
+    insults = ["zzidiot", "zzscum", "zztrash", "zzclown"]
+
+    def toxic(n):
+        words = sentence(rng, n).split()
+        for w in rng.sample(insults, 2):
+            words.insert(rng.randrange(n), w)
+        return " ".join(words)
+
+    rows = [(n, sentence(rng, rng.randint(30, 300))) for n in range(400)] + [(1000 + n, toxic(rng.randint(30, 300))) for n in range(120)]
+    labels = spark.createDataFrame([(n, 1, 0) for n in range(0, 400, 2)] + [(1000 + n, 1, 1) for n in range(0, 120, 2)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame([(*r, 0.0) for r in rows], "doc_id long, text string, toxicity double")
+    model = quality.fit(frame, labels)
+    out = quality.resample(frame, model)
+    kept = {r.doc_id for r in out.where("selected").collect()}
+    assert out.columns == ["doc_id", "text", "toxicity", "log_weight", "selected"]
+    assert sum(k >= 1000 for k in kept) <= 6 and len({k for k in kept if k < 1000}) >= 0.9 * 400
+    found = {r.doc_id for r in frame.collect()} - kept
+    assert {r.doc_id for r in quality.resample(frame, quality.fit(frame, labels.where("toxic = 0 OR doc_id = 1000"))).where("NOT selected").collect()} <= found | set(range(400)) | {1000}
+
+
+def test_toxicity_by_hand():
+    """The largest ratios of a text's kept features, each counted once."""
+    model = quality.Model(np.zeros(quality.BUCKETS), 1, np.array([5, 9, 11, 40]), np.array([1.0, 2.0, 4.0, 8.0]))
+    hashes = np.array([5, 9, 9, 11, 40, 9 + quality.FINE_BUCKETS, 7, 5], np.uint64)
+    assert model.toxicity(hashes, np.array([0, 0, 0, 0, 0, 1, 2, 3]), 5).tolist() == [14.0, 2.0, 0.0, 1.0, 0.0]
+    assert quality.Model(np.zeros(quality.BUCKETS), 1, np.zeros(0, np.int64), np.zeros(0)).toxicity(hashes, np.zeros(8, int), 2).tolist() == [0.0, 0.0]
+
+
 def hashed(data):
     """The 64-bit hash of a token: a polynomial of its bytes, then mixed with its length."""
     base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -565,6 +598,24 @@ def test_zip64_directory():
     assert ziparchive.read_range(file, ziparchive.data_start(file, member), member.size) == body
 
 
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Columns named like any that a stage adds stay as they are."""
+    rng = random.Random(31)
+    names = ["__gone", "__version", "gone", "version", "_gone", "log_weight", "selected", "toxicity", "order", "n_lines", "n_dropped", "__uid", "__part", "class_id", "node", "hash", "sequence_id", "offset", "piece", "length"]
+    passage, line = sentence(rng, 30), sentence(rng, 9)
+    texts = [f"{sentence(rng, 60)}\n{line}" for _ in range(8)] + [passage]
+    spark.createDataFrame([(n, t, "en", "s", len(t), *[n] * len(names)) for n, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in names)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(n, 1, 0) for n in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(set(r[5:]) == {r.doc_id} for r in out.collect())
+        assert name != "decontamination" or out.count() == 8
+    assert corpus_pipeline.packing(spark, docs, str(tmp_path)).count() == 9
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     """Each stage on its own input: columns stay, decisions hold, odd rows and empty tables pass."""
     rng = random.Random(30)
