@@ -100,20 +100,28 @@ def mutual_information(paired: DataFrame) -> DataFrame:
     return named.select("msa_id", "i", "j", _information({k: F.col(k) for k in spread}, F.col("w")).alias("mi"))
 
 
-def expected_information(rows: DataFrame, width: int) -> DataFrame:
-    """(msa_id, i, j, mi) for every two columns i < j of ``width`` in which some row has residues in both: mutual information
-    over such rows, in hundredths of bits, times their weight over the number of all rows. Rows pair their residues alone."""
+def joint_residues(rows: DataFrame) -> DataFrame:
+    """(msa_id, i, j, both, AA, AC, ..., UU) for every two columns i < j in which some row has residues in both: the weight of
+    each two residues, and their sum. Rows that are equal count once, by their weight; they pair their residues alone."""
+    equal = rows.groupBy("msa_id", "aseq").agg(F.sum("weight").alias("weight"))
     symbols = F.transform(F.split("aseq", ""), lambda c, n: F.struct((n + 1).alias("n"), c.alias("c")))
-    held = rows.select("msa_id", "weight", F.filter(symbols, lambda x: x["c"].isin(*RESIDUES)).alias("at"))
+    held = equal.select("msa_id", "weight", F.filter(symbols, lambda x: x["c"].isin(*RESIDUES)).alias("at"))
     left = held.select("msa_id", "weight", "at", F.posexplode("at").alias("k", "x"))
-    both = left.select("msa_id", "weight", "x", F.explode(F.slice("at", F.col("k") + 2, F.lit(width))).alias("y"))
+    both = left.select("msa_id", "weight", "x", F.explode(F.slice("at", F.col("k") + 2, F.size("at"))).alias("y"))
     both = both.select("msa_id", F.col("x.n").alias("i"), F.col("y.n").alias("j"), "weight", F.concat("x.c", "y.c").alias("kind"))
     keys = [x + y for x in RESIDUES for y in RESIDUES]
-    joint = both.groupBy("msa_id", "i", "j")
-    joint = joint.agg(F.sum("weight").alias("both"), *[F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0.0)).alias(k) for k in keys]).where("both > 0")
+    kinds = both.groupBy("msa_id", "i", "j", "kind").agg(F.sum("weight").alias("weight"))  # one sum a row; the cells are pivoted from the few sums
+    joint = kinds.groupBy("msa_id", "i", "j").agg(F.sum("weight").alias("both"), *[F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0.0)).alias(k) for k in keys])
+    return joint.where("both > 0")
+
+
+def expected_information(rows: DataFrame, width: int) -> DataFrame:
+    """(msa_id, i, j, mi) for every two columns i < j of ``width`` in which some row has residues in both: mutual information
+    over such rows, in hundredths of bits, times their weight over the number of all rows."""
+    keys = [x + y for x in RESIDUES for y in RESIDUES]
     n = rows.groupBy("msa_id").agg(F.count(F.lit(1)).alias("n"))
     mi = 100 * _information({k: F.col(k) for k in keys}, F.col("both")) * F.col("both") / F.col("n")
-    return joint.join(n, "msa_id").select("msa_id", "i", "j", mi.alias("mi"))
+    return joint_residues(rows).where(F.col("j") <= width).join(n, "msa_id").select("msa_id", "i", "j", mi.alias("mi"))
 
 
 def pair_log_odds(pairs: DataFrame, floor: float = -400.0) -> DataFrame:
