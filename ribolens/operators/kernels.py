@@ -124,4 +124,9 @@ def consensus_structures(evidence: DataFrame, columns: DataFrame, cost: float, h
 
     # new column identities, since both may come from the same rows
     columns, evidence = (t.select([F.col(c).alias(c) for c in t.columns]) for t in (columns, evidence.where("evidence > 0")))
-    return columns.groupBy("msa_id").cogroup(evidence.groupBy("msa_id")).applyInPandas(run, "msa_id string, ss string, pairs long, score double")
+    # a helix needs evidence of more than its cost: alignments without that much in all have no pairs
+    strong = evidence.groupBy("msa_id").agg(F.sum("evidence").alias("most")).where(F.col("most") > cost).select("msa_id")
+    held, known = (t.join(strong, "msa_id", "left_semi") for t in (columns, evidence))
+    folded = held.groupBy("msa_id").cogroup(known.groupBy("msa_id")).applyInPandas(run, "msa_id string, ss string, pairs long, score double")
+    rest = columns.join(strong, "msa_id", "left_anti").groupBy("msa_id").agg(F.max("col").alias("width"))
+    return folded.unionByName(rest.select("msa_id", F.repeat(F.lit("."), F.col("width")).alias("ss"), F.lit(0).cast("long").alias("pairs"), F.lit(0.0).alias("score")))
