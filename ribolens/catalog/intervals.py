@@ -54,12 +54,7 @@ def _averaged(spark, sf_dir):
 
 def _ranks(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("key")).distinct()
-    from pyspark.sql import Window
-
-    step = F.floor(F.col("key") / 50)
-    counts = part.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("s", (F.sum("n").over(Window.orderBy("s")) - F.col("n")).alias("before"))  # a row for each price step
-    ranks = part.withColumn("s", step).join(F.broadcast(before), "s").select("key", (F.col("before") + F.row_number().over(Window.partitionBy("s").orderBy("key"))).alias("rank"))
+    ranks = rk.numbered_in_order(part, "key").select("key", (F.col("nth") + 1).alias("rank"))
     scores = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("score"))
     return rk.rank_lookup(scores, ranks)
 

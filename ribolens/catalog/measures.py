@@ -12,6 +12,7 @@ from ribolens.catalog import views as v
 from ribolens.functions import special as sp
 from ribolens.operators import alignment as al
 from ribolens.operators import intervals as iv
+from ribolens.operators import ranking as rk
 from ribolens.operators import relations as rl
 
 H, S, R, C = (f"WITH {x} " for x in (v.HITS, v.SEQUENCES, v.ROWS, v.CELLS))
@@ -60,14 +61,10 @@ def _directed(spark, sf_dir):
     return at.select("msa_id", "seq_id", "col", (start + way * (F.col("pos") - 1)).alias("place"))
 
 
-def _parts(h, parts=7, span=1000):
-    """Hits in ``parts`` even runs by hit_id: numbered inside ranges of ids and shifted by the ranges before."""
-    marked = h.select("hit_id", F.floor(F.col("hit_id") / span).alias("range"))
-    sizes = marked.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("range")  # a row for each range
-    before = sizes.select("range", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    ranked = marked.withColumn("nth", F.row_number().over(Window.partitionBy("range").orderBy("hit_id"))).join(F.broadcast(before), "range")
-    return ranked.select("hit_id", F.floor((F.col("before") + F.col("nth") - 1) * parts / F.col("total")).alias("part"))
+def _parts(h, parts=7):
+    """Hits in ``parts`` even runs by hit_id."""
+    total = h.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return rk.numbered_in_order(h.select("hit_id"), "hit_id").join(F.broadcast(total)).select("hit_id", F.floor(F.col("nth") * parts / F.col("total")).alias("part"))
 
 
 def _window_shuffles(spark, sf_dir, width=50):

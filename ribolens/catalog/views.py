@@ -63,8 +63,7 @@ ROWS = f"""aln AS (SELECT concat_ws(':', lang, source, block) AS msa_id, doc_id
   rpad(translate(upper(regexp_replace(substr(text, CAST(block * {WIDTH} + 1 AS BIGINT), {WIDTH}), '[^ACGTUacgtu]', '-', 'g')), 'T', 'U'), {WIDTH}, '-') AS aseq, 0.5::DOUBLE + 0.5::DOUBLE * coalesce(quality, 0) AS weight
   FROM (SELECT *, unnest(range(0, (length(text) + {WIDTH - 1}) // {WIDTH})) AS block FROM documents) LEFT JOIN labels USING (doc_id))"""
 CELLS = f"{ROWS}, cells AS (SELECT msa_id, seq_id, CAST(col AS INTEGER) AS col, substr(aseq, CAST(col AS INTEGER), 1) AS sym, weight, substr(aseq, CAST(col AS INTEGER), 1) IN ('A','C','G','U') AS res FROM aln, range(1, {WIDTH + 1}) t(col))"
-PAIRS = f"""{CELLS}, paired AS (SELECT l.msa_id, l.seq_id, l.col AS i, r.col AS j, l.sym AS "left", r.sym AS "right", l.weight, l.res AS lr, r.res AS rr,
-  l.sym || r.sym IN ('AU','UA','CG','GC','GU','UG') AS canon
-  FROM cells l JOIN cells r ON l.msa_id = r.msa_id AND l.seq_id = r.seq_id AND r.col = {WIDTH + 1} - l.col AND l.col <= {STEM})"""
+PAIRS = f"""{CELLS}, sides AS (SELECT msa_id, seq_id, CAST(i AS INTEGER) AS i, CAST({WIDTH + 1} - i AS INTEGER) AS j, substr(aseq, CAST(i AS INTEGER), 1) AS "left", substr(aseq, CAST({WIDTH + 1} - i AS INTEGER), 1) AS "right", weight FROM aln, range(1, {STEM + 1}) t(i)),
+paired AS (SELECT *, "left" IN ('A','C','G','U') AS lr, "right" IN ('A','C','G','U') AS rr, "left" || "right" IN ('AU','UA','CG','GC','GU','UG') AS canon FROM sides)"""
 HITS = "hits AS (SELECT event_id AS hit_id, user_id AS seq_id, event_id % 500 AS start, event_id % 500 + 10 + event_id % 40 AS stop, value AS score FROM events)"
 ANNOTATION = "anno AS (SELECT l_orderkey * 10 + l_linenumber AS r_hit_id, l_suppkey AS seq_id, l_partkey % 500 AS r_start, l_partkey % 500 + CAST(l_quantity AS BIGINT) AS r_stop FROM lineitem)"

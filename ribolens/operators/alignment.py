@@ -76,8 +76,10 @@ def joint_weights(paired: DataFrame) -> DataFrame:
         return out
 
     coded = paired.select("msa_id", "i", "j", "weight", (number("left") * len(symbols) + number("right")).alias("kind"))
-    kinds = [F.sum(F.when(F.col("kind") == n, F.col("weight")).otherwise(0.0)).alias(x + y) for n, (x, y) in enumerate((x, y) for x in symbols for y in symbols)]
-    return coded.groupBy("msa_id", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), *kinds)
+    few = coded.groupBy("msa_id", "i", "j", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))  # one sum a row
+    names = [x + y for x in symbols for y in symbols]
+    cells = [F.sum(F.when(F.col("kind") == k, F.col("weight")).otherwise(0.0)).alias(name) for k, name in enumerate(names)]
+    return few.groupBy("msa_id", "i", "j").agg(F.sum("n").alias("n"), F.sum("weight").alias("w"), *cells)
 
 
 def _information(joint: dict[str, Column], whole: Column) -> Column:

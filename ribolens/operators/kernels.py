@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribolens.kernels.strings import fold, gsc_weights, local_alignment, pair_table
+from ribolens.operators.intervals import binned
+from ribolens.session import written
 
 
 def folded(sequences: DataFrame) -> DataFrame:
@@ -69,27 +71,27 @@ def tree_weights(identities: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def greedy_hits(hits: DataFrame) -> DataFrame:
-    """hits that no better kept hit of their sequence overlaps, best first by (score descending, hit_id).
+    """(hit_id) of hits that no better kept hit of their sequence overlaps, best first by (score descending, hit_id).
 
-    Only hits of one run of overlapping intervals can affect each other, so each run is a group of its own.
+    In rounds: a hit that is the best live one of every bin it touches is met by no better one and stays; what overlaps it
+    goes. A bin keeps one hit a round at most, so live hits meet at most one for each bin of theirs: no pairs of hits are
+    made, and no sequence or run of overlapping hits is gathered. Each round settles the best live hit of every sequence at
+    least, and in general the best of every neighbourhood. Live hits are written after each round.
     """
-    order = Window.partitionBy("seq_id").orderBy("start", "stop", "hit_id")
-    ends = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = hits.withColumn("new", F.when(ends.isNull() | (F.col("start") > ends), 1).otherwise(0)).withColumn("run", F.sum("new").over(order))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_left
-
-        starts, stops, kept = [], [], []
-        for key, start, stop in group.sort_values(["score", "hit_id"], ascending=[False, True])[["hit_id", "start", "stop"]].itertuples(index=False):
-            at = bisect_left(stops, start)
-            if at == len(starts) or starts[at] > stop:
-                starts.insert(at, start)
-                stops.insert(at, stop)
-                kept.append(key)
-        return pd.DataFrame({"hit_id": kept})
-
-    return runs.select("seq_id", "run", "hit_id", "start", "stop", "score").groupBy("seq_id", "run").applyInPandas(run, "hit_id long")
+    live = written(hits.select("seq_id", "hit_id", "start", "stop", "score"), "live-hits")
+    kept = None
+    while not live.isEmpty():
+        at = binned(live)
+        order = F.struct(F.col("score"), -F.col("hit_id"))
+        best = at.groupBy("seq_id", "bin").agg(F.max_by(F.struct("hit_id", "start", "stop"), order).alias("best"))
+        met = at.join(best, ["seq_id", "bin"])
+        won = met.groupBy("seq_id", "hit_id").agg(F.min((F.col("hit_id") == F.col("best.hit_id")).cast("int")).alias("won")).where("won = 1").select("seq_id", "hit_id")
+        won = written(won, "kept-hits")
+        held = best.join(won.withColumnRenamed("hit_id", "of"), (best["seq_id"] == won["seq_id"]) & (F.col("best.hit_id") == F.col("of")), "left_semi")
+        gone = at.join(held, ["seq_id", "bin"]).where("start <= best.stop AND best.start <= stop").select("seq_id", "hit_id").distinct()
+        live = written(live.join(gone, ["seq_id", "hit_id"], "left_anti"), "live-hits")
+        kept = won if kept is None else kept.unionByName(won)
+    return (live if kept is None else kept).select("hit_id")
 
 
 def shuffled(sequences: DataFrame, seed: int = 1) -> DataFrame:

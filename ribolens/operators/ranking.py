@@ -38,6 +38,20 @@ def contained_strings(rows: DataFrame, key: str, text: str, k: int = 12) -> Data
     return rows.join(found, rows[text] == found["text"], "left_semi").select(key)
 
 
+def numbered_in_order(rows: DataFrame, key: str, nth: str = "nth") -> DataFrame:
+    """rows with their number by ``key``, a number without nulls, from 0. They are numbered inside RANGES even ranges between
+    the least and the largest key, and shifted by the ranges before: that table has RANGES + 1 rows at most."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return rows.withColumn(nth, F.lit(None).cast("long"))
+    part = F.floor((F.col(key) - F.lit(low)) / max((float(high) - float(low)) / RANGES, 1e-9)).cast("long")
+    marked = rows.withColumn("__part", part)
+    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    turn = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return marked.withColumn("__turn", turn).join(F.broadcast(before), "__part").withColumn(nth, F.col("__before") + F.col("__turn") - 1).drop("__part", "__turn", "__before")
+
+
 def rank_lookup(scores: DataFrame, ranks: DataFrame) -> DataFrame:
     """scores(id, score) with the rank of the least key >= score in ranks(key, rank); one more if they differ; above all
     keys the last rank.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ribolens.operators.intervals import overlap_join
+from ribolens.operators.ranking import numbered_in_order
 
 #: Instances of two motifs up to so far apart are near; so many positions of an instance may lie outside of an equal one.
 NEAR, LOOSE, SAME_SHARE = 100, 25, 0.9
@@ -121,13 +122,10 @@ def concatenated(one: DataFrame, two: DataFrame, width1: int, width2: int) -> Da
     return met.select("seq_id", F.concat(F.coalesce("a", F.lit("-" * width1)), F.coalesce("b", F.lit("-" * width2))).alias("aseq"))
 
 
-def numbered_union(one: DataFrame, two: DataFrame, key: str, span: int = 100_000) -> DataFrame:
+def numbered_union(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
     """(key, number): the ids of one with their own numbers, and those of two that one lacks, numbered on from the largest of
-    one, in order. Numbers are counted inside ranges of ``span`` ids and shifted by the ranges before."""
+    one, in order."""
     old = one.select(key).distinct().withColumn("number", F.col(key))
-    fresh = two.select(key).distinct().join(old.select(key), key, "left_anti").withColumn("part", F.floor(F.col(key) / span))
-    sizes = fresh.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each range
+    fresh = numbered_in_order(two.select(key).distinct().join(old.select(key), key, "left_anti"), key)
     top = one.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    ranked = fresh.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(key))).join(before, "part")
-    return old.unionByName(ranked.join(F.broadcast(top)).select(key, (F.col("top") + F.col("before") + F.col("nth")).cast("long").alias("number")))
+    return old.unionByName(fresh.join(F.broadcast(top)).select(key, (F.col("top") + F.col("nth") + 1).cast("long").alias("number")))
