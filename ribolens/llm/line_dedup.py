@@ -3,7 +3,7 @@
 A line's path in the tree is its number of tokens, then its first LEAD tokens, with every token that holds a digit
 replaced by a wildcard. In a leaf, lines belong to one template if their tokens agree once wildcards are in place; also
 if all but one of the three thirds of the tokens after the first LEAD agree (the third that differs is a variable field:
-with three tokens or fewer, one token), and so do chains of such lines. Templates that occur in several documents are
+with three tokens or fewer, one token) in lines of FIELD_TOKENS at least, and so do chains of such lines. Templates that occur in several documents are
 dropped but for their first line.
 """
 
@@ -17,6 +17,9 @@ from ribolens.operators.clustering import components
 
 LEAD = 3
 WILD = "<*>"
+#: Lines of fewer tokens have no variable field but tokens with digits: in short lines one other word is another sentence.
+FIELD_TOKENS = 6
+
 
 def line_rows(docs: DataFrame, key: str, text: str, lead: int) -> DataFrame:
     """(doc, version, line, form, k0, k1, k2): form is the masked line's digest, k0 to k2 128-bit keys of the leaf with one
@@ -40,7 +43,7 @@ def line_rows(docs: DataFrame, key: str, text: str, lead: int) -> DataFrame:
 
     def leaf(out: int) -> Column:
         kept = [m for m in range(4) if m != out + 1]
-        return F.when(cuts[out + 1] > cuts[out], F.struct(*[F.xxhash64(F.lit(out), "n", *[f"p{m}_{seed}" for m in kept]).alias(f"h{seed}") for seed in (0, 1)]))
+        return F.when((cuts[out + 1] > cuts[out]) & (F.col("n") >= FIELD_TOKENS), F.struct(*[F.xxhash64(F.lit(out), "n", *[f"p{m}_{seed}" for m in kept]).alias(f"h{seed}") for seed in (0, 1)]))
 
     return rows.select(*place, "form", *[leaf(m).alias(f"k{m}") for m in range(3)])
 
@@ -98,7 +101,7 @@ k AS (SELECT doc_id, line, CASE WHEN len(list_filter(w, lambda x: NOT regexp_mat
   ELSE list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) END AS t FROM w),
 n AS (SELECT doc_id, line, t, len(t) AS n, (len(t) - 1) // 3 AS m1, (2 * len(t) - 4) // 3 AS m2, array_to_string(t, ' ') AS form FROM k WHERE len(t) > 0),
 f AS (SELECT form, any_value(t) AS t, any_value(n) AS n, any_value(m1) AS m1, any_value(m2) AS m2 FROM n GROUP BY form),
-g AS (SELECT form, t[1:3] AS head, n, t[4 : 3 + m1] AS a, t[4 + m1 : 3 + m2] AS b, t[4 + m2 :] AS c FROM f WHERE n >= 4),
+g AS (SELECT form, t[1:3] AS head, n, t[4 : 3 + m1] AS a, t[4 + m1 : 3 + m2] AS b, t[4 + m2 :] AS c FROM f WHERE n >= 6),
 ks AS (SELECT form, 0 AS o, n, array_to_string(head, ' ') AS h, array_to_string(b, ' ') AS x, array_to_string(c, ' ') AS y FROM g
   UNION ALL SELECT form, 1, n, array_to_string(head, ' '), array_to_string(a, ' '), array_to_string(c, ' ') FROM g WHERE len(b) > 0
   UNION ALL SELECT form, 2, n, array_to_string(head, ' '), array_to_string(a, ' '), array_to_string(b, ' ') FROM g WHERE len(c) > 0),

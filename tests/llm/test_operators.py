@@ -283,6 +283,13 @@ def test_line_dedup(spark, empty):
     assert line_dedup.drop_recurring_lines(empty.select("doc_id", "text")).count() == 0
 
 
+def test_short_lines_differ_by_a_word(spark):
+    """One other word makes a short line another sentence; a number doesn't, nor a name in a longer line."""
+    lines = ["I want to sleep", "I want to run", "I want to run 5", "I want to run 6", "please write to our anna today", "please write to our bert today"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.drop_recurring_lines(frame).where("n_dropped = 1").collect()} == {3, 5}
+
+
 def test_lines_of_wildcards_alone(spark):
     """Lines whose tokens all hold a digit recur only if they are equal."""
     rows = [(1, "17\n1 2 3\nhttp://a/1\nOrder 5"), (2, "18\n4 5 6\nhttp://b/2\nOrder 6"), (3, "17\nown")]
