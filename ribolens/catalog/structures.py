@@ -1,7 +1,8 @@
-"""Queries on structures (F-8 to F-14, F-32, J-22, A-9 to A-16, UD-33), over a structure made for each document.
+"""Queries on structures (F-8 to F-14, F-32, J-22, A-9 to A-16, UD-33), over the blocks of whole texts.
 
-A document's structure has stems around a multiloop, of sizes that its doc_id gives; every seventh lacks a bracket. Its
-sequence is the document's residues, filled up.
+A block's structure comes from its residues: A and G open a pair, U and C close the last open one. A and U that find no
+partner keep a letter, as pseudoknots have it, G and C a dot. The other structure of a block opens with G and closes with
+U alone.
 """
 
 from __future__ import annotations
@@ -10,26 +11,59 @@ from pyspark.sql import functions as F
 
 from ribolens.catalog import views as v
 from ribolens.functions import structure as st
+from ribolens.functions.sequence import ungapped
 from ribolens.operators import alignment as al
 from ribolens.operators import candidates as cd
 from ribolens.operators import structures as sx
 
+#: Which residues open and close, as brackets, and the letters of A and U without a partner; of both structures.
+MARKS = {0: ("AGUC", "(<)>", "A.a."), 1: ("GUAC", "()..", "....")}
+
+
+def raw_folds(spark, sf_dir, shift=0):
+    """(seq_id, seq, ss) of each block that has residues: residues as brackets, with or without partners."""
+    rows = v.alignment_rows(spark, sf_dir).select((F.col("seq_id") * 100_000 + F.element_at(F.split("msa_id", ":"), -1).cast("long")).alias("seq_id"), ungapped(F.col("aseq")).alias("seq"))
+    return rows.where("seq <> ''").select("seq_id", "seq", F.translate("seq", *MARKS[shift][:2]).alias("ss"))
+
 
 def folds(spark, sf_dir, shift=0):
-    """(seq_id, seq, ss); ``shift`` makes other structures of the same sequences."""
-    n = F.col("seq_id") + shift
-    times = lambda s, k: F.repeat(F.lit(s), (k).cast("int"))
-    a, b, c, d = 1 + n % 4, n % 3, 1 + n % 5, 3 + n % 4
-    ss = F.concat(times(".", b), times("(", a), times(".", b), times("<", c), times(".", d), times(">", c), times(".", n % 2), F.lit("((_A_a))"), times(")", a), times(".", b), F.when(n % 7 == 0, "(").otherwise(""))
-    filled = lambda s: F.substr(F.concat("seq", F.lit("ACGU" * 20)), F.lit(1), F.length(s))
-    return v.sequences(spark, sf_dir).select("seq_id", ss.alias("ss"), filled(ss).alias("seq"))
+    """(seq_id, seq, ss) with balanced structures: a bracket without a partner is what its residue gives.
+
+    A closing bracket has none where nothing is open; an opening one where, read from the end, nothing closes.
+    """
+
+    def matched(text, brackets, first):
+        """The text with a question mark for each bracket of the later kind that meets nothing open."""
+        one, two = (brackets[:2], brackets[2:]) if first else (brackets[2:], brackets[:2])
+        state = lambda depth, out: F.struct(depth.alias("depth"), out.alias("out"))
+        kept = lambda a, c: F.when(c.isin(*two) & (a["depth"] == 0), "?").otherwise(c)
+        depth = lambda a, c: F.when(c.isin(*one), a["depth"] + 1).when(c.isin(*two), F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"])
+        return F.aggregate(F.split(text, ""), state(F.lit(0), F.lit("")), lambda a, c: state(depth(a, c), F.concat(a["out"], kept(a, c))))["out"]
+
+    letters, _, rest = MARKS[shift]
+    forth = raw_folds(spark, sf_dir, shift).withColumn("forth", matched(F.col("ss"), "(<)>", True))
+    both = forth.withColumn("both", F.reverse(matched(F.reverse("forth"), "(<)>", False)))
+    whole = F.array_join(F.zip_with(F.split("both", ""), F.split("seq", ""), lambda c, r: F.when(c == "?", F.translate(r, letters, rest)).otherwise(c)), "")
+    return both.select("seq_id", "seq", whole.alias("ss"))
+
+
+def _raw_sql(name, shift=0):
+    letters, brackets, _ = MARKS[shift]
+    return f"""{v.ROWS}, {name}_r AS (SELECT seq_id * 100000 + CAST(string_split(msa_id, ':')[-1] AS BIGINT) AS seq_id, replace(aseq, '-', '') AS seq FROM aln),
+{name}_raw AS (SELECT seq_id, seq, translate(seq, '{letters}', '{brackets}') AS ss FROM {name}_r WHERE seq <> '')"""
 
 
 def _folds_sql(name, shift=0):
-    n = f"(doc_id + {shift})"
-    return f"""{name} AS (SELECT seq_id, ss, substr(seq || repeat('ACGU', 20), 1, length(ss)) AS seq FROM (SELECT seq_id, seq,
-  repeat('.', {n} % 3) || repeat('(', 1 + {n} % 4) || repeat('.', {n} % 3) || repeat('<', 1 + {n} % 5) || repeat('.', 3 + {n} % 4) || repeat('>', 1 + {n} % 5) || repeat('.', {n} % 2) || '((_A_a))' || repeat(')', 1 + {n} % 4) || repeat('.', {n} % 3)
-  || CASE WHEN {n} % 7 = 0 THEN '(' ELSE '' END AS ss FROM (SELECT seq_id, seq, seq_id AS doc_id FROM sequences)))"""
+    """A closing bracket has no partner where the running sum of +1 and -1 is under all before it and 0; an opening one so from
+    the end."""
+    letters, _, rest = MARKS[shift]
+    raw = _raw_sql(name, shift).partition(f"{name}_r AS")
+    return f"""{name}_r AS{raw[2]}, {name}_x AS (SELECT seq_id, seq, unnest(range(1, length(seq) + 1)) AS nth, unnest(string_split(ss, '')) AS c FROM {name}_raw),
+{name}_y AS (SELECT *, CASE WHEN c IN ('(', '<') THEN 1 WHEN c IN (')', '>') THEN -1 ELSE 0 END AS d FROM {name}_x),
+{name}_z AS (SELECT *, sum(d) OVER (PARTITION BY seq_id ORDER BY nth) AS up, sum(-d) OVER (PARTITION BY seq_id ORDER BY nth DESC) AS down FROM {name}_y),
+{name}_m AS (SELECT *, (d = -1 AND up < least(0, coalesce(min(up) OVER (PARTITION BY seq_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))
+  OR (d = 1 AND down < least(0, coalesce(min(down) OVER (PARTITION BY seq_id ORDER BY nth DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS alone FROM {name}_z),
+{name} AS (SELECT seq_id, any_value(seq) AS seq, string_agg(CASE WHEN alone THEN translate(substr(seq, CAST(nth AS BIGINT), 1), '{letters}', '{rest}') ELSE c END, '' ORDER BY nth) AS ss FROM {name}_m GROUP BY seq_id)"""
 
 
 def _pairs_sql(name, source, unbalanced):
@@ -39,15 +73,22 @@ def _pairs_sql(name, source, unbalanced):
 {name} AS (SELECT o.seq_id, o.place AS i, min(e.place) AS j FROM {name}_d o JOIN {name}_d e ON o.seq_id = e.seq_id AND e.place > o.place AND o.c = '(' AND e.c = ')' AND e.depth = o.depth - 1 GROUP BY o.seq_id, o.place)"""
 
 
-_F = f"WITH {v.SEQUENCES}, {_folds_sql('f')}"
-_P = f"{_F}, {_pairs_sql('p', 'f', 'seq_id % 7 = 0')} "
-_P2 = f"{_F}, {_folds_sql('f2', 1)}, {_pairs_sql('p', 'f', 'seq_id % 7 = 0')}, {_pairs_sql('p2', 'f2', '(seq_id + 1) % 7 = 0')} "
+_F = f"WITH {v.ROWS}, {_folds_sql('f')}"
+_P = f"{_F}, {_pairs_sql('p', 'f', 'FALSE')} "
+_P2 = f"{_F}, {_folds_sql('f2', 1)}, {_pairs_sql('p', 'f', 'FALSE')}, {_pairs_sql('p2', 'f2', 'FALSE')} "
 
 
 def _pairs(spark, sf_dir, shift=0):
     return sx.pair_rows(folds(spark, sf_dir, shift), "seq_id")
 
 
+def _loops(spark, sf_dir):
+    """Of each pair whether its loop closes without another pair, and whether stems follow each other inside."""
+    met = _pairs(spark, sf_dir).join(folds(spark, sf_dir).select("seq_id", "ss"), "seq_id")
+    inside = F.substr("ss", F.col("i") + 1, F.col("j") - F.col("i") - 1)
+    return met.select("seq_id", "i", "j", sx.is_hairpin(inside).alias("hairpin"), sx.is_multiloop(F.substr("ss", "i", F.col("j") - F.col("i") + 1)).alias("multiloop"))
+
+
 def _shares(spark, sf_dir):
     """(msa_id, i, j, p, w): the share of canonical pairs at the structure's pairs of columns stands for a pairing probability."""
     kinds = al.pair_categories(al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE))
@@ -84,11 +125,17 @@ def _merged(spark, sf_dir):
 
 ENTRIES = {
     "F8_pair_table": (_pairs, _P + "SELECT seq_id, i, j FROM p"),
-    "F8_unbalanced": (lambda spark, sf_dir: folds(spark, sf_dir).where(~sx.balanced(F.col("ss"))).select("seq_id"), "SELECT doc_id AS seq_id FROM documents WHERE doc_id % 7 = 0"),
-    "F9_hairpins": (lambda spark, sf_dir: folds(spark, sf_dir).select("seq_id", st.hairpins(sx.plain(F.col("ss"))).alias("n")), f"{_F} SELECT seq_id, 2 AS n FROM f"),
+    "F8_unbalanced": (
+        lambda spark, sf_dir: raw_folds(spark, sf_dir).where(~sx.balanced(F.col("ss"))).select("seq_id"),
+        f"""WITH {_raw_sql("f")}, x AS (SELECT seq_id, unnest(range(1, length(ss) + 1)) AS nth, unnest(string_split(ss, '')) AS c FROM f_raw),
+  y AS (SELECT seq_id, nth, sum(CASE WHEN c IN ('(', '<') THEN 1 ELSE -1 END) OVER (PARTITION BY seq_id ORDER BY nth) AS depth FROM x)
+SELECT seq_id FROM y GROUP BY seq_id HAVING min(depth) < 0 OR arg_max(depth, nth) <> 0""",
+    ),
+    "F9_hairpins": (lambda spark, sf_dir: folds(spark, sf_dir).select("seq_id", st.hairpins(sx.plain(F.col("ss"))).alias("n")), _F + r" SELECT seq_id, CAST(len(regexp_extract_all(regexp_replace(translate(ss, '<>', '()'), '[^()]', '.', 'g'), '\(\.*\)')) AS INTEGER) AS n FROM f"),
     "F10_loops": (
-        lambda spark, sf_dir: folds(spark, sf_dir).where("seq_id % 7 <> 0").select("seq_id", sx.is_hairpin(F.substring("ss", 1, 2)).alias("hairpin"), sx.is_multiloop(F.col("ss")).alias("multiloop")),
-        f"{_F} SELECT seq_id, seq_id % 3 = 2 AS hairpin, TRUE AS multiloop FROM f WHERE seq_id % 7 <> 0",
+        _loops,
+        _P + r"""SELECT seq_id, i, j, NOT regexp_matches(translate(substr(ss, CAST(i + 1 AS BIGINT), CAST(j - i - 1 AS BIGINT)), '<>', '()'), '[()]') AS hairpin,
+  regexp_matches(translate(substr(ss, CAST(i + 1 AS BIGINT), CAST(j - i - 1 AS BIGINT)), '<>', '()'), '\).*\(') AS multiloop FROM p JOIN f USING (seq_id)""",
     ),
     "F11_helices": (
         lambda spark, sf_dir: sx.helices(_pairs(spark, sf_dir), "seq_id"),
@@ -105,18 +152,18 @@ SELECT seq_id, i, j, outer_n AS "outer", inner_n AS "inner" FROM n""",
     "F13_UD33_connectivity": (
         lambda spark, sf_dir: sx.ct_lines(folds(spark, sf_dir), "seq_id"),
         _P
-        + """, s AS (SELECT seq_id, CAST(unnest(range(1, length(seq) + 1)) AS INTEGER) AS place, unnest(string_split(seq, '')) AS base, length(seq) AS len FROM f WHERE seq_id % 7 <> 0)
+        + """, s AS (SELECT seq_id, CAST(unnest(range(1, length(seq) + 1)) AS INTEGER) AS place, unnest(string_split(seq, '')) AS base, length(seq) AS len  FROM f)
 SELECT s.seq_id, s.place, base, place - 1 AS before, CASE WHEN place < len THEN place + 1 ELSE 0 END AS after, coalesce(a.j, b.i, 0) AS partner FROM s LEFT JOIN p a ON s.seq_id = a.seq_id AND a.i = place LEFT JOIN p b ON s.seq_id = b.seq_id AND b.j = place""",
     ),
     "F13_from_connectivity": (
         lambda spark, sf_dir: sx.from_ct(sx.ct_lines(folds(spark, sf_dir), "seq_id"), "seq_id"),
-        f"{_F} SELECT seq_id, seq, regexp_replace(translate(ss, '<>', '()'), '[^()]', '.', 'g') AS ss FROM f WHERE seq_id % 7 <> 0",
+        f"{_F} SELECT seq_id, seq, regexp_replace(translate(ss, '<>', '()'), '[^()]', '.', 'g') AS ss FROM f",
     ),
     "F13_without_pseudoknots": (lambda spark, sf_dir: folds(spark, sf_dir).select("seq_id", st.without_pseudoknots(F.col("ss")).alias("ss")), f"{_F} SELECT seq_id, replace(replace(ss, 'A', '.'), 'a', '.') AS ss FROM f"),
     "F32_kept_columns": (
         lambda spark, sf_dir: sx.kept_columns(folds(spark, sf_dir), "seq_id", lambda place: place % 5 != 2),
         _P
-        + """, s AS (SELECT seq_id, CAST(unnest(range(1, length(ss) + 1)) AS INTEGER) AS place FROM f WHERE seq_id % 7 <> 0), w AS (SELECT * FROM p WHERE i % 5 <> 2 AND j % 5 <> 2)
+        + """, s AS (SELECT seq_id, CAST(unnest(range(1, length(ss) + 1)) AS INTEGER) AS place  FROM f), w AS (SELECT * FROM p WHERE i % 5 <> 2 AND j % 5 <> 2)
 SELECT s.seq_id, string_agg(CASE WHEN a.i IS NOT NULL THEN '(' WHEN b.j IS NOT NULL THEN ')' ELSE '.' END, '' ORDER BY place) AS ss FROM s LEFT JOIN w a ON s.seq_id = a.seq_id AND a.i = place LEFT JOIN w b ON s.seq_id = b.seq_id AND b.j = place WHERE place % 5 <> 2 GROUP BY s.seq_id""",
     ),
     "J22_compared_structures": (

@@ -9,22 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribolens.kernels.strings import fold, gsc_weights, local_alignment, pair_table
+from ribolens.kernels.strings import gsc_weights, local_alignment, pair_table
 from ribolens.operators.intervals import binned
 from ribolens.session import written
 
 
-def folded(sequences: DataFrame) -> DataFrame:
-    """(seq, structure, energy) of each different sequence of sequences(seq): repeated ones are folded once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [fold(s) for s in batch["seq"]]
-            yield pd.DataFrame({"seq": batch["seq"], "structure": [g[0] for g in got], "energy": [g[1] for g in got]})
-
-    return sequences.select("seq").distinct().mapInPandas(run, "seq string, structure string, energy double")
-
-
 def paired_places(structures: DataFrame) -> DataFrame:
     """(msa_id, id, i, j) of structures(msa_id, id, structure): pairs of places from 1; unbalanced structures give none."""
 

@@ -30,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests), a local one is chosen and set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local one is chosen and set if all executors are threads of this
+    machine (tests); on a cluster that is an error, since executors don't see each other's folders."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="ribolens-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")

@@ -22,23 +22,6 @@ def structures(n):
             yield "".join(s)
 
 
-def energy(seq, structure):
-    partner, total = ks.pair_table(structure), 0.0
-    for i, j in enumerate(partner):
-        if j > i:
-            if j - i <= ks.LEAST_LOOP or seq[i] + seq[j] not in ks.STACK:
-                return np.inf
-            total += ks.STACK[seq[i] + seq[j]] if partner[i + 1] == j - 1 else ks.HAIRPIN
-    return total
-
-
-@pytest.mark.parametrize("seq", ["GGGAAACCC", "GCGAAAGCGC", "ACGUACGUACG", "GGGGAAAACC", "AAAA", ""])
-def test_fold_is_least(seq):
-    structure, value = ks.fold(seq)
-    assert value == pytest.approx(min((energy(seq, s) for s in structures(len(seq))), default=0.0))
-    assert energy(seq, structure) == pytest.approx(value)
-
-
 def test_pair_table():
     assert ks.pair_table("(<.>)") == [4, 3, -1, 1, 0]
     for bad in ("(", ")", "(()", "<("):
