@@ -49,7 +49,7 @@ def buckets_of(hashed: np.ndarray) -> np.ndarray:
 
 def present(hashed: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fine buckets and row numbers, each pair once."""
-    both = np.unique(row.astype(np.int64) * FINE_BUCKETS + (hashed % np.uint64(FINE_BUCKETS)).astype(np.int64))
+    both = np.unique(row.astype(np.int64) * FINE_BUCKETS + (hashed & np.uint64(FINE_BUCKETS - 1)).astype(np.int64))
     return both % FINE_BUCKETS, both // FINE_BUCKETS
 
 
@@ -84,9 +84,10 @@ class Model:
         """The sum of each row's TELLING largest log ratios among kept features."""
         if not len(self.telling_buckets):
             return np.zeros(rows)
-        fine = (hashed % np.uint64(FINE_BUCKETS)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.telling_buckets, fine), len(self.telling_buckets) - 1)
-        some = self.telling_buckets[at] == fine
+        number = np.full(FINE_BUCKETS, -1, np.int32)
+        number[self.telling_buckets] = np.arange(len(self.telling))
+        at = number[(hashed & np.uint64(FINE_BUCKETS - 1)).astype(np.int64)]
+        some = np.flatnonzero(at >= 0)  # few features are telling
         both = np.unique(row[some].astype(np.int64) * len(self.telling) + at[some])
         row, ratio = both // len(self.telling), self.telling[both % len(self.telling)]
         order = np.lexsort((-ratio, row))
