@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ribolens.operators import ranking as rk
+from ribolens.operators.selection import greedy_selection
 from ribolens.session import table
 
 #: Motifs: orders of a customer are motifs of a family, with statistics from their lines.
@@ -48,6 +49,29 @@ def _pairs(spark, sf_dir):
     return met.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _selected(spark, sf_dir):
+    """At most five motifs of each family by rank index, of weight 2.5 (here: lines) and a rank of 1 at least. One is redundant
+    beside a better one that has half of its sequences, or a sixth if that ranks twice as high."""
+    rows = motifs(spark, sf_dir).select("motif", "species", "num").join(_indexed(spark, sf_dir), "motif").where("num >= 2.5 AND rank_index >= 1")
+    own = rows.select("motif", "species", "rank_index")
+    ends = _pairs(spark, sf_dir).select("shared", F.inline(F.array(F.struct(F.col("m1").alias("worse"), F.col("m2").alias("better")), F.struct(F.col("m2").alias("worse"), F.col("m1").alias("better")))))
+    met = ends.join(own.withColumnsRenamed({"motif": "worse", "species": "s", "rank_index": "r"}), "worse").join(own.select(F.col("motif").alias("better"), F.col("rank_index").alias("rb")), "better")
+    redundant = met.where((F.col("shared") >= 0.5 * F.col("s")) | ((F.col("shared") * 6 >= F.col("s")) & (F.col("r") < 0.5 * F.col("rb"))))
+    items = rows.select(F.col("family").alias("group"), F.col("motif").alias("item"), (-F.col("rank_index")).alias("order"))
+    return greedy_selection(items, redundant.select("worse", "better"), 5).select(F.col("group").alias("family"), F.col("item").alias("motif"), F.abs("order").alias("rank_index"))
+
+
+_SELECTED = f"""WITH RECURSIVE {MOTIFS}, x AS ({_INDEX}), rows AS (SELECT m.motif, m.family, m.species, x.rank_index FROM motifs m JOIN x USING (motif) WHERE num >= 2.5 AND rank_index >= 1),
+l AS (SELECT DISTINCT o_custkey AS family, l_orderkey AS motif, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+s AS (SELECT a.motif AS worse, b.motif AS better, count(*) AS shared FROM l a JOIN l b ON a.family = b.family AND a.l_suppkey = b.l_suppkey AND a.motif <> b.motif GROUP BY ALL),
+c AS (SELECT worse, list(better) AS betters FROM s JOIN rows w ON w.motif = worse JOIN rows b ON b.motif = better WHERE shared >= 0.5 * w.species OR (shared * 6 >= w.species AND w.rank_index < 0.5 * b.rank_index) GROUP BY worse),
+n AS (SELECT family, motif, rank_index, coalesce(betters, []) AS betters, row_number() OVER (PARTITION BY family ORDER BY rank_index DESC, motif) AS r FROM rows LEFT JOIN c ON worse = motif),
+g(family, r, chosen) AS (SELECT DISTINCT family, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM n UNION ALL
+  SELECT g.family, n.r, CASE WHEN len(chosen) < 5 AND NOT list_has_any(betters, chosen) THEN list_append(chosen, motif) ELSE chosen END FROM g JOIN n ON n.family = g.family AND n.r = g.r + 1),
+z AS (SELECT family, unnest(arg_max(chosen, r)) AS motif FROM g GROUP BY family)
+SELECT family, motif, rank_index FROM z JOIN n USING (family, motif)"""
+
+
 def _sides(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     ids = F.col("user_id").alias("id")
@@ -64,6 +88,7 @@ def _union_ids(spark, sf_dir):
 
 
 ENTRIES = {
+    "W10_selected_motifs": (_selected, _SELECTED),
     "A17_A18_indexes": (_indexed, M + _INDEX),
     "W11_family_rank": (_family_rank, M + f", x AS ({_INDEX}) SELECT family, motif, CAST(row_number() OVER (PARTITION BY family ORDER BY rank_index DESC, motif) AS INTEGER) AS rank FROM x"),
     "F30_rank_filters": (

@@ -91,6 +91,21 @@ def shuffled(sequences: DataFrame, seed: int = 1) -> DataFrame:
     return rows.groupBy("seq_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "r"))), lambda x: x["r"]), "").alias("seq"))
 
 
+def neighbour_shuffled(sequences: DataFrame, how: str = "walk", seed: int = 1) -> DataFrame:
+    """(seq_id, seq): each sequence shuffled so that its pairs of neighbours stay (``walk``), or drawn by what follows what in it
+    (``markov``). The seed and its id decide; null sequences stay null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ribolens.kernels import walks
+
+        draw = {"walk": walks.walked, "markov": walks.markov}[how]
+        for batch in batches:
+            seeded = (np.random.default_rng([seed, k & (1 << 63) - 1, int(k < 0)]) for k in batch["seq_id"].tolist())
+            yield pd.DataFrame({"seq_id": batch["seq_id"], "seq": [None if s is None else draw(s, rng) for s, rng in zip(batch["seq"], seeded, strict=True)]})
+
+    return sequences.select("seq_id", "seq").mapInPandas(run, "seq_id long, seq string")
+
+
 def consensus_structures(evidence: DataFrame, columns: DataFrame, cost: float, hairpin: int = 3) -> DataFrame:
     """(msa_id, ss, pairs, score): the best structure of each alignment of columns(msa_id, col, rf) by evidence(msa_id, i, j,
     evidence), over its consensus columns (rf isn't a dot) alone; see best_structure. An alignment's columns and its pairs of
