@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ribolens.catalog import views as v
 from ribolens.functions import special as sp
 from ribolens.operators import alignment as al
+from ribolens.operators import fits as ft
 from ribolens.operators import intervals as iv
 from ribolens.operators import ranking as rk
 from ribolens.operators import relations as rl
@@ -91,7 +92,47 @@ def _substitutions(h):
     return h.select("hit_id", (F.col("score") / 50).alias("time")).mapInPandas(chances, "hit_id long, kept double, turned double, sum double")
 
 
+def _scores(spark, sf_dir):
+    return v.hits(spark, sf_dir).select(F.col("seq_id").alias("key"), F.col("score").cast("double").alias("x"))
+
+
+def _fitted(rows, *columns):
+    return rows.select("key", "n", *[F.round(c, 6).alias(c) for c in columns])
+
+
+def _censored_fit(spark, sf_dir, cut=40.0):
+    """Of scores at or under a cut only their number is known."""
+    rows = _scores(spark, sf_dir)
+    hidden = rows.where(F.col("x") <= cut).groupBy("key").agg(F.lit(cut).alias("phi"), F.count(F.lit(1)).alias("z"))
+    return _fitted(ft.gumbel_fit(rows.where(F.col("x") > cut), hidden), "mu", "lambda")
+
+
+def _gumbel_sql(of, cut):
+    """Twenty-five Newton steps by recursion, over the values of each key."""
+    return H + f""", x0 AS (SELECT seq_id AS key, CAST(score AS DOUBLE) AS x FROM hits WHERE score IS NOT NULL), d AS (SELECT * FROM x0 WHERE {of}), z0 AS (SELECT key, count(*) AS z FROM x0 WHERE NOT ({of}) GROUP BY key),
+  s AS (SELECT key, min(x) AS least, avg(x) AS mean, count(*) AS n, var_samp(x) AS v FROM d GROUP BY key),
+  b AS (SELECT s.*, coalesce(z, 0) AS z, CASE WHEN z IS NULL THEN 0 ELSE {cut} - least END AS low FROM s LEFT JOIN z0 USING (key)),
+  it(key, k, p) AS (SELECT key, 0, CASE WHEN v > 0 THEN pi() / sqrt(6 * v) END FROM b UNION ALL
+    SELECT key, k + 1, CASE WHEN p - f / g > 0 THEN p - f / g ELSE p / 2 END FROM (SELECT key, k, p, 1 / p - (mean - least) + w1 / w0 AS f, -1 / (p * p) + w1 * w1 / (w0 * w0) - w2 / w0 AS g FROM
+      (SELECT it.key, k, p, any_value(mean) AS mean, any_value(least) AS least, sum(exp(-p * (x - least))) + any_value(z * exp(-p * low)) AS w0, sum((x - least) * exp(-p * (x - least))) + any_value(z * low * exp(-p * low)) AS w1,
+        sum((x - least) * (x - least) * exp(-p * (x - least))) + any_value(z * low * low * exp(-p * low)) AS w2 FROM it JOIN b ON it.key = b.key JOIN d ON d.key = it.key WHERE k < 25 GROUP BY it.key, k, p))),
+  e AS (SELECT key, p FROM it WHERE k = 25)
+SELECT e.key, CAST(any_value(n) AS BIGINT) AS n, round(any_value(p), 6) AS "lambda", round(any_value(least) - ln((sum(exp(-p * (x - least))) + any_value(z * exp(-p * low))) / any_value(n)) / any_value(p), 6) AS mu FROM e JOIN b USING (key) JOIN d USING (key) GROUP BY e.key"""
+
+
+_WEIBULL = H + """, d AS (SELECT seq_id AS key, CAST(score AS DOUBLE) AS x FROM hits WHERE score IS NOT NULL),
+  b AS (SELECT key, max(x) AS most, min(x) AS least, avg(CASE WHEN x > 0 THEN ln(x) END) AS mean, var_samp(CASE WHEN x > 0 THEN ln(x) END) AS v, count(*) AS n FROM d GROUP BY key),
+  it(key, k, p) AS (SELECT key, 0, CASE WHEN least > 0 AND v > 0 THEN pi() / (sqrt(6) * sqrt(v)) END FROM b UNION ALL
+    SELECT key, k + 1, CASE WHEN p - f / g > 0 THEN p - f / g ELSE p / 2 END FROM (SELECT key, k, p, 1 / p + mean - ln(most) - s1 / s0 AS f, -1 / (p * p) - s2 / s0 + s1 * s1 / (s0 * s0) AS g FROM
+      (SELECT it.key, k, p, any_value(mean) AS mean, any_value(most) AS most, sum(exp(p * ln(x / most))) AS s0, sum(ln(x / most) * exp(p * ln(x / most))) AS s1, sum(ln(x / most) * ln(x / most) * exp(p * ln(x / most))) AS s2
+       FROM it JOIN b ON it.key = b.key JOIN d ON d.key = it.key WHERE k < 25 AND p IS NOT NULL GROUP BY it.key, k, p))),
+  e AS (SELECT key, p FROM it WHERE k = 25)
+SELECT b.key, CAST(any_value(n) AS BIGINT) AS n, round(any_value(p), 6) AS tau, round(pow(any_value(n) / sum(CASE WHEN p IS NOT NULL THEN exp(p * ln(x / most)) END), 1 / any_value(p)) / any_value(most), 6) AS "lambda" FROM b JOIN d USING (key) LEFT JOIN e USING (key) GROUP BY b.key"""
+
 ENTRIES = {
+    "A28_gumbel_fit": (lambda spark, sf_dir: _fitted(ft.gumbel_fit(_scores(spark, sf_dir)), "mu", "lambda"), _gumbel_sql("TRUE", 0).replace("WITH ", "WITH RECURSIVE ", 1)),
+    "A28_censored_gumbel_fit": (_censored_fit, _gumbel_sql("x > 40", 40).replace("WITH ", "WITH RECURSIVE ", 1)),
+    "A28_weibull_fit": (lambda spark, sf_dir: _fitted(ft.weibull_fit(_scores(spark, sf_dir)), "lambda", "tau"), _WEIBULL.replace("WITH ", "WITH RECURSIVE ", 1)),
     "F7_directed_map": (_directed, C + "SELECT msa_id, seq_id, col, CAST(seq_id % 50 + 100 + CASE WHEN seq_id % 2 = 0 THEN 1 ELSE -1 END * (pos - 1) AS BIGINT) AS place FROM (SELECT *, sum(CAST(res AS INTEGER)) OVER (PARTITION BY msa_id, seq_id ORDER BY col) AS pos FROM cells) WHERE res"),
     "F22_required_range": (hits(lambda h: required_range(h, "score", 20.0, 90.0).select("hit_id")), H + "SELECT hit_id FROM hits WHERE score BETWEEN 20 AND 90"),
     "F23_stable_candidates": (
