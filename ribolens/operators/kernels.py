@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribolens.kernels.strings import gsc_weights, local_alignment, pair_table
+from ribolens.kernels.strings import gsc_weights, linkage, local_alignment, neighbour_joining, pair_table
 from ribolens.operators.intervals import binned
 from ribolens.session import written
 
@@ -43,20 +43,44 @@ def locally_aligned(pairs: DataFrame) -> DataFrame:
     return pairs.join(found, ["a", "b"]).drop("a", "b")
 
 
-def tree_weights(identities: DataFrame, rows: DataFrame) -> DataFrame:
-    """(msa_id, seq_id, gsc_weight) from pairwise identities(msa_id, s1, s2, identity) of rows(msa_id, seq_id). An alignment's
-    pairs are one group, so this is for alignments whose pairs fit a task."""
+def _by_alignment(identities: DataFrame, rows: DataFrame, schema: str, columns: Callable[[np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
+    """(msa_id, ...) from each alignment's sequence ids, in order, and the matrix of 1 - identity. An alignment's pairs are one
+    group, so this is for alignments whose pairs fit a task."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(members: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(members["seq_id"].to_numpy())
+        if not len(ids):
+            return pd.DataFrame([], columns=names)
         distance = np.zeros((len(ids), len(ids)))
         a, b = np.searchsorted(ids, pairs["s1"]), np.searchsorted(ids, pairs["s2"])
         distance[a, b] = distance[b, a] = 1 - pairs["identity"]
-        return pd.DataFrame({"msa_id": members["msa_id"].iloc[:1].repeat(len(ids)).to_numpy() if len(ids) else [], "seq_id": ids, "gsc_weight": gsc_weights(distance)})
+        return pd.DataFrame([(members["msa_id"].iat[0], *r) for r in columns(ids, distance)], columns=names)
 
     members = rows.select(F.col("msa_id").alias("msa"), "seq_id").withColumnRenamed("msa", "msa_id").groupBy("msa_id")
     pairs = identities.select(F.col("msa_id").alias("of_msa"), "s1", "s2", "identity").groupBy("of_msa")
-    return members.cogroup(pairs).applyInPandas(run, "msa_id string, seq_id long, gsc_weight double")
+    return members.cogroup(pairs).applyInPandas(run, schema)
+
+
+def tree_weights(identities: DataFrame, rows: DataFrame) -> DataFrame:
+    """(msa_id, seq_id, gsc_weight) from pairwise identities(msa_id, s1, s2, identity) of rows(msa_id, seq_id)."""
+    return _by_alignment(identities, rows, "msa_id string, seq_id long, gsc_weight double", lambda ids, d: list(zip(ids.tolist(), gsc_weights(d).tolist(), strict=True)))
+
+
+def joined_trees(identities: DataFrame, rows: DataFrame) -> DataFrame:
+    """(msa_id, child, parent, length): the edges of each alignment's tree by neighbour joining. Leaves are seq_ids (not negative),
+    inner nodes -1, -2, ..., the root the last; an alignment of one sequence has none."""
+
+    def edges(ids: np.ndarray, d: np.ndarray) -> list[tuple]:
+        name = lambda k: int(ids[k]) if k < len(ids) else len(ids) - k - 1
+        return [(name(c), name(p), x) for c, p, x in neighbour_joining(d)]
+
+    return _by_alignment(identities, rows, "msa_id string, child long, parent long, length double", edges)
+
+
+def linkage_merges(identities: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """(msa_id, step, height): where clusters of each alignment merge, from the lowest on, by ``linkage``."""
+    return _by_alignment(identities, rows, "msa_id string, step long, height double", lambda ids, d: [(k, h) for k, (_, _, h) in enumerate(linkage(d, how))])
 
 
 def greedy_hits(hits: DataFrame) -> DataFrame:

@@ -51,6 +51,60 @@ def test_local_alignment():
             assert affine(a[i - 1 : j], b[k - 1 : m]) == score
 
 
+@pytest.mark.parametrize("how", ["average", "weighted", "single", "complete"])
+def test_linkage_as_by_the_least_pair(how):
+    """Heights and clusters as if the nearest two of all were merged each time."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 9, 25):
+        d = rng.random((n, n))
+        d = d + d.T
+        clusters, gaps, expected = {i: frozenset([i]) for i in range(n)}, {(i, j): d[i, j] for i in range(n) for j in range(i)}, []
+        while len(clusters) > 1:
+            (i, j), gap = min(gaps.items(), key=lambda x: x[1])
+            expected.append((gap / 2, clusters[i] | clusters[j]))
+            for k in clusters:
+                if k not in (i, j):
+                    a, b = gaps[max(i, k), min(i, k)], gaps[max(j, k), min(j, k)]
+                    x, y = len(clusters[i]), len(clusters[j])
+                    gaps[max(i, k), min(i, k)] = {"average": (a * x + b * y) / (x + y), "weighted": (a + b) / 2, "single": min(a, b), "complete": max(a, b)}[how]
+            clusters[i] = clusters[i] | clusters.pop(j)
+            gaps = {p: x for p, x in gaps.items() if j not in p}
+        held = [frozenset([i]) for i in range(n)]
+        got = []
+        for a, b, height in ks.linkage(d, how):
+            held.append(held[a] | held[b])
+            got.append((height, held[-1]))
+        assert [c for _, c in got] == [c for _, c in expected] and [h for h, _ in got] == pytest.approx([h for h, _ in expected])
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 7, 20])
+def test_neighbour_joining_recovers_additive_trees(n):
+    """Distances along a random tree come back along the joined one."""
+    rng = np.random.default_rng(n)
+    nodes, edges = list(range(n)), []
+    new = n
+    while len(nodes) > 1:
+        i, j = (nodes.pop(rng.integers(len(nodes))) for _ in range(2))
+        edges += [(i, new, rng.uniform(0.1, 2)), (j, new, rng.uniform(0.1, 2))]
+        nodes.append(new)
+        new += 1
+
+    def paths(edges):
+        size = max(max(a, b) for a, b, _ in edges) + 1
+        out = np.full((size, size), np.inf)
+        np.fill_diagonal(out, 0)
+        for a, b, x in edges:
+            out[a, b] = out[b, a] = x
+        for k in range(size):
+            out = np.minimum(out, out[:, k : k + 1] + out[k : k + 1])
+        return out[:n, :n]
+
+    d = paths(edges)
+    joined = ks.neighbour_joining(d)
+    assert np.allclose(paths(joined), d) and min(x for *_, x in joined) > -1e-9
+    assert ks.neighbour_joining(np.zeros((1, 1))) == []
+
+
 def test_gsc_weights():
     assert ks.gsc_weights(np.zeros((1, 1))).tolist() == [1]
     assert ks.gsc_weights(np.zeros((3, 3))) == pytest.approx([1, 1, 1])
