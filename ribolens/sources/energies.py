@@ -1,4 +1,4 @@
-"""Files of loop energies: sections of numbers under a header line, after "## RNAfold parameter file"."""
+"""Files of loop energies: a first line, then sections of numbers, each under a header line."""
 
 from __future__ import annotations
 
@@ -25,6 +25,7 @@ SHAPES = {
     "int22_energies": ("int22", np.s_[1:, 1:, 1:, 1:, 1:, 1:]),
 }
 WORDS = {"INF": NEVER, "DEF": -50, "NST": 0}
+# Fixed value: the first line of the public format.
 HEADER = "## RNAfold parameter file"
 
 
