@@ -15,6 +15,8 @@ from ribolens.functions.sequence import ungapped
 from ribolens.operators import alignment as al
 from ribolens.operators import candidates as cd
 from ribolens.operators import structures as sx
+from ribolens.session import shared_dir
+from ribolens.sources.candidatefiles import read_candidates, write_candidates
 
 #: Which residues open and close, as brackets, and the letters of A and U without a partner; of both structures.
 MARKS = {0: ("AGUC", "(<)>", "A.a."), 1: ("GUAC", "()..", "....")}
@@ -89,6 +91,17 @@ def _loops(spark, sf_dir):
     return met.select("seq_id", "i", "j", sx.is_hairpin(inside).alias("hairpin"), sx.is_multiloop(F.substr("ss", "i", F.col("j") - F.col("i") + 1)).alias("multiloop"))
 
 
+def _candidate_files(spark, sf_dir):
+    """Each block's structure as a candidate, a pair for a kcal/mol, written and read back."""
+    import uuid
+
+    at = f"{shared_dir(spark)}/candidates-{uuid.uuid4().hex}"
+    pairs = F.length("ss") - F.length(F.regexp_replace("ss", "[(<]", ""))
+    n = F.length("seq")
+    write_candidates(folds(spark, sf_dir).select("seq_id", F.lit(0).alias("cand_id"), F.lit(1).alias("start"), n.alias("stop"), (-pairs).alias("energy"), "seq", "ss"), at)
+    return read_candidates(spark, at)
+
+
 def _shares(spark, sf_dir):
     """(msa_id, i, j, p, w): the share of canonical pairs at the structure's pairs of columns stands for a pairing probability."""
     kinds = al.pair_categories(al.pair_cells(v.alignment_rows(spark, sf_dir), v.STRUCTURE))
@@ -124,6 +137,10 @@ def _merged(spark, sf_dir):
 
 
 ENTRIES = {
+    "SC15_SK7_candidate_files": (
+        _candidate_files,
+        f"""{_F} SELECT seq_id, CAST(0 AS BIGINT) AS cand_id, CAST(1 AS BIGINT) AS start, length(seq) AS stop, CAST(length(regexp_replace(ss, '[(<]', '', 'g')) - length(ss) AS DOUBLE) AS energy, seq, ss, TRUE AS good FROM f""",
+    ),
     "F8_pair_table": (_pairs, _P + "SELECT seq_id, i, j FROM p"),
     "F8_unbalanced": (
         lambda spark, sf_dir: raw_folds(spark, sf_dir).where(~sx.balanced(F.col("ss"))).select("seq_id"),

@@ -65,3 +65,18 @@ def test_streams(spark, tmp_path):
     assert sorted((r.acc, r.seq, r.gc) for r in spark.table("seqs").collect()) == [("one", "ACGU", 0.5), ("two", "GG", 1.0)]
     rows = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 3.0), ("2024-01-01 01:00:00", "a", 2.0)], "ts string, event_type string, value double").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "value")
     assert sorted((r.n, r.best) for r in windowed_hits(rows).collect()) == [(1, 2.0), (2, 3.0)]
+
+
+def test_candidate_files(spark, tmp_path):
+    """Records of both kinds of files read back; broken ones are marked, not lost."""
+    from ribolens.sources.candidatefiles import read_candidates, write_candidates
+
+    rows = [(3, 0, 5, 9, -1.25, "GAAAC", "(...)"), (-1, 2, 1, 2, 0.0, "AC", ".."), (10, 1, 7, 7, 12.5, "A", ".")]
+    frame = spark.createDataFrame([*rows, (4, 1, None, 3, 0.0, "A", ".")], "seq_id long, cand_id long, start long, stop long, energy double, seq string, ss string")
+    write_candidates(frame.coalesce(1), f"{tmp_path}/good")
+    got = read_candidates(spark, f"{tmp_path}/good")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*r, True) for r in rows)
+    (tmp_path / "bad").write_text(">1_2_3_4 -1.5\nACG\n(.)\n>1_2_3 -1.5\nACG\n...\n>5_0_1_2 x\nAC\n..\n>6_0_1_2 1\nAC\n.\n>7_0_1_1 1\n")
+    got = {r.seq: tuple(r) for r in read_candidates(spark, str(tmp_path / "bad")).where("seq_id IS NOT NULL").collect()}
+    assert got == {"ACG": (1, 2, 3, 4, -1.5, "ACG", "(.)", True), "AC": (6, 0, 1, 2, 1.0, "AC", ".", False), None: (7, 0, 1, 1, 1.0, None, None, False)}
+    assert read_candidates(spark, str(tmp_path / "bad")).count() == 5
