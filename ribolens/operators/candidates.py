@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ribolens.operators.intervals import overlap_join
+from ribolens.operators.structures import compared_structures
 
 
 def similar_length_pairs(hits: DataFrame, share: float = 0.3) -> DataFrame:
@@ -66,6 +67,12 @@ def pair_agreement(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
     return met.groupBy(key[0]).agg(count(ina & inb).alias("both"), count(ina & ~inb).alias("only_one"), count(~ina & inb).alias("only_two"))
 
 
+def structure_agreement(rows: DataFrame, key: str, one: str, two: str) -> DataFrame:
+    """pair_agreement of the pairs of two structures of each row; each row is by itself."""
+    met = compared_structures(rows, key, one, two)
+    return met.select(key, F.col("tp").alias("both"), (F.col("fp") + F.col("fm")).alias("only_one"), F.col("fn").alias("only_two"))
+
+
 def hash_sample(rows: DataFrame, key: str, n: int, seed: str = "s") -> DataFrame:
     """n rows of rows, those with the smallest digests of key and seed: a random sample that repeats."""
     return rows.withColumn("__d", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))).orderBy("__d", key).limit(n).drop("__d")
