@@ -89,7 +89,7 @@ def _both_ways(spark, sf_dir):
 
     one, two = v.hits(spark, sf_dir), v.annotation(spark, sf_dir)
     met = iv.overlap_join(one, two, "seq_id").select("hit_id", "r_hit_id", "overlap")
-    best = lambda a, b: met.withColumn("n", F.row_number().over(Window.partitionBy(a).orderBy(F.desc("overlap"), b))).where("n = 1")
+    best = lambda a, b: iv.most_overlap(met, a, b)
     return best("hit_id", "r_hit_id").select(F.lit("forward").alias("way"), "hit_id", "r_hit_id", "overlap").unionByName(best("r_hit_id", "hit_id").select(F.lit("back").alias("way"), "hit_id", "r_hit_id", "overlap"))
 
 
