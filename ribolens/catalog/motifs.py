@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ribolens.operators import ranking as rk
 from ribolens.operators.selection import greedy_selection
-from ribolens.session import table
+from ribolens.session import table, written
 
 #: Motifs: orders of a customer are motifs of a family, with statistics from their lines.
 MOTIFS = """motifs AS (SELECT o_orderkey AS motif, o_custkey AS family, CAST(count(*) AS DOUBLE) AS num, CAST(count(DISTINCT l_suppkey) AS DOUBLE) AS species,
@@ -16,20 +16,35 @@ MOTIFS = """motifs AS (SELECT o_orderkey AS motif, o_custkey AS family, CAST(cou
 M = f"WITH {MOTIFS} "
 
 
+#: Lines that a task aggregates at a time; their number decides the number of partitions, so a task's memory doesn't grow.
+TASK_LINES = 100_000
+
+
+def _partitions(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").count() // TASK_LINES + 1
+
+
 def motifs(spark, sf_dir):
-    joined = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.groupBy(F.col("o_orderkey").alias("motif"), F.col("o_custkey").alias("family")).agg(
-        F.count(F.lit(1)).cast("double").alias("num"), F.countDistinct("l_suppkey").cast("double").alias("species"), (F.sum("l_quantity") / 10).alias("conserved"), F.sum("l_quantity").alias("pairs"),
-        (0.5 + F.avg("l_discount") * 4).alias("identity"), F.avg("l_quantity").alias("len"),
+    """Lines are dealt out by order once, and summed by supplier, then by order, where they lie; orders meet the sums."""
+    n, total, some = _partitions(spark, sf_dir), lambda c: F.sum(c).alias(c), F.col("q")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("motif"), "l_suppkey", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d")).repartition(n, "motif")
+    each = line.groupBy("motif", "l_suppkey").agg(F.count(F.lit(1)).alias("n"), total("q"), total("d"), F.count("q").alias("nq"), F.count("d").alias("nd"))
+    sums = each.groupBy("motif").agg(F.count("l_suppkey").cast("double").alias("species"), *[total(c) for c in ("n", "q", "d", "nq", "nd")])
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("motif"), F.col("o_custkey").alias("family")).repartition(n, "motif")
+    joined = orders.groupBy("motif", "family").agg(F.count(F.lit(1)).alias("same")).join(sums, "motif")  # an order given twice has its lines twice
+    of = lambda c: F.nullif(F.col(c), F.lit(0))
+    return joined.select(
+        "motif", "family", (F.col("n") * F.col("same")).cast("double").alias("num"), "species", (some * F.col("same") / 10).alias("conserved"), (some * F.col("same")).alias("pairs"),
+        (0.5 + F.col("d") / of("nd") * 4).alias("identity"), (some / of("nq")).alias("len"),
     )
 
 
-def _indexed(spark, sf_dir):
+def _indexed(spark, sf_dir, *more):
     c = F.col
     rows = motifs(spark, sf_dir)
     rank = rk.rank_index(c("conserved"), c("pairs"), c("identity"), c("len"), c("species"), c("num"))
     composite = rk.composite_index(c("conserved"), c("pairs"), c("identity"), c("species"), c("num"))
-    return rows.select("motif", "family", F.round(rank, 6).alias("rank_index"), F.round(composite, 6).alias("composite_index"))
+    return rows.select("motif", "family", F.round(rank, 6).alias("rank_index"), F.round(composite, 6).alias("composite_index"), *more)
 
 
 _INDEX = """SELECT motif, family, round(sqrt(greatest((conserved + 0.2::DOUBLE) * (pairs / identity - 0.1::DOUBLE * len), 0)) * (species - 2) * (1 + ln(num / species)), 6) AS rank_index,
@@ -43,8 +58,10 @@ def _family_rank(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """Pairs of motifs of a family that share a supplier: they meet on it, not as all pairs."""
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    parts = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("family"), F.col("l_orderkey").alias("m1"), "l_suppkey").distinct()
+    n, line, orders = _partitions(spark, sf_dir), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    line, orders = line.select("l_orderkey", "l_suppkey").repartition(n, "l_orderkey"), orders.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
+    parts = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("family"), F.col("l_orderkey").alias("m1"), "l_suppkey")
+    parts = parts.repartition(n, "family", "l_suppkey").distinct()
     met = parts.join(parts.withColumnRenamed("m1", "m2"), ["family", "l_suppkey"]).where("m1 < m2")
     return met.groupBy("m1", "m2").agg(F.count(F.lit(1)).alias("shared"))
 
@@ -52,7 +69,7 @@ def _pairs(spark, sf_dir):
 def _selected(spark, sf_dir):
     """At most five motifs of each family by rank index, of weight 2.5 (here: lines) and a rank of 1 at least. One is redundant
     beside a better one that has half of its sequences, or a sixth if that ranks twice as high."""
-    rows = motifs(spark, sf_dir).select("motif", "species", "num").join(_indexed(spark, sf_dir), "motif").where("num >= 2.5 AND rank_index >= 1")
+    rows = written(_indexed(spark, sf_dir, "species", "num").where("num >= 2.5 AND rank_index >= 1"), "ranked")
     own = rows.select("motif", "species", "rank_index")
     ends = _pairs(spark, sf_dir).select("shared", F.inline(F.array(F.struct(F.col("m1").alias("worse"), F.col("m2").alias("better")), F.struct(F.col("m2").alias("worse"), F.col("m1").alias("better")))))
     met = ends.join(own.withColumnsRenamed({"motif": "worse", "species": "s", "rank_index": "r"}), "worse").join(own.select(F.col("motif").alias("better"), F.col("rank_index").alias("rb")), "better")
