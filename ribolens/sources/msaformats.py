@@ -25,10 +25,12 @@ def residues_of(chunk: Column) -> Column:
     return F.upper(F.translate(F.regexp_replace(chunk, r"\s", ""), "._~", "---"))
 
 
-def _ordered(parts: DataFrame) -> DataFrame:
-    """Rows from parts(msa_id, nth, name, chunk): a name's chunks in the order of lines."""
+def _ordered(parts: DataFrame, by: str = "name") -> DataFrame:
+    """Rows from parts(msa_id, nth, name, chunk): a name's chunks in the order of lines; or those of one value of ``by``, which has
+    its name in one of them."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "chunk"))), lambda x: x["chunk"]), "")
-    rows = parts.groupBy("msa_id", "name").agg(F.min("nth").alias("ordinal"), joined.alias("aseq"))
+    name = [] if by == "name" else [F.max("name").alias("name")]
+    rows = parts.groupBy("msa_id", by).agg(F.min("nth").alias("ordinal"), joined.alias("aseq"), *name)
     return rows.select("msa_id", "ordinal", "name", residues_of(F.col("aseq")).alias("aseq"))
 
 
@@ -44,18 +46,16 @@ def _read_phylip(texts: DataFrame, sequential: bool) -> DataFrame:
     with a blank."""
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     held = texts.select("msa_id", F.regexp_extract("value", r"^\s*(\d+)", 1).cast("int").alias("n"), lines.alias("lines"))
-    body = held.select("msa_id", "n", "lines", F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("nth", "line"))
+    body = held.select("msa_id", "n", F.posexplode(F.slice("lines", 2, F.size("lines"))).alias("nth", "line"))
     if sequential:
         first = ~F.col("line").startswith(" ")
         from pyspark.sql import Window
 
         owner = F.max(F.when(first, F.col("nth"))).over(Window.partitionBy("msa_id").orderBy("nth"))
-        body = body.select("msa_id", "nth", owner.alias("owner"), F.when(first, F.substring("line", 11, 1 << 30)).otherwise(F.col("line")).alias("chunk"), "lines")
     else:
-        first = F.col("nth") < F.col("n")
-        body = body.select("msa_id", "nth", (F.col("nth") % F.col("n")).alias("owner"), F.when(first, F.substring("line", 11, 1 << 30)).otherwise(F.col("line")).alias("chunk"), "lines")
-    name = F.trim(F.substring(F.get("lines", F.col("owner") + 1), 1, 10))
-    return _ordered(body.select("msa_id", "nth", name.alias("name"), "chunk"))
+        first, owner = F.col("nth") < F.col("n"), F.col("nth") % F.col("n")
+    chunk = F.when(first, F.substring("line", 11, 1 << 30)).otherwise(F.col("line"))
+    return _ordered(body.select("msa_id", "nth", owner.alias("owner"), F.when(first, F.trim(F.substring("line", 1, 10))).alias("name"), chunk.alias("chunk")), "owner")
 
 
 def _read_fasta(texts: DataFrame) -> DataFrame:

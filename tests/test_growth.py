@@ -47,3 +47,15 @@ def test_average_probabilities_over_batches(spark):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert got == pytest.approx(expected) and {k[0] for k in got} >= set("abd")
+
+
+@pytest.mark.parametrize("form", ["phylip", "phylips"])
+def test_phylip_lines_carry_their_name_alone(spark, form):
+    """Rows whose names are alike in ten characters stay rows of their own: lines are put together by where they stand, and
+    no line is given all lines of its text to find its name."""
+    from ribolens.sources import msaformats
+
+    rows = [("m", n, f"alignment-{n}", "ACGU" * 6 + "AC-"[: n % 3 + 1] + "-" * (2 - n % 3)) for n in range(5)]
+    texts = msaformats.write_msa(spark.createDataFrame(rows, "msa_id string, ordinal long, name string, aseq string"), form, 10)
+    got = msaformats.read_msa(texts, form)
+    assert sorted(r.aseq for r in got.collect()) == sorted(r[3] for r in rows) and {r.name for r in got.collect()} == {"alignment-"}
