@@ -59,3 +59,30 @@ def test_phylip_lines_carry_their_name_alone(spark, form):
     texts = msaformats.write_msa(spark.createDataFrame(rows, "msa_id string, ordinal long, name string, aseq string"), form, 10)
     got = msaformats.read_msa(texts, form)
     assert sorted(r.aseq for r in got.collect()) == sorted(r[3] for r in rows) and {r.name for r in got.collect()} == {"alignment-"}
+
+
+@pytest.mark.parametrize("block", [10_000, 5])
+def test_weighted_identity_makes_no_pairs(spark, monkeypatch, block):
+    """Strings are compared in blocks inside tasks: the means are those of all pairs, and rows aren't joined to rows."""
+    import random
+
+    from ribolens.operators import alignment as al
+
+    monkeypatch.setattr(al, "LARGE_BLOCK", block)
+    rng = random.Random(block)
+    rows = [(f"m{k % 3}", k, "".join(rng.choice("ACGU" + "-" * 4 * (k % 3)) for _ in range(14)), rng.choice([0.5, 1.0])) for k in range(60)]
+    rows += [("m1", 100 + k, "ACGUACGUACGUAC", 0.5) for k in range(4)] + [("m2", 200, "-" * 14, 1.0), ("one", 1, "-" * 14, 1.0), ("two", 1, "A" + "-" * 13, 1.0), ("two", 2, "C" + "-" * 13, 1.0)]
+    expected = {"one": 1.0, "two": None}
+    for m in ("m0", "m1", "m2"):
+        same = pairs = 0.0
+        own = [r for r in rows if r[0] == m]
+        for n, (_, _, a, u) in enumerate(own):
+            for _, _, b, w in own[n + 1 :]:
+                columns = sum(x != "-" or y != "-" for x, y in zip(a, b, strict=True))
+                if columns >= 10:
+                    same += u * w * sum(x == y != "-" for x, y in zip(a, b, strict=True)) / columns
+                    pairs += u * w
+        expected[m] = same / pairs
+    got = al.weighted_identity(spark.createDataFrame(rows, "msa_id string, seq_id long, aseq string, weight double"), 14)
+    assert {r.msa_id: r.mean_identity for r in got.collect()} == pytest.approx(expected)
+    assert "bit_count((a_m" not in got._jdf.queryExecution().toString()
