@@ -86,3 +86,27 @@ def test_weighted_identity_makes_no_pairs(spark, monkeypatch, block):
     got = al.weighted_identity(spark.createDataFrame(rows, "msa_id string, seq_id long, aseq string, weight double"), 14)
     assert {r.msa_id: r.mean_identity for r in got.collect()} == pytest.approx(expected)
     assert "bit_count((a_m" not in got._jdf.queryExecution().toString()
+
+
+def test_log_odds_are_taken_where_means_are_made(spark):
+    """As by joins of means to their columns; rows are exchanged once, and with least only what can be evidence comes back."""
+    import random
+
+    from ribolens.operators import alignment as al
+    from ribolens.operators import folding as fo
+
+    rng = random.Random(9)
+    rows = [(m, k, "".join(rng.choice("ACGU-") for _ in range(26)), rng.choice([0.5, 1.0])) for k, m in enumerate("aaaaabbbccd")]
+    rows += [("strong", 100, "GGGGGCAAAAGCCCCC", 1.0), ("none", 101, "-----", 1.0)]
+    frame = spark.createDataFrame(rows, "msa_id string, seq_id long, aseq string, weight double")
+    key = lambda t: {(r.msa_id, r.i, r.j): r[3] for r in t.collect()}
+    expected = key(al.pair_log_odds(fo.average_probabilities(frame)))
+    whole = fo.fold_log_odds(frame)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert key(whole) == pytest.approx(expected) and len(expected) > 100
+    some = key(fo.fold_log_odds(frame, least=0.0))
+    assert some == pytest.approx({k: x for k, x in expected.items() if x is not None and x >= 0}) and 0 < len(some) < len(expected)
+    information = al.expected_information(frame, 26)
+    every = {k: x for k, x in key(al.merged_evidence(information, al.pair_log_odds(fo.average_probabilities(frame)))).items() if x and x > 0}
+    assert {k: x for k, x in key(al.merged_evidence(information, fo.fold_log_odds(frame, least=0.0), known=True)).items() if x > 0} == pytest.approx(every)
