@@ -189,13 +189,9 @@ def _projections(spark, sf_dir):
 
 def _consensus_kept(spark, sf_dir):
     """Each row at its alignment's consensus columns alone, and without columns of gaps alone."""
-    rf = al.consensus_columns(v.alignment_cells(spark, sf_dir))
-    some = v.alignment_rows(spark, sf_dir).groupBy("msa_id").agg(*[F.max(F.substring("aseq", n, 1) != "-").alias(f"c{n}") for n in range(1, v.WIDTH + 1)])
-    filled = some.select("msa_id", F.array(*[F.when(F.col(f"c{n}"), n) for n in range(1, v.WIDTH + 1)]).alias("filled"))
-    kept = rf.where("rf <> '.'").groupBy("msa_id").agg(F.sort_array(F.collect_list("col")).alias("kept"))  # WIDTH numbers at most
-    met = v.alignment_rows(spark, sf_dir).join(filled, "msa_id").join(kept, "msa_id", "left")
-    cut = lambda of: F.array_join(F.transform(F.array_compact(F.coalesce(of, F.array().cast("array<int>"))), lambda n: F.substr("aseq", n, F.lit(1))), "")
-    return met.select("msa_id", "seq_id", cut(F.col("kept")).alias("consensus"), cut(F.col("filled")).alias("filled"))
+    rows = v.alignment_rows(spark, sf_dir)
+    known = al.column_masks(rows, v.WIDTH).withColumnRenamed("kept", "consensus")
+    return al.masked_columns(rows.select("msa_id", "seq_id", "aseq").join(known, "msa_id"), v.WIDTH, ("consensus", "filled"))
 
 
 def _alignment_statistics(spark, sf_dir):
