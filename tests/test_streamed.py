@@ -39,3 +39,44 @@ def test_mapped_columns_query_shuffles_rows_alone(spark):
 
     plan = __spark_entry__.queries()["J23_mapped_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Generate") == 1
+
+
+def test_identity_sums_of_one_block_and_of_two(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(sm, "NEAR", 40)
+    texts = [r[2] for r in _rows(14)]
+    weight = np.array([r[3] for r in _rows(14)])
+    bits = sm.bit_masks(sm._NUMBER[np.array([list(t.encode()) for t in texts])])
+    share = {}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            columns = sum(x != "-" or y != "-" for x, y in zip(a, b, strict=True))
+            counted = weight[i] * weight[j] * (columns >= 10)
+            share[i, j] = counted * sum(x == y != "-" for x, y in zip(a, b, strict=True)) / max(columns, 1), counted
+    for got, pairs in (
+        (sm.identity_sums((bits, weight), None, 10), [(i, j) for i, j in share if i < j]),
+        (sm.identity_sums((bits[:50], weight[:50]), (bits[50:], weight[50:]), 10), [(i, j) for i, j in share if i < 50 <= j]),
+    ):
+        assert got == pytest.approx(tuple(sum(share[p][k] for p in pairs) for k in range(2)))
+
+
+@pytest.mark.parametrize("limit", [10_000, 5])
+def test_summary_passes_rows_once(batched, monkeypatch, limit):
+    """As by cells and pairs of columns, but from one stream of rows; none of those is made."""
+    from ribolens.operators import alignment as al
+    from ribolens.plans.summary import summary
+
+    monkeypatch.setattr(al, "LARGE_BLOCK", limit)
+    frame, pairs = batched.createDataFrame([*_rows(24), ("light", 1, "A" * 24, 0.0), *[("same", k, "ACGU" * 6, 1.0) for k in range(9)]], ROWS), [(1, 24), (3, 20), (5, 6)]
+    found = summary(frame, pairs, 24)
+    assert "posexplode" not in found._jdf.queryExecution().toString()
+    got = {r.msa_id: (r.num, r.entropy, r.conserved, r.mi, r.mean_identity) for r in found.collect()}
+    by_cells = {r.msa_id: (r.entropy, r.conserved) for r in al.column_statistics(al.cells(frame)).collect()}
+    mi = {}
+    for r in al.mutual_information(al.pair_cells(frame, pairs)).collect():
+        mi[r.msa_id] = mi.get(r.msa_id, 0.0) + r.mi
+    identity = {r.msa_id: r.mean_identity for r in al.weighted_identity(frame, 24).collect()}
+    assert got["light"][1:] == (None, None, None, 1.0) and got["same"][2] == 24 and len(got) == 11
+    for msa, (_, entropy, conserved, m, mean) in got.items():
+        assert (entropy, conserved) == pytest.approx(by_cells.get(msa, (None, None))) and m == pytest.approx(mi.get(msa)) and mean == pytest.approx(identity[msa])
